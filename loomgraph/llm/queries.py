@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, bpe, tokencount
+from . import bitpack, bpe, jaccard, langid, packing, syncmers, tokencount
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,17 +23,38 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_with_check(table(spark, sf_dir, "documents"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return langid.identify(documents, langid.train(documents))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_output": op1_token_output,
         "op3_bpe": op3_bpe,
+        "op4_fingerprints": op4_fingerprints,
         "op6_token_counts": op6_token_counts,
+        "op7_language_id": op7_language_id,
+        "op9_packing": op9_packing,
+        "op10_jaccard_join": op10_jaccard_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_fingerprints": syncmers.oracle(), "op10_jaccard_join": jaccard.oracle()}
