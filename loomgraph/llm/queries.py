@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, bpe, jaccard, langid, packing, syncmers, tokencount
+from . import bitpack, bpe, jaccard, langid, linededup, packing, syncmers, tokencount
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents, langid.train(documents))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_removed")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -51,10 +55,11 @@ def queries() -> dict[str, Query]:
         "op4_fingerprints": op4_fingerprints,
         "op6_token_counts": op6_token_counts,
         "op7_language_id": op7_language_id,
+        "op8_line_dedup": op8_line_dedup,
         "op9_packing": op9_packing,
         "op10_jaccard_join": op10_jaccard_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_fingerprints": syncmers.oracle(), "op10_jaccard_join": jaccard.oracle()}
+    return {"op4_fingerprints": syncmers.oracle(), "op8_line_dedup": linededup.oracle(), "op10_jaccard_join": jaccard.oracle()}
