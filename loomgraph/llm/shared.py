@@ -8,15 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder in spark.checkpoint.dir, which survives the loss of executors.
-
-    Where no such folder is set and none was given to the context, as in tests, one is made."""
-    spark: SparkSession = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or where none is set, as in tests, one made for it."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder, so that they outlive executors."""
+    folder(df.sparkSession)
     return df.checkpoint()
 
 
