@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, bpe, jaccard, langid, linededup, packing, syncmers, tokencount
+from . import ann, bitpack, bpe, jaccard, langid, linededup, lm, packing, syncmers, tokencount
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.packed_tokens(table(spark, sf_dir, "documents"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_with_check(table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"))
 
@@ -51,8 +59,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_token_output": op1_token_output,
+        "op2_nearest_neighbours": op2_nearest_neighbours,
         "op3_bpe": op3_bpe,
         "op4_fingerprints": op4_fingerprints,
+        "op5_lm_scoring": op5_lm_scoring,
         "op6_token_counts": op6_token_counts,
         "op7_language_id": op7_language_id,
         "op8_line_dedup": op8_line_dedup,
@@ -62,4 +72,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_fingerprints": syncmers.oracle(), "op8_line_dedup": linededup.oracle(), "op10_jaccard_join": jaccard.oracle()}
+    return {"op4_fingerprints": syncmers.oracle(), "op5_lm_scoring": lm.oracle(), "op8_line_dedup": linededup.oracle(), "op10_jaccard_join": jaccard.oracle()}
