@@ -112,6 +112,10 @@ def _split(text: str, word: str) -> list[str]:
     return [*parts, text[start:].strip()]
 
 
-@F.pandas_udf("string")
-def naturalise_udf(conditions: pd.Series) -> pd.Series:
-    return conditions.map(naturalise)
+def naturalised(condition: Column | str) -> Column:
+    """`naturalise` over a column."""
+    @F.pandas_udf("string")
+    def run(conditions: pd.Series) -> pd.Series:
+        return conditions.map(naturalise)
+
+    return run(condition)

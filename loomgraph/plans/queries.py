@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audit, compare, impact, risks, runtime
-from . import testgraph
+from ..operators import audit, changemap, compare, impact, risks, runtime
+from . import build, corpus, extract, testgraph
 from .model import Graph
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -200,12 +200,34 @@ def _define() -> dict[str, tuple[Query, str]]:
     out["j13_correlate"] = (lambda s, d: runtime.correlate(trace(s, d)), _TRACE)
     out["j13_correlate_sql"] = (lambda s, d: runtime.correlate_sql(trace(s, d)), _TRACE)
     out["s_event_windows"] = (lambda s, d: runtime.event_stream(trace(s, d)), "SELECT user_id AS session_id, date_trunc('minute', ts) AS window_start, count(*) AS events, count(*) FILTER (WHERE event_id % 3 = 0) AS procedures FROM events GROUP BY ALL")
+    out["c_steps"] = (_corpus_steps, corpus.values(corpus.STEPS, "object, ordinal, action, target, filter_kind"))
+    out["d_derives_from"] = (_corpus_edges(("DERIVES_FROM",), ("src", "Shop:table:"), ("dst", "Shop:table:")), corpus.values(corpus.DERIVES, "src, dst"))
+    out["f_access"] = (_corpus_edges(("READS_FROM", "WRITES_TO"), ("owner", "Shop::"), ("dst", "Shop:table:"), True), corpus.values(corpus.ACCESS, "src, type, dst"))
+    out["f_links"] = (_corpus_edges(("CALLS", "FK_TO", "REFERENCES", "TARGETS", "CREATES", "ON"), ("owner", "-"), ("dst", "-"), True), corpus.values(corpus.LINKS, "src, type, dst"))
+    add("g13_via_calls", lambda x: changemap.via_calls(x).where("NOT cycle").select("id", "reached"), "vw(seed, node) AS (SELECT DISTINCT owner, owner FROM edges WHERE type = 'CALLS' UNION SELECT vw.seed, e.dst FROM vw JOIN edges e ON e.owner = vw.node AND e.type = 'CALLS') SELECT seed AS id, node AS reached FROM vw WHERE seed <> node")
+    out["g12_workflows"] = (_on(changemap.workflows), "")
+    out["g19_inlined_flow"] = (_on(changemap.inlined_flow), "")
     return out
 
 
+def _corpus_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = extract.extract(corpus.modules(spark))
+    return facts.select(F.col("full_name").alias("object"), F.explode("steps").alias("s")).select("object", "s.ordinal", "s.action", "s.target", "s.filter_kind")
+
+
+def _corpus_edges(types: tuple[str, ...], src: tuple[str, str], dst: tuple[str, str], with_type: bool = False) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        edges = build.build(extract.extract(corpus.modules(spark))).type(*types)
+        short = lambda x, name: F.replace(F.col(x[0]), F.lit(x[1]), F.lit("")).alias(name)
+        ends = [short(src, "src"), *(["type"] if with_type else []), short(dst, "dst")]
+        return edges.where("type <> 'REFERENCES' OR src LIKE '%:column:%'").select(*ends).distinct()
+
+    return run
+
+
 def queries() -> dict[str, Query]:
     return {name: query for name, (query, _) in _define().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _define().items()}
+    return {name: sql for name, (_, sql) in _define().items() if sql}
