@@ -155,16 +155,17 @@ def dedup_lines(df: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "do
     Null texts and rows with a null id stay as they are; an empty text has no lines to lose; a text that loses all
     its lines becomes empty. Rows that repeat an id share their places: equal lines at one place of both
     stay in both. Lines of any length are compared whole."""
-    names = df.columns
-    lines = checkpointed(repeated_lines(df, least_words, id_col, text_col)).select(F.col("id").alias("_id"), F.col("lines").alias("_lines"))
+    lines = checkpointed(repeated_lines(df, least_words, id_col, text_col)).select(F.col("id").alias("i"), F.col("lines").alias("gone"))
     lines = F.broadcast(lines) if lines.count() <= BROADCAST_ROWS // 4 else lines.hint("shuffle_hash")
-    text, gone = F.col(f"`{text_col}`"), F.col("_lines")
+    # the row goes as one column, so no name of its own can clash
+    own = lambda c: F.col("row").getField(c)
+    text, gone = own(text_col), F.col("gone")
     kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.exists(gone, lambda z: (z["line"] == i) & (z["c"] == F.xxhash64(x))))
     new = F.when(gone.isNull(), text).otherwise(F.array_join(kept, "\n"))
-    out = df.join(lines, df[id_col] == F.col("_id"), "left")
-    columns = [new.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in names]
+    out = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")).join(lines, own(id_col) == F.col("i"), "left")
+    columns = [(new if c == text_col else own(c)).alias(c) for c in df.columns]
     if count_col:
-        columns.append(F.coalesce(F.size(F.when(gone.isNull(), None).otherwise(F.split(text, "\n", -1))) - F.size(kept), F.lit(0)).alias(count_col))
+        columns.append(F.coalesce(F.size(F.when(gone.isNotNull(), F.split(text, "\n", -1))) - F.size(kept), F.lit(0)).alias(count_col))
     return out.select(columns)
 
 
