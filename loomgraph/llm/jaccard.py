@@ -1,13 +1,14 @@
 """Operator 10, n-gram Jaccard join: a grouped prefix join.
 
-Two sets with Jaccard similarity of at least t share one of their first |x| - ceil(t |x|) + 1 elements under
-any common order. The order here is by how often an element's bucket comes up in the whole corpus, rare first, so
+Two sets with Jaccard similarity of at least t share two of their first |x| - ceil(t |x|) + 2 elements under
+any common order (sets that can only share one are equal then, and so in one group). The order here is by how often an element's bucket comes up in the whole corpus, rare first, so
 that what many documents share comes last. Documents of one prefix and size form a group, and those of one
 set a unit within it; candidates are pairs of groups, and members are verified as pairs of units, so
 copies cost nothing but their id."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,17 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import lists, per_slice, slices, type_name
-from .shared import checkpointed, components
+from .shared import checkpointed, components, written
 from .vocabulary import MEMO
 
 N, THRESHOLD = 2, 0.7
-#: Buckets of the frequency sketch; a constant, as what is wanted is what stands out at any size of corpus.
-BUCKETS_BITS = 16
+#: Buckets of the frequency sketch, in bits. One byte a bucket reaches the workers, whatever the corpus's size.
+BUCKETS_BITS, _PIECES = 24, 64
 MARKS = ".,;:!?\"'()[]{}«»“”„…-"
 #: Rows of the list of documents to verify that are broadcast at most (24 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
-#: Units of one hub that are verified together, and bytes of sets to a verification task.
-BLOCK, TASK_BYTES = 1000, 24 << 20
+#: Units of one component that are verified together.
+BLOCK = 1000
 _PRIMES = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
 
 
@@ -61,7 +62,7 @@ class _Hasher:
 def _prefix(values: np.ndarray, counts: np.ndarray, threshold: float) -> np.ndarray:
     """The first elements in the common order that a partner must share one of."""
     size = len(values)
-    keep = size - _least(threshold, size) + 1
+    keep = min(size, size - _least(threshold, size) + 2)
     by = counts[(values >> np.uint64(64 - BUCKETS_BITS)).astype(np.int64)]
     if keep < size:
         first = np.argpartition(by, keep - 1)
@@ -83,35 +84,76 @@ def _identity(values: np.ndarray, prefix: np.ndarray) -> tuple[int, int]:
     return group, xxhash.xxh3_64_intdigest(values.tobytes(), 7) - (1 << 63)
 
 
-def _frequencies(texts: DataFrame, n: int) -> np.ndarray:
-    """In how many documents the elements of each bucket come up, over the whole corpus."""
+def _packed(values: np.ndarray) -> bytes:
+    """The upper 48 bits of each: within a pair of sets of a thousand, two of them are alike by chance once in 10^8 pairs."""
+    return np.ascontiguousarray((values >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return wide.view("<u8").ravel()
+
+
+def _levels(texts: DataFrame, n: int) -> np.ndarray:
+    """How often the elements of each bucket come up over all documents, in eighths of a power of two.
+
+    A task counts all its documents in one array and sends it packed, in pieces that are added up elsewhere; an
+    array is mostly small numbers, so this is far less than the elements themselves."""
+
+    def packed(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for piece, part in enumerate(total.reshape(_PIECES, -1)):
+            if part.any():
+                # all low bytes, then all high ones, which are alike
+                yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([zlib.compress(part.view(np.uint8).reshape(-1, 2).T.tobytes(), 1)], pa.binary())], names=["piece", "data"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, total = _Hasher(n), np.zeros(1 << BUCKETS_BITS, np.int64)
-        for batch in slices(batches, 2000, column=0):
-            found = [hasher.sets(t) >> np.uint64(64 - BUCKETS_BITS) for t in batch.column(0).to_pylist()]
-            total += np.bincount(np.concatenate(found).astype(np.int64), minlength=len(total))
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["bucket", "n"])
+        hasher, total, seen = _Hasher(n), np.zeros(1 << BUCKETS_BITS, np.uint16), 0
+        for batch in slices(batches, 1000, column=0):
+            for text in batch.column(0).to_pylist():
+                buckets = (hasher.sets(text) >> np.uint64(64 - BUCKETS_BITS)).astype(np.int64)  # sorted
+                total[buckets[np.flatnonzero(np.diff(buckets, prepend=-1))]] += np.uint16(1)
+            seen += batch.num_rows
+            if seen > 60_000:  # before a counter is full
+                yield from packed(total)
+                total[:], seen = 0, 0
+        yield from packed(total)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                part = np.ascontiguousarray(np.frombuffer(zlib.decompress(data.as_py()), np.uint8).reshape(2, -1).T).view(np.uint16).ravel()
+                total[piece] = total[piece] + part if piece in total else part.astype(np.uint64)
+        for piece, counts in total.items():
+            level = np.minimum(np.round(8 * np.log2(counts + 1.0)), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([zlib.compress(level.tobytes(), 1)], pa.binary())], names=["piece", "data"])
 
-    rows = texts.mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(1 << BUCKETS_BITS, np.int64)
-    counts[rows.bucket.to_numpy()] = rows.n.to_numpy()
-    return counts
+    schema = "piece int, data binary"
+    levels = np.zeros((_PIECES, (1 << BUCKETS_BITS) // _PIECES), np.uint8)
+    for row in texts.mapInArrow(count, schema).repartition("piece").mapInArrow(add, schema).collect():
+        levels[row.piece] = np.frombuffer(zlib.decompress(row.data), np.uint8)
+    return levels.ravel()
 
 
 def _group_pairs(threshold: float):
-    """Pairs of groups that share a prefix element and may reach the threshold by their sizes and the element's places."""
+    """Pairs of groups that share a prefix element and may reach the threshold by their sizes and the element's places.
+
+    Near copies share most of their prefix, and would be found once for each of its elements. `prev` stands for the
+    two elements before (24 bits each). An element that both have behind different ones counts 1; the one after it, if
+    both have that too, counts 2; those that go on like this are left out. The first two elements that a pair
+    shares always count, so pairs with a sum below 2, which share one element by chance, can be left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), pa.schema([("token", pa.int64()), ("g", pa.int64()), ("size", pa.int32()), ("pos", pa.int32())]))
-        token, group, size, pos = (table.column(i).to_numpy() for i in range(4))
+        table = pa.Table.from_batches(list(batches), pa.schema([("token", pa.int64()), ("g", pa.int64()), ("size", pa.int32()), ("pos", pa.int32()), ("prev", pa.int64())]))
+        token, group, size, pos, prev = (table.column(i).to_numpy() for i in range(5))
         order = np.lexsort((group, size, token))
         token, group, size, pos = token[order], group[order], size[order].astype(np.int64), pos[order].astype(np.int64)
+        prev = prev[order]
         if len(token):
             new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (group[1:] != group[:-1])
-            token, group, size, pos = token[new], group[new], size[new], pos[new]
+            token, group, size, pos, prev = token[new], group[new], size[new], pos[new], prev[new]
             run_of = np.concatenate([[0], np.cumsum(token[1:] != token[:-1])])
             key = run_of * (1 << 33) + size
             last = np.searchsorted(key, run_of * (1 << 33) + np.floor(size / threshold + 1e-9).astype(np.int64), side="right")
@@ -123,22 +165,29 @@ def _group_pairs(threshold: float):
                 n = partners[at:to]
                 a = np.repeat(np.arange(at, to), n)
                 b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
-                room = np.minimum(size[a] - pos[a], size[b] - pos[b])
-                fits = (room >= threshold / (1 + threshold) * (size[a] + size[b]) - 1e-9) & (group[a] != group[b])
-                low, high = np.minimum(group[a[fits]], group[b[fits]]), np.maximum(group[a[fits]], group[b[fits]])
-                pair = np.unique(np.stack([low, high]), axis=1) if len(low) else np.zeros((2, 0), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["ga", "gb"])
+                room = np.minimum(size[a] - pos[a], size[b] - pos[b]) + 1
+                first = np.minimum(pos[a], pos[b])
+                differ = prev[a] ^ prev[b]
+                starts = (first == 0) | (differ >> 24 != 0)
+                second = ~starts & ((first == 1) | (differ & 0xFFFFFF != 0))
+                fits = (room >= threshold / (1 + threshold) * (size[a] + size[b]) - 1e-9) & (starts | second)
+                low, high, weight = np.minimum(group[a[fits]], group[b[fits]]), np.maximum(group[a[fits]], group[b[fits]]), np.where(starts[fits], 1, 2)
+                order = np.lexsort((high, low))
+                low, high, weight = low[order], high[order], weight[order]
+                fresh = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])) if len(low) else np.zeros(0, np.int64)
+                total = np.add.reduceat(weight, fresh) if len(fresh) else weight
+                yield pa.RecordBatch.from_arrays([pa.array(low[fresh]), pa.array(high[fresh]), pa.array(total.astype(np.int32))], names=["ga", "gb", "weight"])
                 at = to
 
     return run
 
 
 def similar_units(df: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(units, pairs): units are (g, u, first, ids), the documents of one n-gram set; pairs are
-    (ga, ua, gb, ub, jaccard) of different units that reach the threshold."""
+    """(units, pairs): units are (n, first, ids), the documents of one n-gram set; pairs are
+    (a, b, jaccard) of the numbers of different units that reach the threshold."""
     id_type = type_name(df, id_col)
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("id IS NOT NULL AND t IS NOT NULL")
-    counts = _frequencies(texts.select("t"), n)
+    counts = _levels(texts.select("t"), n)
 
     def describe(batch: pa.RecordBatch, hasher: _Hasher) -> pa.RecordBatch:
         keep, groups, units, sizes, prefixes = [], [], [], [], []
@@ -169,6 +218,11 @@ def similar_units(df: DataFrame, n: int = N, threshold: float = THRESHOLD, id_co
             flat = prefix.values
             rows, own = made.num_rows, np.repeat(np.arange(made.num_rows), lengths)
             pos = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            values = flat.to_numpy()
+            prev = np.zeros(len(values), np.int64)
+            short = values >> 7 & 0xFFFFFF
+            prev[1:] = short[:-1] << 24
+            prev[2:] |= short[:-2]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.concat_arrays([made.column(0), pa.nulls(len(flat), made.column(0).type)]),
@@ -177,11 +231,12 @@ def similar_units(df: DataFrame, n: int = N, threshold: float = THRESHOLD, id_co
                     pa.concat_arrays([made.column(3), made.column(3).take(pa.array(own))]),
                     pa.concat_arrays([pa.nulls(rows, pa.int64()), flat]),
                     pa.concat_arrays([pa.nulls(rows, pa.int32()), pa.array(pos.astype(np.int32))]),
+                    pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(prev)]),
                 ],
-                names=["id", "g", "u", "size", "token", "pos"],
+                names=["id", "g", "u", "size", "token", "pos", "prev"],
             )
 
-    read = texts.mapInArrow(ids_of, f"id {id_type}, g bigint, u bigint, size int, token bigint, pos int")
+    read = texts.mapInArrow(ids_of, f"id {id_type}, g bigint, u bigint, size int, token bigint, pos int, prev bigint")
     # documents and candidate pairs come out of one shuffle: prefix elements go by element, documents by group
     routed = read.repartition(F.coalesce("token", "g"))
 
@@ -193,86 +248,74 @@ def similar_units(df: DataFrame, n: int = N, threshold: float = THRESHOLD, id_co
             doc = batch.filter(pa.compute.invert(is_token))
             yield pa.RecordBatch.from_arrays([doc.column(0), doc.column(1), doc.column(2), doc.column(3), pa.nulls(doc.num_rows, pa.int64())], names=names)
             tok = batch.filter(is_token)
-            tokens.append(pa.RecordBatch.from_arrays([tok.column(4), tok.column(1), tok.column(3), tok.column(5)], names=["token", "g", "size", "pos"]))
+            tokens.append(pa.RecordBatch.from_arrays([tok.column(4), tok.column(1), tok.column(3), tok.column(5), tok.column(6)], names=["token", "g", "size", "pos", "prev"]))
             kind = batch.column(0).type
         if tokens:
             for pair in _group_pairs(threshold)(iter(tokens)):
                 rows = pair.num_rows
-                yield pa.RecordBatch.from_arrays([pa.nulls(rows, kind), pair.column(0), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int32()), pair.column(1)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(rows, kind), pair.column(0), pa.nulls(rows, pa.int64()), pair.column(2), pair.column(1)], names=names)
 
     import pyarrow.compute  # noqa: F401
 
-    found = checkpointed(routed.mapInArrow(split, f"id {id_type}, g bigint, u bigint, size int, gb bigint"))
+    # for a pair of groups, `size` is the weight by which it was found
+    found = written(routed.mapInArrow(split, f"id {id_type}, g bigint, u bigint, size int, gb bigint"))
     units = found.where("gb IS NULL").groupBy("g", "u").agg(F.min("id").alias("first"), F.max("size").alias("size"), F.array_sort(F.collect_set("id")).alias("ids"))
-    units = checkpointed(units)
-    one = units.select("g", "u", "size", "first")
-    a, b = (one.select(*(F.col(c).alias(c + x) for c in one.columns)) for x in "ab")
-    across = found.where("gb IS NOT NULL").select(F.col("g").alias("ga"), "gb").distinct().join(a, "ga").join(b, "gb")
-    within = a.join(b, (F.col("ga") == F.col("gb")) & (F.col("ua") < F.col("ub")))
-    columns = ["ga", "ua", "sizea", "firsta", "gb", "ub", "sizeb", "firstb"]
-    pairs = checkpointed(across.select(columns).union(within.select(columns)).select("*", F.xxhash64("ga", "ua").alias("na"), F.xxhash64("gb", "ub").alias("nb")))
-
-    # Hubs: a unit's smallest neighbour. The pairs of one hub are verified in one place, where each set is sent once; large hubs are cut into blocks.
-    ends = pairs.select(F.col("na").alias("v"), F.least("na", "nb").alias("m")).union(pairs.select(F.col("nb"), F.least("na", "nb")))
-    hubs = ends.groupBy("v").agg(F.min("m").alias("hub"))
-    hub_sizes = hubs.groupBy("hub").agg(F.count("*").alias("units"))
-    hubs = checkpointed(hubs.join(hub_sizes, "hub"))
-    total = units.join(pairs.select(F.col("ga").alias("g"), F.col("ua").alias("u")).union(pairs.select("gb", "ub")).distinct(), ["g", "u"], "left_semi").agg(F.sum(F.col("size").cast("bigint") * 8).alias("b"), F.count("*").alias("n")).first()
-    tasks = max(1, -(-(total.b or 0) // TASK_BYTES))
-    ha, hb = (hubs.select(F.col("v").alias("n" + x), F.col("hub").alias("hub" + x), F.col("units").alias("units" + x)) for x in "ab")
-    placed = pairs.join(ha, "na").join(hb, "nb")
-    hub = F.least("huba", "hubb")
-    blocks = F.ceil(F.when(F.col("huba") <= F.col("hubb"), F.col("unitsa")).otherwise(F.col("unitsb")) / BLOCK)
-    block_a, block_b = F.pmod("na", blocks), F.pmod("nb", blocks)
-    placed = checkpointed(placed.withColumn("task", F.pmod(F.xxhash64(hub, F.least(block_a, block_b), F.greatest(block_a, block_b)), F.lit(tasks)).cast("int")).select("task", "ga", "ua", "firsta", "gb", "ub", "firstb"))
-    sent = placed.select("task", F.col("ga").alias("g"), F.col("ua").alias("u"), F.col("firsta").alias("id")).union(placed.select("task", "gb", "ub", "firstb")).groupBy("id", "g", "u").agg(F.collect_set("task").alias("tasks"))
+    units = written(units.withColumn("n", F.monotonically_increasing_id()))
+    a, b = (units.select(F.col("g").alias("g" + x), F.col("n").alias(x)) for x in "ab")
+    across = found.where("gb IS NOT NULL").groupBy(F.col("g").alias("ga"), "gb").agg(F.sum("size").alias("weight")).where("weight > 1").join(a, "ga").join(b, "gb").select("a", "b")
+    within = a.join(b, (F.col("ga") == F.col("gb")) & (F.col("a") < F.col("b"))).select("a", "b")
+    pairs = written(across.union(within))
+
+    # The pairs of one component of candidates are verified in one place, where each set is sent once; large components are cut into blocks.
+    member = components(pairs).select(F.col("node").alias("n"), F.col("component").alias("c"))
+    member = member.join(member.groupBy("c").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "c")
+    member = written(member.select("n", "c", F.pmod(F.xxhash64("n"), F.col("blocks")).alias("block")))
+    sets_to_send = member.count()
+    of_a, of_b = (member.select(F.col("n").alias(x), "c", F.col("block").alias("block_" + x)) for x in "ab")
+    task = F.xxhash64("c", F.least("block_a", "block_b"), F.greatest("block_a", "block_b"))
+    placed = written(pairs.join(of_a, "a").join(of_b.drop("c"), "b").select(task.alias("task"), "a", "b"))
+    sent = placed.select("task", F.col("a").alias("n")).union(placed.select("task", "b")).groupBy("n").agg(F.collect_set("task").alias("tasks"))
+    sent = sent.join(units.select("n", "g", "u", F.col("first").alias("id")), "n")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher(n)
         for batch in slices(batches, 500, column=0):
-            out: list[tuple[int, int, int, np.ndarray]] = []
-            for text, group, unit, where in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            out: list[tuple[int, int, bytes]] = []
+            for text, unit, group, digest, where in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 values = hasher.sets(text)
-                if len(values) and _identity(values, _prefix(values, counts, threshold)) == (group, unit):
-                    out.extend((task, group, unit, values) for task in where)
+                if len(values) and _identity(values, _prefix(values, counts, threshold)) == (group, digest):
+                    data = _packed(values)
+                    out.extend((task, unit, data) for task in where)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([x[0] for x in out], pa.int32()),
-                    pa.array([x[1] for x in out], pa.int64()),
-                    pa.array([x[2] for x in out], pa.int64()),
-                    pa.array([x[3].tobytes() for x in out], pa.binary()),
-                    pa.nulls(len(out), pa.int64()),
-                    pa.nulls(len(out), pa.int64()),
-                ],
-                names=["task", "ga", "ua", "values", "gb", "ub"],
+                [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary()), pa.nulls(len(out), pa.int64())],
+                names=["task", "a", "values", "b"],
             )
 
-    wanted = F.broadcast(sent) if total.n <= BROADCAST_ROWS else sent
-    shipped = texts.join(wanted, "id").select("t", "g", "u", "tasks").mapInArrow(sets, "task int, ga bigint, ua bigint, values binary, gb bigint, ub bigint")
-    asked = placed.select("task", "ga", "ua", F.lit(None).cast("binary").alias("values"), "gb", "ub")
+    wanted = F.broadcast(sent) if sets_to_send <= BROADCAST_ROWS else sent
+    shipped = texts.join(wanted, "id").select("t", "n", "g", "u", "tasks").mapInArrow(sets, "task bigint, a bigint, values binary, b bigint")
+    asked = placed.select("task", "a", F.lit(None).cast("binary").alias("values"), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple[int, int], bytes] = {}
+        known: dict[int, np.ndarray] = {}
         ask = []
         for batch in batches:
-            has = batch.column(3).is_valid()
+            has = batch.column(2).is_valid()
             mine = batch.filter(has)
-            known.update(zip(zip(mine.column(1).to_pylist(), mine.column(2).to_pylist()), mine.column(3).to_pylist()))
-            ask.append(batch.filter(pa.compute.invert(has)).select(["ga", "ua", "gb", "ub"]))
+            known.update((u, _unpacked(v)) for u, v in zip(mine.column(1).to_pylist(), mine.column(2).to_pylist()))
+            ask.append(batch.filter(pa.compute.invert(has)).select(["a", "b"]))
         for part in ask:
             for at in range(0, part.num_rows, 50_000):
                 rows = part.slice(at, 50_000)
                 found = []
-                for i, (ga, ua, gb, ub) in enumerate(zip(*(rows.column(k).to_pylist() for k in range(4)))):
-                    x, y = (np.frombuffer(known[key], np.uint64) for key in ((ga, ua), (gb, ub)))
-                    both = np.concatenate([x, y])
+                for i, (a, b) in enumerate(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())):
+                    both = np.concatenate([known[a], known[b]])
                     both.sort(kind="stable")
                     shared = int(np.count_nonzero(both[1:] == both[:-1]))
                     if shared >= threshold * (len(both) - shared) - 1e-9:
                         found.append((i, shared / (len(both) - shared)))
-                yield pa.RecordBatch.from_arrays([*rows.take(pa.array([i for i, _ in found], pa.int32())).columns, pa.array([j for _, j in found], pa.float64())], names=["ga", "ua", "gb", "ub", "jaccard"])
+                yield pa.RecordBatch.from_arrays([*rows.take(pa.array([i for i, _ in found], pa.int32())).columns, pa.array([j for _, j in found], pa.float64())], names=["a", "b", "jaccard"])
 
-    verified = shipped.unionByName(asked).repartition(tasks, "task").mapInArrow(verify, "ga bigint, ua bigint, gb bigint, ub bigint, jaccard double")
+    verified = shipped.unionByName(asked).repartition("task").mapInArrow(verify, "a bigint, b bigint, jaccard double")
     return units, verified
 
 
@@ -286,9 +329,8 @@ def jaccard_join(df: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col
     fewer than n words has one n-gram, all its words. Texts without words, null texts and null ids take no part.
     Rows that repeat an id are one document that has each of its texts; it is never paired with itself."""
     units, pairs = similar_units(df, n, threshold, id_col, text_col)
-    a = units.select(F.col("g").alias("ga"), F.col("u").alias("ua"), F.col("ids"))
-    b = units.select(F.col("g").alias("gb"), F.col("u").alias("ub"), F.col("ids").alias("other_ids"))
-    across = pairs.join(a, ["ga", "ua"]).join(b, ["gb", "ub"]).where("NOT (size(ids) = 1 AND ids = other_ids)")
+    a, b = units.select(F.col("n").alias("a"), "ids"), units.select(F.col("n").alias("b"), F.col("ids").alias("other_ids"))
+    across = pairs.join(a, "a").join(b, "b").where("NOT (size(ids) = 1 AND ids = other_ids)")
     swap = F.col("ids")[0] > F.col("other_ids")[0]
     across = across.select(F.when(swap, F.col("other_ids")).otherwise(F.col("ids")).alias("ids"), F.when(swap, F.col("ids")).otherwise(F.col("other_ids")).alias("other_ids"), "jaccard")
     same = units.where("size(ids) > 1").select("ids", F.array().cast(across.schema["ids"].dataType).alias("other_ids"), F.lit(1.0).alias("jaccard"))
@@ -299,8 +341,8 @@ def keep_one_of_each_group(df: DataFrame, n: int = N, threshold: float = THRESHO
     """The rows, with all their columns, without those documents that are linked by pairs of the join,
     directly or through others, to a document of smaller id. Of rows that repeat an id and a text one is kept."""
     units, pairs = similar_units(df, n, threshold, id_col, text_col)
-    first = units.select("g", "u", "first")
-    edges = pairs.join(first.select(F.col("g").alias("ga"), F.col("u").alias("ua"), F.col("first").alias("a")), ["ga", "ua"]).join(first.select(F.col("g").alias("gb"), F.col("u").alias("ub"), F.col("first").alias("b")), ["gb", "ub"]).select("a", "b")
+    first_a, first_b = (units.select(F.col("n").alias(x), F.col("first").alias("first_" + x)) for x in "ab")
+    edges = pairs.join(first_a, "a").join(first_b, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
     edges = edges.union(units.where("size(ids) > 1").select(F.explode("ids").alias("a"), F.col("first").alias("b")))
     linked = checkpointed(components(edges.where("a <> b")).where("node <> component").select(F.col("node").alias(id_col)).distinct())
     kept = df.join(_small(linked), id_col, "left_anti").select(df.columns)

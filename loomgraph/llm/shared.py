@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,22 +23,32 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, which is smaller than a checkpoint."""
+    path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected graph given as (a, b); the component is its smallest node.
 
     Large and small stars in turn until nothing changes: every round at least halves how far a node is from
     the smallest node of its component. Self-loops and repeated edges don't matter; nulls must not occur."""
-    edges = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    def known(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first())
+
+    edges = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
+    before = known(edges)
     while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.union(least.where("m < a").select("a", F.col("m").alias("b"))).distinct()
-        down = large.where("a > b")
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        both = edges.union(edges.select("b", "a"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.where("m < a")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         new = checkpointed(small.where("a > b").distinct())
-        if not edges.where("a > b").exceptAll(new).limit(1).count() and not new.exceptAll(edges).limit(1).count():
+        after = known(new)
+        if after == before:
             break
-        edges = new
+        edges, before = new, after
     return new.select(F.col("a").alias("node"), F.col("b").alias("component")).union(new.select("b", "b").distinct())
