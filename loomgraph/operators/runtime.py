@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from xml.etree import ElementTree
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,23 +14,39 @@ SYSTEM_SCHEMAS = ("sys", "information_schema", "mssqlsystemresource")
 _WRITERS = ("insert", "update", "delete", "merge")
 
 
+def _accesses(xml: str | None) -> list[dict]:
+    """Objects that a plan touches, each with the procedure and the operator around it. A text that is no XML has none."""
+    try:
+        root = ElementTree.fromstring(xml or "<none/>")
+    except ElementTree.ParseError:
+        return []
+    out, stack = [], [(root, None, {})]
+    while stack:
+        node, proc, operator = stack.pop()
+        kind = node.tag.rsplit("}", 1)[-1]
+        if kind == "StoredProc":
+            proc = node.get("ProcName")
+        elif kind == "RelOp":
+            operator = node.attrib
+        elif kind == "Object" and node.get("Table"):
+            out.append({"proc": proc, "db": node.get("Database"), "schema": node.get("Schema"), "table": node.get("Table"), "operation": operator.get("PhysicalOp"), "estimate": operator.get("EstimateRows"), "actual": operator.get("ActualRows")})
+        stack.extend((child, proc, operator) for child in node)
+    return out
+
+
 def plan_access(plans: DataFrame) -> DataFrame:
     """(proc, db, schema, table, is_write, operation, estimate_rows, actual_rows) of plan documents (xml).
 
     System schemas, work tables and temporary tables are left out; of several accesses of one kind to a table that
     with the most actual rows stays."""
-    accesses = """transform(sequence(1, cast(xpath_number(x, 'count(//*[local-name()="Object" and @Table])') as int)), i -> struct(
-      xpath_string(x, concat('(//*[local-name()="Object" and @Table])[', i, ']/ancestor::*[local-name()="StoredProc"][1]/@ProcName')) as proc,
-      xpath_string(x, concat('(//*[local-name()="Object" and @Table])[', i, ']/@Database')) as db,
-      xpath_string(x, concat('(//*[local-name()="Object" and @Table])[', i, ']/@Schema')) as schema,
-      xpath_string(x, concat('(//*[local-name()="Object" and @Table])[', i, ']/@Table')) as table,
-      xpath_string(x, concat('(//*[local-name()="Object" and @Table])[', i, ']/ancestor::*[local-name()="RelOp"][1]/@PhysicalOp')) as operation,
-      xpath_string(x, concat('(//*[local-name()="Object" and @Table])[', i, ']/ancestor::*[local-name()="RelOp"][1]/@EstimateRows')) as estimate,
-      xpath_string(x, concat('(//*[local-name()="Object" and @Table])[', i, ']/ancestor::*[local-name()="RelOp"][1]/@ActualRows')) as actual))"""
-    rows = plans.select(F.col("xml").alias("x")).where("xpath_number(x, 'count(//*[local-name()=\"Object\" and @Table])') > 0").select(F.explode(F.expr(accesses)).alias("a")).select("a.*")
+    @F.pandas_udf("array<struct<proc:string,db:string,schema:string,table:string,operation:string,estimate:string,actual:string>>")
+    def read(xml: pd.Series) -> pd.Series:
+        return xml.map(_accesses)
+
+    rows = plans.select(F.explode(read("xml")).alias("a")).select("a.*")
     bare = lambda c: F.regexp_replace(c, r"[\[\]]", "")
     rows = rows.select(bare("proc").alias("proc"), bare("db").alias("db"), bare("schema").alias("schema"), bare("table").alias("table"), "operation", F.expr("try_cast(estimate as double)").cast("bigint").alias("estimate_rows"), F.expr("try_cast(actual as bigint)").alias("actual_rows"))
-    write = F.lower("operation").rlike("|".join(_WRITERS))
+    write = F.coalesce(F.lower("operation").rlike("|".join(_WRITERS)), F.lit(False))
     rows = rows.where(~F.lower("schema").isin(*SYSTEM_SCHEMAS) & ~F.lower("table").startswith("worktable") & ~F.col("table").startswith("#")).withColumn("is_write", write)
     best = F.max_by(F.struct("operation", "estimate_rows", "actual_rows"), F.struct(F.coalesce("actual_rows", F.lit(-1)), "operation"))
     by = rows.groupBy("proc", "db", "schema", "table", "is_write").agg(best.alias("b"))
