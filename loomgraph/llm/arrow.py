@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +19,25 @@ def type_name(df: DataFrame, column: str) -> str:
     return kind.simpleString()
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The rows, of which at most 1,000 go to Python at a time from now on in this session: texts can be long, and
+    executors hold a batch several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= 1000:
+        df.sparkSession.conf.set(name, "1000")
+    return df
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers go on to other tasks, and what they hold counts against the executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int, column: int = 1, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that one slice has at most `rows` rows and about `size` bytes in a string column;
     a single longer text is a slice of its own."""
@@ -33,6 +55,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int, column: int = 1, size:
                 to = min(to, max(at + 1, int(np.searchsorted(offsets, int(offsets[at]) + size, side="right")) - 1))
             yield batch.slice(at, to - at)
             at = to
+    give_back()
 
 
 def per_slice(

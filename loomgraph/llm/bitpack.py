@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrow import lists, per_slice, type_name
+from .arrow import lists, per_slice, small_batches, type_name
 from .vocabulary import DEFAULT_VOCABULARY, library_chunks, vocabulary_size
 
 BLOCK = 1024
@@ -91,4 +91,4 @@ def packed_tokens(df: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col: s
         )
 
     schema = f"`{id_col}` {type_name(df, id_col)}, n_tokens int, bits int, block_offsets array<int>, packed binary"
-    return df.select(id_col, text_col).mapInArrow(per_slice(run), schema)
+    return small_batches(df).select(id_col, text_col).mapInArrow(per_slice(run), schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .arrow import lists, per_slice, type_name
+from .arrow import lists, per_slice, small_batches, type_name
 from .vocabulary import DEFAULT_VOCABULARY, MEMO, SPACE, Chunks, load_ranks, utf8
 
 PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
@@ -211,7 +211,7 @@ def encode_bpe(df: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col: str
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths.astype(np.int32), mask=null), lists(ids, lengths, null)], names=[id_col, "n_tokens", "ids"])
 
     schema = f"`{id_col}` {type_name(df, id_col)}, n_tokens int, ids array<int>"
-    return df.select(id_col, text_col).mapInArrow(per_slice(run, 8000), schema)
+    return small_batches(df).select(id_col, text_col).mapInArrow(per_slice(run, 8000), schema)
 
 
 def decode_bpe(df: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -240,4 +240,4 @@ def encode_with_check(df: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_co
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths.astype(np.int32), mask=null), lists(ids, lengths, null), pa.array(restored, pa.bool_())], names=[id_col, "n_tokens", "ids", "restored"])
 
     schema = f"`{id_col}` {type_name(df, id_col)}, n_tokens int, ids array<int>, restored boolean"
-    return df.select(id_col, text_col).mapInArrow(per_slice(run, 8000), schema)
+    return small_batches(df).select(id_col, text_col).mapInArrow(per_slice(run, 8000), schema)

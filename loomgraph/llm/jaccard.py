@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import lists, per_slice, slices, type_name
+from .arrow import give_back, lists, per_slice, slices, small_batches, type_name
 from .shared import checkpointed, components, written
 from .vocabulary import MEMO
 
@@ -186,7 +186,7 @@ def similar_units(df: DataFrame, n: int = N, threshold: float = THRESHOLD, id_co
     """(units, pairs): units are (n, first, ids), the documents of one n-gram set; pairs are
     (a, b, jaccard) of the numbers of different units that reach the threshold."""
     id_type = type_name(df, id_col)
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("id IS NOT NULL AND t IS NOT NULL")
+    texts = small_batches(df).select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("id IS NOT NULL AND t IS NOT NULL")
     counts = _levels(texts.select("t"), n)
 
     def describe(batch: pa.RecordBatch, hasher: _Hasher) -> pa.RecordBatch:
@@ -254,6 +254,7 @@ def similar_units(df: DataFrame, n: int = N, threshold: float = THRESHOLD, id_co
             for pair in _group_pairs(threshold)(iter(tokens)):
                 rows = pair.num_rows
                 yield pa.RecordBatch.from_arrays([pa.nulls(rows, kind), pair.column(0), pa.nulls(rows, pa.int64()), pair.column(2), pair.column(1)], names=names)
+        give_back()
 
     import pyarrow.compute  # noqa: F401
 
@@ -314,6 +315,8 @@ def similar_units(df: DataFrame, n: int = N, threshold: float = THRESHOLD, id_co
                     if shared >= threshold * (len(both) - shared) - 1e-9:
                         found.append((i, shared / (len(both) - shared)))
                 yield pa.RecordBatch.from_arrays([*rows.take(pa.array([i for i, _ in found], pa.int32())).columns, pa.array([j for _, j in found], pa.float64())], names=["a", "b", "jaccard"])
+        known.clear()
+        give_back()
 
     verified = shipped.unionByName(asked).repartition("task").mapInArrow(verify, "a bigint, b bigint, jaccard double")
     return units, verified

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import codes, per_slice, type_name
+from .arrow import codes, give_back, per_slice, small_batches, type_name
 
 SLOTS_BITS, HASHES, N = 21, 2, 4
 UNKNOWN = "und"
@@ -93,7 +93,7 @@ def train(df: DataFrame, docs_per_language: int = 1500, least_documents: int = 2
     least `least_count` times there and its share of the language's n-grams is at least `least_ratio` of its
     largest share in any language, so that stray foreign passages don't count. Labels of fewer than `least_documents` rows are no language; null
     labels and texts are left out. What reaches the driver is bounded by the sample, not by the table."""
-    labelled = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(label_col).alias("l")).where("l IS NOT NULL")
+    labelled = small_batches(df).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(label_col).alias("l")).where("l IS NOT NULL")
     sizes = {r.l: r["count"] for r in labelled.groupBy("l").count().where(F.col("count") >= least_documents).collect()}
     languages = sorted(sizes)
     model = Filters(languages)
@@ -155,7 +155,7 @@ def identify(df: DataFrame, model: Filters, least_share: float = 0.3, id_col: st
         )
 
     schema = f"`{id_col}` {type_name(df, id_col)}, language string, share double, second double, n_grams int"
-    return df.select(id_col, text_col).mapInArrow(per_slice(run, 1000), schema)
+    return small_batches(df).select(id_col, text_col).mapInArrow(per_slice(run, 1000), schema)
 
 
 def keep_identified(df: DataFrame, model: Filters, least_share: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -172,5 +172,6 @@ def keep_identified(df: DataFrame, model: Filters, least_share: float = 0.3, tex
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 yield run(batch.slice(at, 1000))
+        give_back()
 
-    return df.mapInArrow(parts, df.schema)
+    return small_batches(df).mapInArrow(parts, df.schema)

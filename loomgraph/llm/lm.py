@@ -16,7 +16,7 @@ import pyarrow.dataset
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import per_slice, type_name
+from .arrow import per_slice, small_batches, type_name
 from .shared import checkpointed, folder
 
 ORDER, LEAST_COUNT = 5, 2
@@ -78,7 +78,7 @@ def count_grams(df: DataFrame, order: int = ORDER, text_col: str = "text") -> Da
         for batch in slices(batches, 4000, column=0, size=8 << 20):
             yield run(batch)
 
-    texts = df.select(F.col(text_col).alias("t")).where("t IS NOT NULL")
+    texts = small_batches(df).select(F.col(text_col).alias("t")).where("t IS NOT NULL")
     return texts.mapInArrow(parts, "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
 
 
@@ -268,7 +268,7 @@ def score_loaded(df: DataFrame, path: str, order: int = ORDER, id_col: str = "do
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if t is None else len(t) for t in texts], pa.int32()), pa.array(scores, mask=null)], names=[id_col, "n_characters", "lp"])
 
     schema = f"`{id_col}` {type_name(df, id_col)}, n_characters int, lp double"
-    return _result(df.select(id_col, text_col).mapInArrow(per_slice(run, 4000), schema), id_col)
+    return _result(small_batches(df).select(id_col, text_col).mapInArrow(per_slice(run, 4000), schema), id_col)
 
 
 def score_joined(df: DataFrame, path: str, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

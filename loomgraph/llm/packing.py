@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .arrow import slices, type_name
+from .arrow import slices, small_batches, type_name
 from .vocabulary import DEFAULT_VOCABULARY, library_chunks
 
 CAPACITY, OPEN = 2048, 16
@@ -127,4 +127,4 @@ def pack_documents(df: DataFrame, capacity: int = CAPACITY, open_windows: int =
 
     import pyarrow.compute  # noqa: F401  (makes pa.compute available to the closures)
 
-    return df.select(id_col, text_col).mapInArrow(place, schema).repartition("grp").mapInArrow(finish, final)
+    return small_batches(df).select(id_col, text_col).mapInArrow(place, schema).repartition("grp").mapInArrow(finish, final)

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrow import codes, lists, per_slice, type_name
+from .arrow import codes, lists, per_slice, small_batches, type_name
 
 K, S = 40, 9
 #: Primes and multipliers of the hashes; all sums stay below 2^62, so SQL and numpy agree to the bit.
@@ -85,7 +85,7 @@ def fingerprints(df: DataFrame, k: int = K, s: int = S, id_col: str = "doc_id",
     if not 0 < s <= k:
         raise ValueError("s must lie between 1 and k")
     schema = f"`{id_col}` {type_name(df, id_col)}, n_anchors int, positions array<int>, fingerprints array<bigint>"
-    return df.select(id_col, text_col).mapInArrow(per_slice(run, 500), schema)
+    return small_batches(df).select(id_col, text_col).mapInArrow(per_slice(run, 500), schema)
 
 
 def oracle(k: int = K, s: int = S) -> str:

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrow import per_slice, type_name
+from .arrow import per_slice, small_batches, type_name
 from .bpe import pieces_of, trie_encoder
 from .vocabulary import DEFAULT_VOCABULARY, Chunks, utf8
 
@@ -111,4 +111,4 @@ def token_counts(df: DataFrame, budgets: tuple[int, ...] = (512, 2048), vocabula
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(at_end, pa.int32()), tables, *fits], names=[id_col, "n_tokens", "prefix_deltas", *(f"fits_{b}" for b in budgets)])
 
     schema = f"`{id_col}` {type_name(df, id_col)}, n_tokens int, prefix_deltas binary" + "".join(f", fits_{b} int" for b in budgets)
-    return df.select(id_col, text_col).mapInArrow(per_slice(run, 8000), schema)
+    return small_batches(df).select(id_col, text_col).mapInArrow(per_slice(run, 8000), schema)

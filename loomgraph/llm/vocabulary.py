@@ -19,7 +19,7 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Chunks in one generation of a worker's memo.
-MEMO = 500_000
+MEMO = 150_000
 
 _WIDE = re.compile(r" \s")
 _CUT = re.compile(f" (?=[^{SPACE}])")
