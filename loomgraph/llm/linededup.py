@@ -18,13 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow import slices, type_name
+from .arrow import slices, small_batches, type_name
 from .shared import checkpointed
 
 #: Lines of fewer words are only compared for equality: one word is too much of them.
 LEAST_WORDS = 8
-#: Lists of line numbers (16 bytes an entry) that are broadcast at most; longer ones are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Documents whose lists of lines (some 600 bytes each) are broadcast at most; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 250_000
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
@@ -82,7 +82,7 @@ def _range(n: int, roles: list[int]) -> tuple[int, int]:
 def repeated_lines(df: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lines): a document's lines, as (number, xxhash64 of the line), that come after an equal or near line."""
     id_type = type_name(df, id_col)
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("id IS NOT NULL AND t IS NOT NULL")
+    texts = small_batches(df).select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("id IS NOT NULL AND t IS NOT NULL")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2000):
@@ -156,7 +156,7 @@ def dedup_lines(df: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "do
     its lines becomes empty. Rows that repeat an id share their places: equal lines at one place of both
     stay in both. Lines of any length are compared whole."""
     lines = checkpointed(repeated_lines(df, least_words, id_col, text_col)).select(F.col("id").alias("i"), F.col("lines").alias("gone"))
-    lines = F.broadcast(lines) if lines.count() <= BROADCAST_ROWS // 4 else lines.hint("shuffle_hash")
+    lines = F.broadcast(lines) if lines.count() <= BROADCAST_ROWS else lines.hint("shuffle_hash")
     # the row goes as one column, so no name of its own can clash
     own = lambda c: F.col("row").getField(c)
     text, gone = own(text_col), F.col("gone")
