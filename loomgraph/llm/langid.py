@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -87,20 +88,23 @@ class Filters:
         return total, out
 
 
-def train(df: DataFrame, docs_per_language: int = 1500, least_documents: int = 20, least_count: int = 3, least_ratio: float = 0.2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Filters:
+def train(df: DataFrame, docs_per_language: int = 1500, least_count: int = 3, least_ratio: float = 0.2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Filters:
     """Filters from labelled rows: for each language about `docs_per_language` whole documents, chosen by a hash
     of their id (the documented bound of the training sample). An n-gram is added to a language if it comes up at
     least `least_count` times there and its share of the language's n-grams is at least `least_ratio` of its
-    largest share in any language, so that stray foreign passages don't count. Labels of fewer than `least_documents` rows are no language; null
-    labels and texts are left out. What reaches the driver is bounded by the sample, not by the table."""
-    labelled = small_batches(df).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(label_col).alias("l")).where("l IS NOT NULL")
-    sizes = {r.l: r["count"] for r in labelled.groupBy("l").count().where(F.col("count") >= least_documents).collect()}
+    largest share in any language, so that stray foreign passages don't count. Every label with a text is a language,
+    however rare: `least_count` is for a full sample and is less in proportion for a smaller one, and a share that
+    others are held against is taken a standard error lower, so that few documents don't take n-grams from a large
+    language. Null labels and texts are left out. What reaches the driver is bounded by the sample, not by the table."""
+    labelled = small_batches(df).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(label_col).alias("l")).where("l IS NOT NULL AND t IS NOT NULL")
+    sizes = {r.l: r["count"] for r in labelled.groupBy("l").count().collect()}
     languages = sorted(sizes)
     model = Filters(languages)
     if not languages:
         return model
     share = F.create_map(*[F.lit(x) for l in languages for x in (l, min(1.0, docs_per_language / sizes[l]))])
-    sample = labelled.where(F.col("l").isin(languages) & F.col("t").isNotNull()).where(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < share[F.col("l")] * (1 << 20))
+    least = F.array(*[F.lit(max(1, math.ceil(least_count * min(1.0, sizes[l] / docs_per_language)))) for l in languages])
+    sample = labelled.where(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < share[F.col("l")] * (1 << 20))
 
     def grams(batch: pa.RecordBatch) -> pa.RecordBatch:
         value, text = ngram_hashes(batch.column(1).to_pylist())
@@ -116,10 +120,11 @@ def train(df: DataFrame, docs_per_language: int = 1500, least_documents: int = 2
             names=["l", "h", "n"],
         )
 
-    counted = sample.select("l", "t").mapInArrow(per_slice(grams, 2000), "l int, h bigint, n bigint").groupBy("l", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count)
+    counted = sample.select("l", "t").mapInArrow(per_slice(grams, 2000), "l int, h bigint, n bigint").groupBy("l", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= least[F.col("l")])
     found = counted.toPandas()
-    found["share"] = found.n / found.groupby("l").n.transform("sum")
-    found = found[found.share >= least_ratio * found.groupby("h").share.transform("max")]
+    total = found.groupby("l").n.transform("sum")
+    found["share"], found["rival"] = found.n / total, (found.n - np.sqrt(found.n)) / total
+    found = found[found.share >= least_ratio * found.groupby("h").rival.transform("max")]
     for i in range(len(languages)):
         model.add(i, found.h[found.l == i].to_numpy().view(np.uint64))
     return model
@@ -159,13 +164,14 @@ def identify(df: DataFrame, model: Filters, least_share: float = 0.3, id_col: st
 
 
 def keep_identified(df: DataFrame, model: Filters, least_share: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text is not rejected; rows with a null text go as well."""
+    """The rows, with all their columns, whose text is not rejected; rows with a null text go as well. A model without
+    languages, as of a table without labels, rejects only texts without n-grams."""
     names = df.columns
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(names.index(text_col)).to_pylist()
         total, shares = model.shares([t or "" for t in texts])
-        good = (shares.max(1, initial=0) >= least_share) & (total > 0)
+        good = ((shares.max(1, initial=0) >= least_share) | (not model.languages)) & (total > 0)
         return batch.filter(pa.array(good))
 
     def parts(batches):

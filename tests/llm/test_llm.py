@@ -223,6 +223,20 @@ def test_language_of_odd_rows(spark):
     assert langid.train(df.limit(0)).languages == [] and langid.identify(df, langid.train(df.limit(0))).count() == len(ODD)
 
 
+def test_language_of_rare_labels_and_none(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    found = langid.identify(df, langid.train(df)).join(df.select("doc_id", "lang"), "doc_id")
+    assert found.where("language <> lang").count() == 0 and langid.keep_identified(df, langid.train(df)).count() == df.count()
+    rare = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en'").select("doc_id", "text", "lang")
+    rare = rare.unionByName(spark.createDataFrame([(-1, "kaksi vanhaa miestä istuu hiljaa järven rannalla", "fi")], rare.schema))
+    model = langid.train(rare)
+    assert model.languages == ["en", "fi"]
+    assert [r.language for r in langid.identify(rare.where("doc_id = -1"), model).collect()] == ["fi"]
+    assert langid.keep_identified(rare, model).count() == rare.count()
+    unlabelled = rare.withColumn("lang", F.lit(None).cast("string"))
+    assert langid.keep_identified(unlabelled, langid.train(unlabelled)).count() == rare.count()
+
+
 # 8
 
 def test_lines_by_sql(spark, documents, db):
