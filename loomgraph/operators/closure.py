@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +17,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def closure(edges: DataFrame, seeds: DataFrame, depth: int, keep_seed: bool = False) -> DataFrame:
-    """(seed, node, hops): what each seed reaches over (src, dst) edges within `depth` hops, with the fewest hops.
+#: What was visited is cut from its history each time it has so many parts more, or plans of deep closures grow too large.
+PARTS = 20
+
+
+def closure(edges: DataFrame, seeds: DataFrame, depth: int | None, keep_seed: bool = False) -> DataFrame:
+    """(seed, node, hops): what each seed reaches over (src, dst) edges within `depth` hops (None: all it
+    reaches), with the fewest hops.
 
     `seeds` has (seed, node). One frontier a hop, without what was visited before, so cycles end; the frontier is cut
     from its history each hop, and the loop stops when it is empty. The seed itself, at 0 hops, is left out unless
@@ -25,12 +31,14 @@ def closure(edges: DataFrame, seeds: DataFrame, depth: int, keep_seed: bool = Fa
     steps = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
     frontier = cut(seeds.select("seed", "node").distinct().withColumn("hops", F.lit(0)))
     visited = frontier
-    for hop in range(1, depth + 1):
+    for hop in count(1) if depth is None else range(1, depth + 1):
         new = frontier.join(steps, frontier.node == steps.src).select("seed", F.col("dst").alias("node")).distinct()
         frontier = cut(new.join(visited.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hops", F.lit(hop)))
         if frontier.isEmpty():
             break
         visited = visited.union(frontier)
+        if hop % PARTS == 0:
+            visited = cut(visited)
     return visited if keep_seed else visited.where("hops > 0")
 
 

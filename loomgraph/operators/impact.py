@@ -110,16 +110,18 @@ def column_procedures(graph: Graph, column: str, depth: int = 10) -> DataFrame:
     return reached.join(used, reached.node == used.dst).groupBy(F.col("owner").alias("object"), F.col("node").alias("column")).agg(F.min("hops").cast("bigint").alias("hops"))
 
 
-def lineage_roots(graph: Graph, depth: int = 20) -> DataFrame:
-    """(column, root, hops): for every column that derives from others, the origins that derive from nothing."""
+def lineage_roots(graph: Graph, depth: int | None = None) -> DataFrame:
+    """(column, root, hops): for every column that derives from others, the origins that derive from nothing.
+    `depth` bounds the derivations that are followed; without it all are."""
     edges = graph.type("DERIVES_FROM").select("src", "dst").where("src <> dst")
     seeds = edges.select(F.col("src").alias("seed"), F.col("src").alias("node")).distinct()
     reached = closure(edges, seeds, depth)
     return reached.join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti").select(F.col("seed").alias("column"), F.col("node").alias("root"), F.col("hops").cast("bigint").alias("hops"))
 
 
-def affects(graph: Graph, depth: int = 20) -> DataFrame:
-    """(object, table, hops, via): tables that an object changes through the objects it calls, with the fewest calls."""
+def affects(graph: Graph, depth: int | None = None) -> DataFrame:
+    """(object, table, hops, via): tables that an object changes through the objects it calls, with the fewest calls.
+    `depth` bounds the calls that are followed; without it all are."""
     calls = graph.type("CALLS").select(F.col("owner").alias("src"), "dst").where("src <> dst")
     seeds = calls.select(F.col("src").alias("seed"), F.col("src").alias("node")).distinct()
     reached = closure(calls, seeds, depth)

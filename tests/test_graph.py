@@ -53,6 +53,16 @@ def test_closure_of_cycles_nulls_and_nothing(spark):
     assert closure(edges.limit(0), seeds, 9).count() == 0
 
 
+def test_lineage_and_effects_of_any_depth(spark):
+    columns = [(f"D:table:t{i}:column:c", f"D:table:t{i - 1}:column:c", "DERIVES_FROM") for i in range(1, 46)]
+    calls = [(f"D::o{i}", f"D::o{i - 1}", "CALLS") for i in range(1, 24)] + [("D::o0", "D::o23", "CALLS"), ("D::o0", "D:table:x", "WRITES_TO")]
+    g = small(spark, [*columns, *calls])
+    assert sorted(map(tuple, impact.lineage_roots(g).collect())) == sorted((c, columns[0][1], i) for i, (c, _, _) in enumerate(columns, 1))
+    assert sorted(map(tuple, impact.affects(g).collect())) == sorted((f"D::o{i}", "D:table:x", i, "D::o0") for i in range(1, 24))
+    assert [tuple(r) for r in audit.dependent_views(g).collect()] == [("d:table:t0", 45)]
+    assert impact.lineage_roots(g, 20).count() == 20
+
+
 def test_change_maps(spark):
     g = small(spark, [("D::a", "D::b", "CALLS"), ("D::b", "D::c", "CALLS"), ("D::c", "D::b", "CALLS"), ("D::a", "D::d", "CALLS")])
     flows = sorted((r.path, r.cycle_back_to) for r in changemap.workflows(g).collect())
