@@ -5,13 +5,16 @@ visits. A database's calls are therefore brought together and walked in one plac
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.model import Graph
 
-PATHS_PER_ENTRY, PATH_DEPTH = 200, 50
+PATHS_PER_ENTRY, BLOCK = 200, 10_000
 
 
 def _calls(graph: Graph) -> DataFrame:
@@ -29,52 +32,81 @@ def _adjacent(rows: pd.DataFrame) -> dict[str, list[tuple[str, bool]]]:
     return out
 
 
+def _others(calls: dict[str, list[tuple[str, bool]]], node: str) -> Iterator[tuple[str, bool]]:
+    """What a node calls but itself."""
+    return ((d, c) for d, c in calls.get(node, []) if d != node)
+
+
+def _blocks(rows: Iterator[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows by the block, so that a worker holds one block and not all that a database gives."""
+    while block := list(islice(rows, BLOCK)):
+        yield pd.DataFrame(block, columns=names)
+
+
 def workflows(graph: Graph, per_entry: int = PATHS_PER_ENTRY) -> DataFrame:
-    """(entry, number, path, conditional, cycle_back_to): simple paths from every object that calls and isn't called, callees
-    in order, up to `per_entry` for one entry; a path ends where nothing is called or where it would come back."""
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        calls = _adjacent(rows)
+    """(entry, number, path, conditional, cycle_back_to, truncated): simple paths from every object that calls and isn't called,
+    callees in order, up to `per_entry` for one entry, which is `truncated` if it has more; a path ends where nothing is called
+    or where it would come back."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        calls = _adjacent(pd.concat(batches))
         called = {d for s, ds in calls.items() for d, _ in ds if d != s}
-        out = []
-        for entry in sorted(set(calls) - called):
-            found, stack = [], [((entry,), False)]
-            while stack and len(found) < per_entry:
-                path, conditional = stack.pop()
-                after = [(d, c) for d, c in calls.get(path[-1], []) if d != path[-1]]
-                back = [d for d, _ in after if d in path]
-                on = [(d, c) for d, c in after if d not in path]
-                for d in back:
-                    found.append((path, conditional, d))
-                if not after or len(path) > PATH_DEPTH:
-                    found.append((path, conditional, None))
+
+        def paths(entry: str) -> Iterator[tuple[str, bool, str | None]]:
+            path, conditional, open_ = [entry], [False], {entry}
+            stack = [_others(calls, entry)]
+            while stack:
+                d, c = next(stack[-1], (None, False))
+                if d is None:
+                    stack.pop()
+                    open_.remove(path.pop())
+                    conditional.pop()
+                elif d in open_:
+                    yield " > ".join(path), conditional[-1], d
+                elif next(_others(calls, d), None) is None:
+                    yield " > ".join([*path, d]), conditional[-1] or c, None
                 else:
-                    stack.extend(((*path, d), conditional or c) for d, c in reversed(on))
-            out.extend((entry, i, " > ".join(p), c, b) for i, (p, c, b) in enumerate(found[:per_entry]))
-        return pd.DataFrame(out, columns=["entry", "number", "path", "conditional", "cycle_back_to"])
+                    path.append(d)
+                    conditional.append(conditional[-1] or c)
+                    open_.add(d)
+                    stack.append(_others(calls, d))
+
+        def rows() -> Iterator[tuple]:
+            for entry in sorted(set(calls) - called):
+                if next(_others(calls, entry), None) is None:
+                    yield entry, 0, entry, False, None, False
+                    continue
+                found = list(islice(paths(entry), per_entry + 1))
+                truncated = len(found) > per_entry
+                yield from ((entry, i, p, c, b, truncated) for i, (p, c, b) in enumerate(found[:per_entry]))
 
-    return _calls(graph).groupBy("db").applyInPandas(run, "entry string, number bigint, path string, conditional boolean, cycle_back_to string")
+        yield from _blocks(rows(), ["entry", "number", "path", "conditional", "cycle_back_to", "truncated"])
 
+    return _calls(graph).groupBy("db").applyInPandas(run, "entry string, number bigint, path string, conditional boolean, cycle_back_to string, truncated boolean")
 
-def via_calls(graph: Graph, depth: int = 20) -> DataFrame:
+
+def via_calls(graph: Graph, depth: int | None = None) -> DataFrame:
     """(id, reached, depth, cycle): in depth-first order from each object, the depth at which a callee is met first; the
-    object itself comes once, as a cycle, if it can be reached."""
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        calls, out = _adjacent(rows), []
-        for root in sorted(calls):
-            seen, stack = {root: 0}, [(d, 1) for d, _ in reversed(calls[root])]
-            cycle = False
-            while stack:
-                node, level = stack.pop()
-                if node == root:
-                    if not cycle:
-                        out.append((root, root, level, True))
-                    cycle = True
-                elif node not in seen:
-                    seen[node] = level
-                    out.append((root, node, level, False))
-                    if level < depth:
-                        stack.extend((d, level + 1) for d, _ in reversed(calls.get(node, [])))
-        return pd.DataFrame(out, columns=["id", "reached", "depth", "cycle"])
+    object itself comes once, as a cycle, if it can be reached. `depth` bounds the walk; without it all is met."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        calls = _adjacent(pd.concat(batches))
+
+        def rows() -> Iterator[tuple]:
+            for root in sorted(calls):
+                seen, stack = {root: 0}, [(d, 1) for d, _ in reversed(calls[root])]
+                cycle = False
+                while stack:
+                    node, level = stack.pop()
+                    if node == root:
+                        if not cycle:
+                            yield root, root, level, True
+                        cycle = True
+                    elif node not in seen:
+                        seen[node] = level
+                        yield root, node, level, False
+                        if depth is None or level < depth:
+                            stack.extend((d, level + 1) for d, _ in reversed(calls.get(node, [])))
+
+        yield from _blocks(rows(), ["id", "reached", "depth", "cycle"])
 
     return _calls(graph).groupBy("db").applyInPandas(run, "id string, reached string, depth bigint, cycle boolean")
 
@@ -82,20 +114,25 @@ def via_calls(graph: Graph, depth: int = 20) -> DataFrame:
 def inlined_flow(graph: Graph, depth: int = 5) -> DataFrame:
     """(root, position, level, object): the calls of every object in order, each followed by its own, to a depth; an object
     that is open already isn't entered again."""
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        calls, out = _adjacent(rows), []
-
-        def walk(root: str, node: str, level: int, open_: tuple[str, ...], lines: list) -> None:
-            for d, _ in calls.get(node, []):
-                lines.append((root, len(lines), level, d))
-                if d not in open_ and level < depth and len(lines) < 10_000:
-                    walk(root, d, level + 1, (*open_, d), lines)
-
-        for root in sorted(calls):
-            lines: list = []
-            walk(root, root, 1, (root,), lines)
-            out.extend(lines)
-        return pd.DataFrame(out, columns=["root", "position", "level", "object"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        calls = _adjacent(pd.concat(batches))
+
+        def rows() -> Iterator[tuple]:
+            for root in sorted(calls):
+                path, stack, position = [root], [iter(calls[root])], 0
+                while stack:
+                    d, _ = next(stack[-1], (None, False))
+                    if d is None:
+                        stack.pop()
+                        path.pop()
+                        continue
+                    yield root, position, len(stack), d
+                    position += 1
+                    if d not in path and len(stack) < depth:
+                        path.append(d)
+                        stack.append(iter(calls.get(d, [])))
+
+        yield from _blocks(rows(), ["root", "position", "level", "object"])
 
     return _calls(graph).groupBy("db").applyInPandas(run, "root string, position bigint, level bigint, object string")
 

@@ -70,6 +70,22 @@ def test_change_maps(spark):
     assert sorted(map(tuple, changemap.via_calls(g).where("id = 'D::b'").collect())) == [("D::b", "D::b", 2, True), ("D::b", "D::c", 1, False)]
 
 
+def test_change_maps_without_caps(spark):
+    chain = [(f"D::c{i:02}", f"D::c{i + 1:02}", "CALLS") for i in range(60)]
+    g = small(spark, chain)
+    assert [tuple(r) for r in changemap.workflows(g).select("path", "cycle_back_to", "truncated").collect()] == [(" > ".join(f"D::c{i:02}" for i in range(61)), None, False)]
+    assert changemap.via_calls(g).where("id = 'D::c00'").count() == 60 and changemap.via_calls(g, 20).where("id = 'D::c00'").count() == 20
+    levels = [(f"E::{level}{a}", f"E::{level + 1}{b}", "CALLS") for level in range(1, 5) for a in range(7) for b in range(7)]
+    g = small(spark, [*(("E::0", f"E::1{b}", "CALLS") for b in range(7)), *levels])
+    flow = [tuple(r) for r in changemap.inlined_flow(g).where("root = 'E::0'").orderBy("position").select("position", "level", "object").collect()]
+    assert len(flow) == 7 + 7**2 + 7**3 + 7**4 + 7**5 and [p for p, _, _ in flow] == list(range(len(flow)))
+    assert flow[-7:] == [(len(flow) - 7 + b, 5, f"E::5{b}") for b in range(7)]
+    cut = changemap.workflows(g).collect()
+    assert len(cut) == 200 and all(r.truncated for r in cut)
+    exact = small(spark, [("F::a", f"F::b{i:03}", "CALLS") for i in range(200)])
+    assert [r.truncated for r in changemap.workflows(exact).collect()] == [False] * 200
+
+
 def test_diff(spark):
     a, b = (spark.createDataFrame(r, "id string, hash string") for r in ([("x", "1"), ("y", "1")], [("y", "2"), ("z", "1")]))
     assert sorted(map(tuple, compare.object_diff(a, b).collect())) == [("x", "removed"), ("y", "changed"), ("z", "added")]
