@@ -55,35 +55,39 @@ def slots(value: np.ndarray) -> list[np.ndarray]:
 
 
 class Filters:
-    """One slot array; bit l of a slot belongs to the filter of language l. A lookup is the AND of a few
-    slots and tells all languages at once."""
+    """A slot array; bit l of a slot belongs to the filter of language l. A lookup is the AND of a few
+    slots and tells all languages at once. Beyond 64 languages there is an array for each 64 of them."""
 
     def __init__(self, languages: list[str]):
-        if len(languages) > 64:
-            raise ValueError("at most 64 languages")
         self.languages = languages
-        width = next(w for w in (8, 16, 32, 64) if len(languages) <= w)
-        self.table = np.zeros(1 << SLOTS_BITS, f"u{width // 8}")
+        width = next((w for w in (8, 16, 32) if len(languages) <= w), 64)
+        self.tables = [np.zeros(1 << SLOTS_BITS, f"u{width // 8}") for _ in range(0, max(1, len(languages)), 64)]
 
     def add(self, language: int, value: np.ndarray) -> None:
+        table = self.tables[language // 64]
         for at in slots(value):
-            self.table[at] |= self.table.dtype.type(1 << language)
+            table[at] |= table.dtype.type(1 << language % 64)
+
+    @staticmethod
+    def bit(words: np.ndarray, language: int) -> np.ndarray:
+        return (words >> words.dtype.type(language % 64)) & words.dtype.type(1)
 
     def false_rates(self) -> np.ndarray:
-        return np.array([np.mean((self.table >> self.table.dtype.type(i)) & self.table.dtype.type(1)) ** HASHES for i in range(len(self.languages))])
+        return np.array([np.mean(self.bit(self.tables[i // 64], i)) ** HASHES for i in range(len(self.languages))])
 
     def shares(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Number of n-grams of each text, and by text and language the share that the language has, freed
         from the hits that are expected of n-grams it hasn't."""
         value, text = ngram_hashes(texts)
         first, *rest = slots(value)
-        masks = self.table[first]
-        for at in rest:
-            masks &= self.table[at]
         total = np.bincount(text, minlength=len(texts))
         out = np.zeros((len(texts), len(self.languages)))
         for i, rate in enumerate(self.false_rates()):
-            hits = np.bincount(text, weights=(masks >> masks.dtype.type(i)) & masks.dtype.type(1), minlength=len(texts))
+            if i % 64 == 0:
+                masks = self.tables[i // 64][first]
+                for at in rest:
+                    masks &= self.tables[i // 64][at]
+            hits = np.bincount(text, weights=self.bit(masks, i), minlength=len(texts))
             out[:, i] = np.clip((hits - total * rate) / (1 - rate) / np.maximum(total, 1), 0, 1)
         return total, out
 

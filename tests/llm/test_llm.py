@@ -237,6 +237,16 @@ def test_language_of_rare_labels_and_none(spark):
     assert langid.keep_identified(unlabelled, langid.train(unlabelled)).count() == rare.count()
 
 
+def test_language_of_many_labels(spark):
+    rng = random.Random(7)
+    rows = [(i, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(40)), f"l{i:03}") for i in range(130)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.train(df)
+    assert len(model.languages) == 130 and len(model.tables) == 3
+    found = langid.identify(df, model).join(df, "doc_id")
+    assert found.where("language = lang AND share > 0.9 AND second < 0.1").count() == 130 and langid.keep_identified(df, model).count() == 130
+
+
 # 8
 
 def test_lines_by_sql(spark, documents, db):
