@@ -1,28 +1,32 @@
 """Operator 2, approximate nearest neighbours by counting collisions.
 
-Each random projection keeps the vectors in sorted order. A query looks at a window around its own value in each
-projection; a vector that lies in the windows of enough projections is verified by its true distance. Windows
-grow by a factor (virtual rehashing) until they are so wide that a vector as near as the k-th found so far
-would, with the wanted probability, have collided often enough."""
+Each single random projection keeps the vectors of a block in a sorted array. A query looks at a window around its
+own value in each of them; windows grow by a factor (virtual rehashing), and a growing window reads only the
+stretch of the array that is new at either end, where it adds one to the collisions of each vector. A vector whose
+collisions reach the threshold is verified by its true distance. A query ends when its windows are so wide that
+a vector as near as the k-th found so far would, with the wanted probability, have collided often enough."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import erf, sqrt
+from math import ceil, erf, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import type_name
+from .arrow import give_back, type_name
 from .shared import checkpointed
 
-NEIGHBOURS, PROJECTIONS, THRESHOLD, GROWTH = 10, 64, 0.6, 3.0
+NEIGHBOURS, PROJECTIONS, THRESHOLD, GROWTH = 10, 64, 0.6, 1.5
 #: Quantile of the number of collisions that must reach the threshold: a vector at the k-th distance is
 #: missed with a probability of about 23 %, a nearer one with less; over all k it is some 5 %.
 SIGMAS = 0.75
-QUERY_BLOCK, DATA_BLOCK = 2048, 65536
+#: Vectors that are indexed together.
+DATA_BLOCK = 16384
+#: Queries that go through the rounds together.
+QUERY_BATCH = 64
 
 
 def width_factor(projections: int = PROJECTIONS, threshold: float = THRESHOLD, sigmas: float = SIGMAS) -> float:
@@ -44,139 +48,127 @@ class Index:
 
     def __init__(self, vectors: np.ndarray, projections: int, seed: int = 7):
         self.vectors = vectors
-        self.norms = np.einsum("ij,ij->i", vectors, vectors)
         self.directions = np.random.default_rng(seed).standard_normal((vectors.shape[1], projections)).astype(np.float32)
         values = (vectors @ self.directions).T
-        order = np.argsort(values, axis=1, kind="stable")
-        self.values = np.take_along_axis(values, order, 1)
-        self.ranks = np.empty(order.shape, np.uint16 if len(vectors) <= 1 << 16 else np.uint32)
-        np.put_along_axis(self.ranks, order, np.arange(len(vectors), dtype=self.ranks.dtype)[None, :], 1)
-
-    def collisions(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """In how many projections each vector's rank lies in left .. right - 1."""
-        counts = np.zeros(len(self.vectors), np.uint8 if len(self.ranks) < 256 else np.uint16)
-        moved, inside = np.empty(len(self.vectors), self.ranks.dtype), np.empty(len(self.vectors), bool)
-        for rank, a, b in zip(self.ranks, left.astype(self.ranks.dtype), right - left - 1):
-            if b >= 0:
-                np.subtract(rank, a, out=moved)
-                np.less_equal(moved, self.ranks.dtype.type(b), out=inside)
-                np.add(counts, inside.view(np.uint8), out=counts)
-        return counts
-
-    def search(self, queries: np.ndarray, k: int, own: list[int], threshold: int, factor: float, known: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query the places of the k nearest that are verified, with ties, and their squared distances. `own`
-        are the queries' own places or -1; `known` distances within which they have k neighbours elsewhere.
-
-        Queries go through the rounds together, so that the ends of all their windows in one projection are
-        found at once; each stops by its own distances."""
-        n, total = len(self.vectors), len(queries)
-        at, norms = queries @ self.directions, np.einsum("ij,ij->i", queries, queries)
-        half = np.full(total, float(np.median(self.values[:, -1] - self.values[:, 0])) / 32 or 1.0)
+        self.order = np.argsort(values, axis=1, kind="stable")
+        self.values = np.take_along_axis(values, self.order, 1)
+        spread = float(np.median(self.values[:, -1] - self.values[:, 0])) if len(vectors) else 0.0
+        self.first = spread / 16 or 1.0
+
+    def search(self, queries: np.ndarray, k: int, own: list[int], threshold: int, factor: float) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the places of the k nearest that are verified, with ties, and their distances. `own`
+        are the queries' own places or -1.
+
+        Queries widen their windows together, so that the ends of all of them in one array are found at once; each
+        stops by its own distances."""
+        n, total, at = len(self.vectors), len(queries), (queries @ self.directions).T
+        counts, verified = np.zeros((total, n), np.int16), np.zeros((total, n), bool)
+        for q, place in enumerate(own):
+            if place >= 0:
+                verified[q, place] = True
+        left = np.stack([v.searchsorted(x) for v, x in zip(self.values, at)])
+        right, half = left.copy(), np.full(total, self.first)
         best, far = [np.zeros(0, np.int64)] * total, [np.zeros(0)] * total
-        checked: list[np.ndarray] = [np.array([x], np.int64) if x >= 0 else np.zeros(0, np.int64) for x in own]
         active = np.arange(total)
         while len(active):
-            x, reach = at[active].T, half[active]
-            left = np.stack([np.searchsorted(v, c - reach) for v, c in zip(self.values, x)]).astype(np.int64)
-            right = np.stack([np.searchsorted(v, c + reach, "right") for v, c in zip(self.values, x)])
+            reach = half[active]
+            new_left = np.stack([v.searchsorted(x - reach) for v, x in zip(self.values, at[:, active])])
+            new_right = np.stack([v.searchsorted(x + reach, "right") for v, x in zip(self.values, at[:, active])])
+            need = np.full(len(active), np.inf)
             for i, q in enumerate(active.tolist()):
-                new = np.flatnonzero(self.collisions(left[:, i], right[:, i]) >= threshold)
-                if len(checked[q]):
-                    new = np.setdiff1d(new, checked[q], assume_unique=True)
+                fresh = [o[a:b] for o, a, b in zip(self.order, new_left[:, i].tolist(), left[:, q].tolist())]
+                fresh += [o[a:b] for o, a, b in zip(self.order, right[:, q].tolist(), new_right[:, i].tolist())]
+                counts[q] += np.bincount(np.concatenate(fresh), minlength=n).astype(np.int16)
+                new = np.flatnonzero((counts[q] >= threshold) & ~verified[q])
                 if len(new):
-                    checked[q] = np.concatenate([checked[q], new])
-                    distance = self.norms[new] - 2 * (self.vectors[new] @ queries[q]) + norms[q]
+                    verified[q, new] = True
+                    distance = np.sqrt(np.square(self.vectors[new] - queries[q]).sum(1, dtype=np.float64))
                     best[q], far[q] = np.concatenate([best[q], new]), np.concatenate([far[q], distance])
                     if len(best[q]) > k:
                         keep = np.flatnonzero(far[q] <= np.partition(far[q], k - 1)[k - 1])
                         best[q], far[q] = best[q][keep], far[q][keep]
-            need = np.array([factor * min(known[q], sqrt(max(0.0, far[q].max())) if len(far[q]) >= k else np.inf) for q in active.tolist()])
-            done = (half[active] >= need) | ((right - left).min(0) == n)
-            half[active] = np.maximum(half[active], np.minimum(half[active] * GROWTH, need))
+                if len(far[q]) >= k:
+                    need[i] = factor * far[q].max()
+            left[:, active], right[:, active] = new_left, new_right
+            done = (reach >= need) | ((new_right - new_left).min(0) == n)
+            half[active] = np.minimum(reach * GROWTH, need)
             active = active[~done]
         return list(zip(best, far))
 
 
-def nearest_neighbours(df: DataFrame, k: int = NEIGHBOURS, projections: int = PROJECTIONS, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """One row a vector: (id, neighbours, distances): the ids of its k nearest other vectors, nearest first, by
-    Euclidean distance. Every vector is a query. Approximate: a neighbour is missed with a probability of some
-    5 % (see SIGMAS); distances are exact. Equal distances are ordered by id.
+def nearest_neighbours(
+    df: DataFrame, k: int = NEIGHBOURS, projections: int = PROJECTIONS, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding",
+    queries: Column | None = None, data_block: int = DATA_BLOCK,
+) -> DataFrame:
+    """One row a query: (id, neighbours, distances): the ids of its k nearest other vectors among all rows, nearest
+    first, by Euclidean distance. `queries` is the condition that makes a row a query; unless given, the id is
+    divisible by 100. Approximate: a neighbour is missed with a probability of some 5 % (see SIGMAS); distances
+    are exact. Equal distances are ordered by id.
 
     A row is not its own neighbour, but rows of the same id or vector are neighbours of each other. With k other vectors
     or fewer, all of them are listed. Vectors that are null, empty, of another length than most, or with
-    elements that are null or not finite, get null neighbours and are nobody's."""
+    elements that are null or not finite, are nobody's neighbours, and as queries have null ones.
+
+    Vectors are indexed in blocks of about `data_block`; the queries go to each block behind its vectors and are
+    answered one after the other, so a task holds one block and its index whatever the size of the table. Only ids and
+    distances of the k best leave a block."""
     id_type, vector = type_name(df, id_col), F.col("v")
-    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
+    asks = F.coalesce(F.col(id_col) % 100 == 0 if queries is None else queries, F.lit(False))
+    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("v"), asks.alias("asks"))
     sizes = rows.where("size(v) > 0").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if sizes is None:
-        return rows.select(F.col("id").alias(id_col), F.lit(None).cast(f"array<{id_type}>").alias("neighbours"), F.lit(None).cast("array<float>").alias("distances"))
-    dimension, count = sizes.d, sizes["count"]
+        return rows.where("asks").select(F.col("id").alias(id_col), F.lit(None).cast(f"array<{id_type}>").alias("neighbours"), F.lit(None).cast("array<float>").alias("distances"))
+    dimension, blocks = sizes.d, ceil(sizes["count"] / data_block)
     usable = F.coalesce((F.size(vector) == dimension) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False))
     rows = checkpointed(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("usable", usable))
     good = rows.where("usable")
-    spread = F.xxhash64("row")
-
-    def packed(size: int) -> DataFrame:
-        """One row a block: its rows' numbers and ids, and the vectors side by side."""
-        blocks = -(-count // size)
-
-        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            batches = list(batches)
-            if not batches:
-                return
-            table = pa.Table.from_batches(batches).sort_by([("block", "ascending"), ("row", "ascending")])
-            kind = table.schema.field("id").type
-            number = table.column("block").to_numpy()
-            cuts = np.flatnonzero(np.diff(number, prepend=-1, append=-1))
-            for a, b in zip(cuts, cuts[1:]):
-                part = table.slice(a, b - a).combine_chunks()
-                flat = part.column("v").chunk(0).flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
-                yield pa.RecordBatch.from_arrays([pa.array([int(number[a])], pa.int32()), pa.array([part.column("row").to_numpy().tobytes()], pa.binary()), pa.array([part.column("id").to_pylist()], pa.list_(kind)), pa.array([flat.tobytes()], pa.binary())], names=["block", "rows", "ids", "data"])
-
-        placed = good.select(F.pmod(spread, F.lit(blocks)).cast("int").alias("block"), "row", "id", "v").repartition(blocks, "block")
-        return placed.mapInArrow(pack, f"block int, rows binary, ids array<{id_type}>, data binary")
+    least, factor = max(1, round(threshold * projections)), width_factor(projections, threshold)
 
-    least = max(1, round(threshold * projections))
-    factor = width_factor(projections, threshold)
+    vectors = good.select(F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "row", "id", "v")
+    asked = good.where("asks").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "row", "id", "v")
+    placed = vectors.union(asked).repartition(blocks, "block").sortWithinPartitions("block", "kind", "row")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexes: dict[int, Index] = {}
-        found: dict[int, tuple[np.ndarray, list, list[list[tuple[float, object]]]]] = {}
+        block, parts, index, places, ids = None, [], None, None, None
         for batch in batches:
-            kind = batch.column(2).type.value_type
-            for i in range(batch.num_rows):
-                q_block, q_rows, q_ids, q_data, d_block, d_rows, d_ids, d_data = (batch.column(j)[i].as_py() for j in range(8))
-                index = indexes.get(d_block)
-                if index is None:
-                    index = indexes[d_block] = Index(np.frombuffer(d_data, np.float32).reshape(-1, dimension), projections)
-                numbers, places = np.frombuffer(q_rows, np.int64), np.frombuffer(d_rows, np.int64)
-                own = np.minimum(np.searchsorted(places, numbers), len(places) - 1)
-                own = np.where(places[own] == numbers, own, -1)
-                state = found.setdefault(q_block, (numbers, q_ids, [[] for _ in numbers]))
-                vectors, every = np.frombuffer(q_data, np.float32).reshape(-1, dimension), state[2]
-                for at in range(0, len(vectors), 512):
-                    part = range(at, min(at + 512, len(vectors)))
-                    known = np.array([every[x][k - 1][0] if len(every[x]) >= k else np.inf for x in part])
-                    answers = index.search(vectors[part.start : part.stop], k, own[part.start : part.stop].tolist(), least, factor, known)
-                    for x, (best, far) in zip(part, answers):
-                        every[x].extend(zip(np.sqrt(np.maximum(far, 0)).tolist(), [d_ids[b] for b in best.tolist()]))
-                        every[x].sort(key=lambda p: (p[0], p[1] is None, p[1]))
-                        del every[x][k:]
-        for numbers, ids, lists in found.values():
-            flat = [(n, i, d, o) for n, i, have in zip(numbers.tolist(), ids, lists) for d, o in have]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in flat], pa.int64()), pa.array([x[2] for x in flat], pa.float32()), pa.array([x[3] for x in flat], kind)],
-                names=["row", "distance", "other"],
-            )
-
-    # every query meets every block of data; only ids and distances of the nearest leave a task
-    queries, data = packed(QUERY_BLOCK), packed(DATA_BLOCK)
-    data = checkpointed(data)
-    if -(-count // DATA_BLOCK) > 8:
-        data = data.coalesce(-(-count // DATA_BLOCK // 8))
-    pairs = checkpointed(queries).crossJoin(data.select(*(F.col(c).alias("d_" + c) for c in data.columns)))
-    near = pairs.mapInArrow(search, f"row bigint, distance float, other {id_type}")
-    best = near.groupBy("row").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "other"))), 1, k).alias("n"))
+            number, kind = (batch.column(i).to_numpy() for i in (0, 1))
+            cuts = np.flatnonzero((np.diff(number, prepend=-1, append=-1) != 0) | (np.diff(kind, prepend=-1, append=-1) != 0))
+            for a, b in zip(cuts, cuts[1:]):
+                part = batch.slice(a, b - a)
+                if number[a] != block:
+                    block, parts, index = number[a], [], None
+                if kind[a] == 0:
+                    parts.append(part)
+                    continue
+                if index is None and parts:
+                    table = pa.Table.from_batches(parts).combine_chunks()
+                    places, ids = table.column("row").to_numpy(), table.column("id").combine_chunks()
+                    index, parts = Index(_matrix(table.column("v").combine_chunks(), dimension), projections), []
+                if index is None:  # a block that got no vectors
+                    continue
+                asking, who = _matrix(part.column(4), dimension), part.column(2).to_numpy()
+                own = np.minimum(np.searchsorted(places, who), len(places) - 1)
+                own = np.where(places[own] == who, own, -1)
+                answers = []
+                for at in range(0, len(who), QUERY_BATCH):
+                    answers += index.search(asking[at : at + QUERY_BATCH], k, own[at : at + QUERY_BATCH].tolist(), least, factor)
+                near, distances = zip(*answers)
+                sizes = [len(x) for x in near]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(who, sizes)), pa.array(np.full(sum(sizes), block, np.int32)), pa.array(np.concatenate(distances).astype(np.float32)), ids.take(pa.array(np.concatenate(near)))],
+                    names=["row", "block", "distance", "other"],
+                )
+        give_back()
+
+    near = placed.mapInArrow(search, f"row bigint, block int, distance float, other {id_type}")
+    # in two steps, so that no list is longer than some k times the root of the number of blocks, but for ties
+    nearest = F.slice(F.array_sort(F.collect_list("one")), 1, k)
+    some = near.groupBy("row", F.pmod("block", F.lit(ceil(sqrt(blocks)))).alias("part")).agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "other"))), 1, k).alias("some"))
+    best = some.select("row", F.explode("some").alias("one")).groupBy("row").agg(nearest.alias("n"))
     none = F.array().cast(f"array<struct<distance:float,other:{id_type}>>")
-    out = rows.select("id", "row", "usable").join(best, "row", "left").withColumn("n", F.when(F.col("usable"), F.coalesce("n", none)))
+    out = rows.where("asks").select("id", "row", "usable").join(best, "row", "left").withColumn("n", F.when(F.col("usable"), F.coalesce("n", none)))
     return out.select(F.col("id").alias(id_col), F.col("n.other").alias("neighbours"), F.col("n.distance").alias("distances"))
+
+
+def _matrix(column: pa.ListArray, dimension: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, dimension)

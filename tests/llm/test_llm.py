@@ -90,28 +90,48 @@ def test_packed_tokens_of_odd_rows(spark):
 
 # 2
 
-def test_neighbours_recall(spark):
-    df = spark.read.parquet(f"{SF}/embeddings.parquet")
+@pytest.mark.parametrize("data_block", [16384, 150])
+def test_neighbours_recall(spark, data_block):
+    """Against brute force, every vector a query: one block, and several, whose results have to be merged."""
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = df.collect()
     x, ids = np.array([r.embedding for r in rows]), [r.vec_id for r in rows]
     d = ((x[:, None] - x[None]) ** 2).sum(2)
     np.fill_diagonal(d, np.inf)
-    found = {r.vec_id: r for r in ann.nearest_neighbours(df).collect()}
+    found = {r.vec_id: r for r in ann.nearest_neighbours(df, queries=F.lit(True), data_block=data_block).collect()}
     assert np.mean([len({ids[j] for j in np.argsort(d[i])[:10]} & set(found[v].neighbours)) / 10 for i, v in enumerate(ids)]) >= 0.9
-    assert all(found[v].distances == sorted(found[v].distances) for v in ids)
-    assert found[ids[0]].distances[0] == pytest.approx(float(np.sqrt(d[0].min())), rel=1e-4)
+    place = {v: i for i, v in enumerate(ids)}
+    for v in ids:
+        assert len(found[v].neighbours) == 10 and found[v].distances == sorted(found[v].distances)
+        assert found[v].distances == pytest.approx([float(np.sqrt(d[place[v], place[w]])) for w in found[v].neighbours], rel=1e-4)
+
+
+def test_neighbours_query(spark):
+    from loomgraph.llm import queries
+
+    rows = queries.op2_nearest_neighbours(spark, "/root/testdata/sf0.1").collect()
+    assert rows and all(r.vec_id % 100 == 0 and len(r.neighbours) == 10 and r.vec_id not in r.neighbours for r in rows)
+    assert any(v % 100 for r in rows for v in r.neighbours)
+
+
+def test_neighbours_of_repeated_vectors_over_blocks(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(30)] + [(100 + i, [float(i), 9.0]) for i in range(30)]
+    found = {r.vec_id: r for r in ann.nearest_neighbours(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), 3, queries=F.lit(True), data_block=8).collect()}
+    assert found[5].neighbours == [0, 1, 2] and found[0].neighbours == [1, 2, 3] and found[5].distances == [0, 0, 0]
+    assert sorted(found[110].neighbours[:2]) == [109, 111] and len(found) == 60
 
 
 def test_neighbours_of_odd_vectors(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, []), (5, [1.0]), (6, [1.0, float("nan")]), (7, [None, 1.0]), (None, [0.0, 0.0])]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("row", F.lit(1))
-    found = ann.nearest_neighbours(df).collect()
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("row", F.lit(1)).withColumn("block", F.lit("x")).withColumn("v", F.lit(2))
+    found = ann.nearest_neighbours(df, queries=F.lit(True)).collect()
     assert len(found) == len(rows)
     by = {r.vec_id: r for r in found}
     assert by[2].neighbours == [None, 1, 1] and by[2].distances == pytest.approx([1, 2**0.5, 2**0.5])
     assert all(by[i].neighbours is None for i in (3, 4, 5, 6, 7))
-    assert ann.nearest_neighbours(df.limit(0)).count() == 0
-    one = ann.nearest_neighbours(df.where("vec_id = 2")).collect()
+    assert ann.nearest_neighbours(df.limit(0)).count() == 0 and ann.nearest_neighbours(df).count() == 0
+    assert ann.nearest_neighbours(df.where("vec_id > 3"), queries=F.lit(True)).count() == 4
+    one = ann.nearest_neighbours(df.where("vec_id = 2"), queries=F.lit(True)).collect()
     assert len(one) == 1 and one[0].neighbours == []
 
 
