@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import give_back, lists, per_slice, slices, small_batches, type_name
+from .arrow import give_back, slices, small_batches, type_name
 from .shared import checkpointed, components, written
 from .vocabulary import MEMO
 
@@ -25,8 +25,10 @@ N, THRESHOLD = 2, 0.7
 #: Buckets of the frequency sketch, in bits. One byte a bucket reaches the workers, whatever the corpus's size.
 BUCKETS_BITS, _PIECES = 24, 64
 MARKS = ".,;:!?\"'()[]{}«»“”„…-"
-#: Rows of the list of documents to verify that are broadcast at most (24 bytes each); beyond, they are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Documents from which on an element is so frequent that its rows are split by bands of set sizes.
+HOT = 100_000
+#: Groups that a task remembers having sent; rows of prefix elements that are compared at once.
+SEEN, CHUNK = 200_000, 100_000
 #: Units of one component that are verified together.
 BLOCK = 1000
 _PRIMES = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
@@ -136,132 +138,164 @@ def _levels(texts: DataFrame, n: int) -> np.ndarray:
     return levels.ravel()
 
 
-def _group_pairs(threshold: float):
+def _banded(token: np.ndarray, level: np.ndarray, size: np.ndarray, threshold: float, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, visits): the keys under which a row of a prefix element is compared. A rare element is its own key. A
+    hot one has a key for each band of set sizes; as a partner is in the same band or the next larger one, a row goes to
+    its own band and as a visitor, which doesn't meet other visitors, to the next."""
+    row, key, visits = np.arange(len(token)), token.copy(), np.zeros(len(token), bool)
+    at = np.flatnonzero(level >= 8 * np.log2(hot + 1.0))
+    if len(at):
+        band = np.floor(np.log(size[at]) / -np.log(threshold) + 1e-6).astype(np.int64)
+        mixed = lambda b: (token[at].view(np.uint64) ^ (b.astype(np.uint64) + np.uint64(1)) * _PRIMES[1]) * _PRIMES[0]
+        key[at] = mixed(band).view(np.int64)
+        row, key, visits = np.concatenate([row, at]), np.concatenate([key, mixed(band + 1).view(np.int64)]), np.concatenate([visits, np.ones(len(at), bool)])
+    return row, key, visits
+
+
+class _GroupPairs:
     """Pairs of groups that share a prefix element and may reach the threshold by their sizes and the element's places.
 
     Near copies share most of their prefix, and would be found once for each of its elements. `prev` stands for the
     two elements before (24 bits each). An element that both have behind different ones counts 1; the one after it, if
     both have that too, counts 2; those that go on like this are left out. The first two elements that a pair
-    shares always count, so pairs with a sum below 2, which share one element by chance, can be left out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), pa.schema([("token", pa.int64()), ("g", pa.int64()), ("size", pa.int32()), ("pos", pa.int32()), ("prev", pa.int64())]))
-        token, group, size, pos, prev = (table.column(i).to_numpy() for i in range(5))
-        order = np.lexsort((group, size, token))
-        token, group, size, pos = token[order], group[order], size[order].astype(np.int64), pos[order].astype(np.int64)
-        prev = prev[order]
-        if len(token):
-            new = np.ones(len(token), bool)
-            new[1:] = (token[1:] != token[:-1]) | (group[1:] != group[:-1])
-            token, group, size, pos, prev = token[new], group[new], size[new], pos[new], prev[new]
-            run_of = np.concatenate([[0], np.cumsum(token[1:] != token[:-1])])
-            key = run_of * (1 << 33) + size
-            last = np.searchsorted(key, run_of * (1 << 33) + np.floor(size / threshold + 1e-9).astype(np.int64), side="right")
-            partners = last - np.arange(len(key)) - 1
-            ends = np.cumsum(partners)
-            at = 0
-            while at < len(key):  # so many rows that their pairs fit in memory, one row at least
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 2_000_000, side="right")))
-                n = partners[at:to]
-                a = np.repeat(np.arange(at, to), n)
-                b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
-                room = np.minimum(size[a] - pos[a], size[b] - pos[b]) + 1
-                first = np.minimum(pos[a], pos[b])
-                differ = prev[a] ^ prev[b]
-                starts = (first == 0) | (differ >> 24 != 0)
-                second = ~starts & ((first == 1) | (differ & 0xFFFFFF != 0))
-                fits = (room >= threshold / (1 + threshold) * (size[a] + size[b]) - 1e-9) & (starts | second)
-                low, high, weight = np.minimum(group[a[fits]], group[b[fits]]), np.maximum(group[a[fits]], group[b[fits]]), np.where(starts[fits], 1, 2)
-                order = np.lexsort((high, low))
-                low, high, weight = low[order], high[order], weight[order]
-                fresh = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])) if len(low) else np.zeros(0, np.int64)
-                total = np.add.reduceat(weight, fresh) if len(fresh) else weight
-                yield pa.RecordBatch.from_arrays([pa.array(low[fresh]), pa.array(high[fresh]), pa.array(total.astype(np.int32))], names=["ga", "gb", "weight"])
-                at = to
-
-    return run
-
-
-def similar_units(df: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(units, pairs): units are (n, first, ids), the documents of one n-gram set; pairs are
-    (a, b, jaccard) of the numbers of different units that reach the threshold."""
+    shares always count, so pairs with a sum below 2, which share one element by chance, can be left out.
+
+    Rows come sorted by key, size and group, and are compared chunk by chunk; what is held from one chunk to the next
+    are the rows of the last key whose size is still near enough."""
+
+    def __init__(self, threshold: float):
+        self.threshold = threshold
+        self.held = [np.zeros(0, np.int64)] * 5
+
+    def add(self, rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """rows: key, group, size, place (of a visitor -1 - place), prev."""
+        threshold, first = self.threshold, len(self.held[0])
+        token, group, size, pos, prev = (np.concatenate([h, x.astype(np.int64)]) for h, x in zip(self.held, rows))
+        if not len(token):
+            return
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (group[1:] != group[:-1])
+        new[:first] = True
+        token, group, size, pos, prev = token[new], group[new], size[new], pos[new], prev[new]
+        visits = pos < 0
+        pos = np.where(visits, -1 - pos, pos)
+        run_of = np.concatenate([[0], np.cumsum(token[1:] != token[:-1])])
+        key = run_of * (1 << 33) + size
+        partner = np.searchsorted(key, run_of[first:] * (1 << 33) + np.ceil(size[first:] * threshold - 1e-9).astype(np.int64))
+        number = np.arange(first, len(key)) - partner  # of partners that come before each new row
+        ends = np.cumsum(number)
+        at = 0
+        while at < len(number):  # so many rows that their pairs fit in memory, one row at least
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 2_000_000, side="right")))
+            n = number[at:to]
+            b = np.repeat(np.arange(first + at, first + to), n)
+            a = np.repeat(partner[at:to], n) + np.arange(len(b)) - np.repeat(np.cumsum(n) - n, n)
+            room = np.minimum(size[a] - pos[a], size[b] - pos[b]) + 1
+            before = np.minimum(pos[a], pos[b])
+            differ = prev[a] ^ prev[b]
+            starts = (before == 0) | (differ >> 24 != 0)
+            second = ~starts & ((before == 1) | (differ & 0xFFFFFF != 0))
+            fits = (room >= threshold / (1 + threshold) * (size[a] + size[b]) - 1e-9) & (starts | second) & ~(visits[a] & visits[b])
+            low, high, weight = np.minimum(group[a[fits]], group[b[fits]]), np.maximum(group[a[fits]], group[b[fits]]), np.where(starts[fits], 1, 2)
+            order = np.lexsort((high, low))
+            low, high, weight = low[order], high[order], weight[order]
+            fresh = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])) if len(low) else np.zeros(0, np.int64)
+            total = np.add.reduceat(weight, fresh) if len(fresh) else weight
+            yield pa.RecordBatch.from_arrays([pa.array(low[fresh]), pa.array(high[fresh]), pa.array(total.astype(np.int32))], names=["ga", "gb", "weight"])
+            at = to
+        hold = (run_of == run_of[-1]) & (size >= threshold * size[-1] - 1e-9)
+        self.held = [x[hold] for x in (token, group, size, np.where(visits, -1 - pos, pos), prev)]
+
+
+def similar_units(df: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, units, pairs): members are (id, n), which say that a document has unit n's set of n-grams; units
+    are (n, first, documents), the smallest id of a unit and its number of documents; pairs are (a, b, jaccard) of the
+    numbers of different units that reach the threshold."""
     id_type = type_name(df, id_col)
     texts = small_batches(df).select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("id IS NOT NULL AND t IS NOT NULL")
     counts = _levels(texts.select("t"), n)
 
-    def describe(batch: pa.RecordBatch, hasher: _Hasher) -> pa.RecordBatch:
-        keep, groups, units, sizes, prefixes = [], [], [], [], []
-        for i, text in enumerate(batch.column(1).to_pylist()):
-            values = hasher.sets(text)
-            if len(values):
-                prefix = _prefix(values, counts, threshold)
-                group, unit = _identity(values, prefix)
-                keep.append(i), groups.append(group), units.append(unit), sizes.append(len(values)), prefixes.append(prefix)
-        return pa.RecordBatch.from_arrays(
-            [
-                batch.column(0).take(pa.array(keep, pa.int32())),
-                pa.array(groups, pa.int64()),
-                pa.array(units, pa.int64()),
-                pa.array(sizes, pa.int32()),
-                lists(np.concatenate(prefixes or [np.zeros(0, np.uint64)]).view(np.int64), np.fromiter(map(len, prefixes), np.int64, len(prefixes))),
-            ],
-            names=["id", "g", "u", "size", "prefix"],
-        )
-
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of documents (token null) and of prefix elements (id null), so that texts are read once for both."""
-        hasher = _Hasher(n)
+        """Rows of documents (token null) and of prefix elements (id null), so that texts are read once for both. A task
+        sends a group's prefix once, however many copies it meets."""
+        hasher, seen = _Hasher(n), set()
         for batch in slices(batches, 1000):
-            made = describe(batch, hasher)
-            prefix = made.column(4)
-            lengths = np.diff(prefix.offsets.to_numpy())
-            flat = prefix.values
-            rows, own = made.num_rows, np.repeat(np.arange(made.num_rows), lengths)
+            keep, groups, units, sizes, prefixes, owners = [], [], [], [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                values = hasher.sets(text)
+                if len(values):
+                    prefix = _prefix(values, counts, threshold)
+                    group, unit = _identity(values, prefix)
+                    if group not in seen:
+                        seen.add(group)
+                        prefixes.append(prefix), owners.append(len(keep))
+                    keep.append(i), groups.append(group), units.append(unit), sizes.append(len(values))
+            if len(seen) > SEEN:
+                seen.clear()
+            lengths = np.fromiter(map(len, prefixes), np.int64, len(prefixes))
+            flat = np.concatenate(prefixes or [np.zeros(0, np.uint64)])
+            own = np.repeat(np.array(owners, np.int64), lengths)
             pos = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            values = flat.to_numpy()
+            values = flat.view(np.int64)
             prev = np.zeros(len(values), np.int64)
             short = values >> 7 & 0xFFFFFF
             prev[1:] = short[:-1] << 24
             prev[2:] |= short[:-2]
+            groups, sizes = np.array(groups, np.int64), np.array(sizes, np.int32)
+            level = counts[(flat >> np.uint64(64 - BUCKETS_BITS)).astype(np.int64)]
+            row, key, visits = _banded(values, level, sizes[own].astype(np.int64), threshold, hot)
+            own, rows = own[row], len(keep)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.concat_arrays([made.column(0), pa.nulls(len(flat), made.column(0).type)]),
-                    pa.concat_arrays([made.column(1), made.column(1).take(pa.array(own))]),
-                    pa.concat_arrays([made.column(2), pa.nulls(len(flat), pa.int64())]),
-                    pa.concat_arrays([made.column(3), made.column(3).take(pa.array(own))]),
-                    pa.concat_arrays([pa.nulls(rows, pa.int64()), flat]),
-                    pa.concat_arrays([pa.nulls(rows, pa.int32()), pa.array(pos.astype(np.int32))]),
-                    pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(prev)]),
+                    pa.concat_arrays([batch.column(0).take(pa.array(keep, pa.int32())), pa.nulls(len(key), batch.column(0).type)]),
+                    pa.array(np.concatenate([groups, groups[own]])),
+                    pa.concat_arrays([pa.array(units, pa.int64()), pa.nulls(len(key), pa.int64())]),
+                    pa.array(np.concatenate([sizes, sizes[own]])),
+                    pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(key)]),
+                    pa.concat_arrays([pa.nulls(rows, pa.int32()), pa.array(np.where(visits, -1 - pos[row], pos[row]).astype(np.int32))]),
+                    pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(prev[row])]),
                 ],
                 names=["id", "g", "u", "size", "token", "pos", "prev"],
             )
 
     read = texts.mapInArrow(ids_of, f"id {id_type}, g bigint, u bigint, size int, token bigint, pos int, prev bigint")
-    # documents and candidate pairs come out of one shuffle: prefix elements go by element, documents by group
-    routed = read.repartition(F.coalesce("token", "g"))
+    # one shuffle, of prefix elements by element; documents only pass through it, anywhere
+    routed = read.repartition(F.coalesce("token", F.xxhash64("id", "u"))).sortWithinPartitions("token", "size", "g")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = []
-        names = ["id", "g", "u", "size", "gb"]
+        names, pairs, waiting, rows = ["id", "g", "u", "size", "gb"], _GroupPairs(threshold), [], 0
+
+        def compared() -> Iterator[pa.RecordBatch]:
+            kind, columns = waiting[0][0], [np.concatenate([w[1][i] for w in waiting]) for i in range(5)]
+            for pair in pairs.add(columns):
+                none = pa.nulls(pair.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.nulls(pair.num_rows, kind), pair.column(0), none, pair.column(2), pair.column(1)], names=names)
+
         for batch in batches:
             is_token = batch.column(4).is_valid()
             doc = batch.filter(pa.compute.invert(is_token))
-            yield pa.RecordBatch.from_arrays([doc.column(0), doc.column(1), doc.column(2), doc.column(3), pa.nulls(doc.num_rows, pa.int64())], names=names)
+            if doc.num_rows:
+                yield pa.RecordBatch.from_arrays([doc.column(0), doc.column(1), doc.column(2), doc.column(3), pa.nulls(doc.num_rows, pa.int64())], names=names)
             tok = batch.filter(is_token)
-            tokens.append(pa.RecordBatch.from_arrays([tok.column(4), tok.column(1), tok.column(3), tok.column(5), tok.column(6)], names=["token", "g", "size", "pos", "prev"]))
-            kind = batch.column(0).type
-        if tokens:
-            for pair in _group_pairs(threshold)(iter(tokens)):
-                rows = pair.num_rows
-                yield pa.RecordBatch.from_arrays([pa.nulls(rows, kind), pair.column(0), pa.nulls(rows, pa.int64()), pair.column(2), pair.column(1)], names=names)
+            if tok.num_rows:
+                waiting.append((batch.column(0).type, [tok.column(i).to_numpy() for i in (4, 1, 3, 5, 6)]))
+                rows += tok.num_rows
+            if rows >= CHUNK:
+                yield from compared()
+                waiting.clear()
+                rows = 0
+        if waiting:
+            yield from compared()
         give_back()
 
     import pyarrow.compute  # noqa: F401
 
     # for a pair of groups, `size` is the weight by which it was found
     found = written(routed.mapInArrow(split, f"id {id_type}, g bigint, u bigint, size int, gb bigint"))
-    units = found.where("gb IS NULL").groupBy("g", "u").agg(F.min("id").alias("first"), F.max("size").alias("size"), F.array_sort(F.collect_set("id")).alias("ids"))
+    documents = found.where("gb IS NULL").select("id", "g", "u").distinct()
+    units = documents.groupBy("g", "u").agg(F.min("id").alias("first"), F.count("*").alias("documents"))
     units = written(units.withColumn("n", F.monotonically_increasing_id()))
+    members = documents.join(units.select("g", "u", "n"), ["g", "u"]).select("id", "n")
     a, b = (units.select(F.col("g").alias("g" + x), F.col("n").alias(x)) for x in "ab")
     across = found.where("gb IS NOT NULL").groupBy(F.col("g").alias("ga"), "gb").agg(F.sum("size").alias("weight")).where("weight > 1").join(a, "ga").join(b, "gb").select("a", "b")
     within = a.join(b, (F.col("ga") == F.col("gb")) & (F.col("a") < F.col("b"))).select("a", "b")
@@ -271,7 +305,6 @@ def similar_units(df: DataFrame, n: int = N, threshold: float = THRESHOLD, id_co
     member = components(pairs).select(F.col("node").alias("n"), F.col("component").alias("c"))
     member = member.join(member.groupBy("c").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "c")
     member = written(member.select("n", "c", F.pmod(F.xxhash64("n"), F.col("blocks")).alias("block")))
-    sets_to_send = member.count()
     of_a, of_b = (member.select(F.col("n").alias(x), "c", F.col("block").alias("block_" + x)) for x in "ab")
     task = F.xxhash64("c", F.least("block_a", "block_b"), F.greatest("block_a", "block_b"))
     placed = written(pairs.join(of_a, "a").join(of_b.drop("c"), "b").select(task.alias("task"), "a", "b"))
@@ -292,84 +325,101 @@ def similar_units(df: DataFrame, n: int = N, threshold: float = THRESHOLD, id_co
                 names=["task", "a", "values", "b"],
             )
 
-    wanted = F.broadcast(sent) if sets_to_send <= BROADCAST_ROWS else sent
-    shipped = texts.join(wanted, "id").select("t", "n", "g", "u", "tasks").mapInArrow(sets, "task bigint, a bigint, values binary, b bigint")
+    shipped = texts.join(sent, "id").select("t", "n", "g", "u", "tasks").mapInArrow(sets, "task bigint, a bigint, values binary, b bigint")
     asked = placed.select("task", "a", F.lit(None).cast("binary").alias("values"), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each task the sets come first (b null), then the pairs."""
         known: dict[int, np.ndarray] = {}
-        ask = []
+        task = None
         for batch in batches:
-            has = batch.column(2).is_valid()
-            mine = batch.filter(has)
-            known.update((u, _unpacked(v)) for u, v in zip(mine.column(1).to_pylist(), mine.column(2).to_pylist()))
-            ask.append(batch.filter(pa.compute.invert(has)).select(["a", "b"]))
-        for part in ask:
-            for at in range(0, part.num_rows, 50_000):
-                rows = part.slice(at, 50_000)
-                found = []
-                for i, (a, b) in enumerate(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())):
-                    both = np.concatenate([known[a], known[b]])
-                    both.sort(kind="stable")
-                    shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                    if shared >= threshold * (len(both) - shared) - 1e-9:
-                        found.append((i, shared / (len(both) - shared)))
-                yield pa.RecordBatch.from_arrays([*rows.take(pa.array([i for i, _ in found], pa.int32())).columns, pa.array([j for _, j in found], pa.float64())], names=["a", "b", "jaccard"])
+            a, b, values, similarities, good = batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(2), [], []
+            for i, t in enumerate(batch.column(0).to_pylist()):
+                if t != task:
+                    task = t
+                    known.clear()
+                if b[i] is None:
+                    known[a[i]] = _unpacked(values[i].as_py())
+                    continue
+                both = np.concatenate([known[a[i]], known[b[i]]])
+                both.sort(kind="stable")
+                shared = int(np.count_nonzero(both[1:] == both[:-1]))
+                if shared >= threshold * (len(both) - shared) - 1e-9:
+                    good.append(i), similarities.append(shared / (len(both) - shared))
+            yield pa.RecordBatch.from_arrays([*batch.select([1, 3]).take(pa.array(good, pa.int32())).columns, pa.array(similarities, pa.float64())], names=["a", "b", "jaccard"])
         known.clear()
         give_back()
 
-    verified = shipped.unionByName(asked).repartition("task").mapInArrow(verify, "a bigint, b bigint, jaccard double")
-    return units, verified
+    verified = shipped.unionByName(asked).repartition("task").sortWithinPartitions("task", F.col("b").asc_nulls_first()).mapInArrow(verify, "a bigint, b bigint, jaccard double")
+    return members, units, written(verified)
 
 
-def jaccard_join(df: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All pairs of documents whose sets of word n-grams have a Jaccard similarity of `threshold` at least, as
-    (ids, other_ids, jaccard): every document of `ids` has this similarity with every one of `other_ids`.
-    Documents of equal sets are listed together: one row with all of them in `ids`, `other_ids` empty and
-    similarity 1 stands for all pairs among them. Exact: no candidate is left out.
+def jaccard_pairs(df: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs), as described for jaccard_join: members are (id, representative), the smallest id of the
+    documents that have the same set; pairs are (a, b, jaccard) of different representatives."""
+    members, units, pairs = similar_units(df, n, threshold, id_col, text_col, hot)
+    first_a, first_b = (units.select(F.col("n").alias(x), F.col("first").alias("first_" + x)) for x in "ab")
+    named = pairs.join(first_a, "a").join(first_b, "b").select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"), "jaccard")
+    return members.join(units.select("n", "first"), "n").select(F.col("id").alias(id_col), F.col("first").alias("representative")), named.where("a <> b")
+
+
+def jaccard_join(df: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """One row a document: (id, class_id, n_links): the number of other documents whose set of word n-grams has a
+    Jaccard similarity of `threshold` at least with its own, and the smallest id among the documents that it is linked
+    with, directly or through others; its own where that is the smallest. Every link counts: copies are
+    counted, not expanded into pairs.
 
     Words are what lies between white space, in lower case, without punctuation at their ends. A text of
-    fewer than n words has one n-gram, all its words. Texts without words, null texts and null ids take no part.
-    Rows that repeat an id are one document that has each of its texts; it is never paired with itself."""
-    units, pairs = similar_units(df, n, threshold, id_col, text_col)
-    a, b = units.select(F.col("n").alias("a"), "ids"), units.select(F.col("n").alias("b"), F.col("ids").alias("other_ids"))
-    across = pairs.join(a, "a").join(b, "b").where("NOT (size(ids) = 1 AND ids = other_ids)")
-    swap = F.col("ids")[0] > F.col("other_ids")[0]
-    across = across.select(F.when(swap, F.col("other_ids")).otherwise(F.col("ids")).alias("ids"), F.when(swap, F.col("ids")).otherwise(F.col("other_ids")).alias("other_ids"), "jaccard")
-    same = units.where("size(ids) > 1").select("ids", F.array().cast(across.schema["ids"].dataType).alias("other_ids"), F.lit(1.0).alias("jaccard"))
-    return across.union(same)
+    fewer than n words has one n-gram, all its words. A document without words or with a null text is a class of its own;
+    rows with a null id have no row in the result. Rows that repeat an id are one document that has each of its texts;
+    links are counted text by text then, also those between its own.
+
+    n-grams are compared by 64 bits of hash. Two steps use fewer: of neighbours in a prefix 24 bits are
+    compared, and sets are verified by 48 bits an element; either can err by chance about once in 10^7 pairs. Nothing
+    else is left out: there is no cap on partners, candidates or lengths."""
+    members, units, pairs = similar_units(df, n, threshold, id_col, text_col, hot)
+    both = pairs.select("a", "b").union(pairs.select("b", "a"))
+    others = both.join(units.select(F.col("n").alias("b"), "documents"), "b").groupBy(F.col("a").alias("n")).agg(F.sum("documents").alias("others"))
+    # a document with several texts ties their units together
+    first = members.groupBy("id").agg(F.min("n").alias("b"), F.max("n").alias("last")).where("b < last").select("id", "b")
+    edges = pairs.select("a", "b").union(members.join(first, "id").select(F.col("n").alias("a"), "b").where("a <> b"))
+    component = components(edges).select(F.col("node").alias("n"), "component")
+    of_unit = checkpointed(units.join(component, "n", "left").join(others, "n", "left").select("n", "first", F.coalesce("component", "n").alias("component"), (F.col("documents") - 1 + F.coalesce("others", F.lit(0))).alias("links")))
+    least = of_unit.groupBy("component").agg(F.min("first").alias("class"))
+    linked = members.join(of_unit.join(least, "component").select("n", "class", "links"), "n").select("id", "class", "links")
+    alone = df.select(F.col(id_col).alias("id")).where("id IS NOT NULL")
+    rows = linked.union(alone.select("id", F.col("id").alias("class"), F.lit(0).cast("bigint")))
+    return rows.groupBy("id").agg(F.min("class").alias("class_id"), F.sum("links").alias("n_links")).select(F.col("id").alias(id_col), "class_id", "n_links")
 
 
 def keep_one_of_each_group(df: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, without those documents that are linked by pairs of the join,
-    directly or through others, to a document of smaller id. Of rows that repeat an id and a text one is kept."""
-    units, pairs = similar_units(df, n, threshold, id_col, text_col)
-    first_a, first_b = (units.select(F.col("n").alias(x), F.col("first").alias("first_" + x)) for x in "ab")
-    edges = pairs.join(first_a, "a").join(first_b, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
-    edges = edges.union(units.where("size(ids) > 1").select(F.explode("ids").alias("a"), F.col("first").alias("b")))
-    linked = checkpointed(components(edges.where("a <> b")).where("node <> component").select(F.col("node").alias(id_col)).distinct())
-    kept = df.join(_small(linked), id_col, "left_anti").select(df.columns)
-    repeated = checkpointed(df.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col))
+    """The rows, with all their columns, without those documents that jaccard_join puts in the class of
+    a smaller id. Of rows that repeat an id and a text one is kept; rows with a null id and those with null texts or
+    texts without words stay. Texts of any length are compared whole; an empty table stays empty."""
+    linked = jaccard_join(df, n, threshold, id_col, text_col).where(F.col("class_id") != F.col(id_col)).select(F.col(id_col).alias("_"))
+    linked = checkpointed(linked)
+    kept = df.join(linked, F.col(f"`{id_col}`") == linked["_"], "left_anti").select([f"`{c}`" for c in df.columns])
+    repeated = checkpointed(df.select(F.col(id_col).alias("_")).where("_ IS NOT NULL").groupBy("_").count().where("count > 1").select("_"))
     if repeated.isEmpty():
         return kept
-    twice = kept.join(_small(repeated), id_col, "left_semi").dropDuplicates([id_col, text_col])
-    return kept.join(_small(repeated), id_col, "left_anti").union(twice).select(df.columns)
-
-
-def _small(ids: DataFrame) -> DataFrame:
-    """To be broadcast if there are few, which is counted."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    again = kept[id_col] == repeated["_"]
+    twice = kept.join(repeated, again, "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(repeated, again, "left_anti").union(twice)
 
 
 def oracle(threshold: float = THRESHOLD) -> str:
     """For word bigrams."""
     marks = MARKS.replace("'", "''")
     return f"""
-WITH w AS (SELECT doc_id, list_transform(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> ''),
+WITH RECURSIVE w AS (SELECT doc_id, list_transform(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> ''),
   lambda x: CASE WHEN trim(x, '{marks}') = '' THEN x ELSE trim(x, '{marks}') END) AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
 s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 1 THEN [w[1]] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS s FROM w WHERE len(w) > 0),
-u AS (SELECT s, min(doc_id) AS f, list_sort(list(DISTINCT doc_id)) AS ids FROM s GROUP BY s),
+u AS (SELECT s, min(doc_id) AS f, count(DISTINCT doc_id) AS m FROM s GROUP BY s),
 e AS (SELECT f, len(s) AS n, unnest(s) AS t FROM u),
-p AS (SELECT a.f AS fa, b.f AS fb, a.n + b.n AS total, count(*) AS c FROM e a JOIN e b ON a.t = b.t AND a.f < b.f GROUP BY a.f, b.f, a.n, b.n HAVING count(*) >= {threshold} * (a.n + b.n - count(*)) - 1e-9)
-SELECT a.ids AS ids, b.ids AS other_ids, c / (total - c) AS jaccard FROM p JOIN u a ON a.f = fa JOIN u b ON b.f = fb
-UNION ALL SELECT ids, []::BIGINT[], 1.0 FROM u WHERE len(ids) > 1"""
+p AS (SELECT a.f AS a, b.f AS b FROM e a JOIN e b ON a.t = b.t AND a.f < b.f GROUP BY a.f, b.f, a.n, b.n HAVING count(*) >= {threshold} * (a.n + b.n - count(*)) - 1e-9),
+x AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+o AS (SELECT a, sum(m) AS others FROM x JOIN u ON u.f = x.b GROUP BY a),
+r(a, b) AS (SELECT a, b FROM x UNION SELECT r.a, x.b FROM r JOIN x ON x.a = r.b),
+k AS (SELECT a, least(a, min(b)) AS k FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(k.k, u.f, d.doc_id) AS class_id, (coalesce(u.m, 1) - 1 + coalesce(o.others, 0))::BIGINT AS n_links
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN s ON s.doc_id = d.doc_id LEFT JOIN u ON u.s = s.s LEFT JOIN k ON k.a = u.f LEFT JOIN o ON o.a = u.f"""

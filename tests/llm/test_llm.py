@@ -377,13 +377,27 @@ def test_windows_of_odd_rows(spark):
 
 # 10
 
-def test_jaccard_by_sql(spark, documents, db):
-    found = jaccard.jaccard_join(documents).withColumn("jaccard", F.round("jaccard", 9))
-    against(found, db, f"SELECT ids, other_ids, round(jaccard, 9) AS jaccard FROM ({jaccard.oracle()})")
-
-
-@pytest.mark.parametrize(("n", "threshold"), [(1, 0.5), (2, 0.7), (3, 0.9)])
-def test_jaccard_brute_force(spark, n, threshold):
+@pytest.mark.parametrize("hot", [jaccard.HOT, 3])
+def test_jaccard_by_sql(spark, documents, db, hot):
+    against(jaccard.jaccard_join(documents, hot=hot), db, jaccard.oracle())
+
+
+def classes_of(pairs, ids):
+    group = {i: i for i in ids}
+    for _ in ids:
+        for a, b in pairs:
+            group[a] = group[b] = min(group[a], group[b])
+    return group
+
+
+@pytest.mark.parametrize(("n", "threshold", "hot"), [(1, 0.5, jaccard.HOT), (1, 0.5, 2), (2, 0.7, 2), (2, 0.7, jaccard.HOT), (3, 0.9, 5)])
+def test_jaccard_brute_force(spark, request, monkeypatch, n, threshold, hot):
+    """Also where elements are split by bands, and where rows come in many small chunks."""
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "5")
+    request.addfinalizer(lambda: spark.conf.set(batch, before))
+    monkeypatch.setattr(jaccard, "CHUNK", 7)
     rng = random.Random(n)
     words = [f"w{i}" for i in range(40)]
     base = [[rng.choice(words) for _ in range(rng.randint(1, 30))] for _ in range(30)]
@@ -401,25 +415,39 @@ def test_jaccard_brute_force(spark, n, threshold):
 
     sets = {i: grams(t) for i, t in rows}
     wanted = {(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]) - 1e-9}
-    found = set()
-    for r in jaccard.jaccard_join(docs(spark, rows), n, threshold).collect():
-        pairs = [(a, b) for a in r.ids for b in r.other_ids or r.ids if a != b]
-        found |= {(min(p), max(p)) for p in pairs}
+    members, pairs = jaccard.jaccard_pairs(docs(spark, rows), n, threshold, hot=hot)
+    own = {}
+    for r in members.collect():
+        own.setdefault(r.representative, []).append(r.doc_id)
+    found = {(min(i, j), max(i, j)) for r in pairs.collect() for i in own[r.a] for j in own[r.b]}
+    found |= {(i, j) for ids in own.values() for i in ids for j in ids if i < j}
     assert found == wanted
+    group = classes_of(wanted, sets)
+    rows = jaccard.jaccard_join(docs(spark, rows), n, threshold, hot=hot).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in rows} == {i: (group[i], sum(i in p for p in wanted)) for i in sets} and len(rows) == len(sets)
 
 
 def test_jaccard_of_odd_rows(spark):
-    rows = [*ODD, (8, "One, two three!"), (9, "..."), (10, "..."), (11, "solo"), (12, "Solo")]
+    rows = [*ODD, (8, "One, two three!"), (9, "..."), (10, "..."), (11, "solo"), (12, "Solo"), (13, "a b c d"), (13, "e f g h"), (14, "e f g h")]
     found = jaccard.jaccard_join(docs(spark, rows)).collect()
-    assert sorted((r.ids, r.other_ids, r.jaccard) for r in found) == [([1, 8], [], 1.0), ([9, 10], [], 1.0), ([11, 12], [], 1.0)]
-    df = docs(spark, rows)
+    linked = {(1, 1, 1), (8, 1, 1), (9, 9, 1), (10, 9, 1), (11, 11, 1), (12, 11, 1), (13, 13, 1), (14, 13, 1)}
+    assert {(r.doc_id, r.class_id, r.n_links) for r in found} == linked | {(i, i, 0) for i in range(2, 8)}
+    df = docs(spark, rows).withColumn("_", F.lit(1)).withColumn("class_id", F.lit(2))
     kept = jaccard.keep_one_of_each_group(df)
     assert kept.columns == df.columns
     ids = sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is None, x))
-    assert ids == [1, 2, 3, 4, 5, 6, 7, 9, 11, None]
+    assert ids == [1, 2, 3, 4, 5, 6, 7, 9, 11, 13, 13, None]
     assert jaccard.jaccard_join(docs(spark, [])).count() == 0 and jaccard.keep_one_of_each_group(docs(spark, [])).count() == 0
 
 
+def test_jaccard_of_one_hot_text(spark):
+    """A third of all rows are copies of one text; half of the rest differ from it by a word."""
+    base = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(base)) for i in range(200)] + [(200 + i, " ".join([*base[:-1], f"x{i}"])) for i in range(50)] + [(300 + i, f"text of its own {i} y{i} z{i} a{i}") for i in range(50)]
+    found = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.jaccard_join(docs(spark, rows), hot=5).collect()}
+    assert found[0] == (0, 249) and found[220] == (0, 249) and found[310] == (310, 0)
+
+
 def test_components(spark):
     from loomgraph.llm.shared import components
 
@@ -455,7 +483,7 @@ def test_pipeline(spark):
         ids = now
     texts = {r.doc_id: (r.text, r.n_chars) for r in current.collect()}
     assert all(n == len(t) for t, n in texts.values())
-    assert jaccard.jaccard_join(current).count() == 0
+    assert jaccard.jaccard_join(current).where("n_links > 0").count() == 0
     windows = corpus_pipeline.run(spark, SF).collect()
     library = vocabulary.library_encoder(PATH)
     check_windows(windows, {d: len(library.encode_ordinary(t)) for d, (t, _) in texts.items()}, packing.CAPACITY)
