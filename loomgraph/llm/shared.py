@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where none is set, as in tests, one made for it."""
+    """The folder that all executors share: spark.checkpoint.dir. Where none is set a local session, as in tests, gets one of
+    its own; on a cluster that is an error, as a folder of one machine would not do."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint"))
+        shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint"))
     return context.getCheckpointDir()
 
 
