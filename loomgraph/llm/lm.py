@@ -2,28 +2,32 @@
 
 Counts are taken over every text of the corpus and smoothed after Witten and Bell. A state of the automaton is a
 context; an arc reads a character, has its log-probability, and leads to the longest context that is known then;
-a failure arc shortens the context at the price of its backoff weight. A text is scored in one pass that carries a state."""
+a failure arc shortens the context at the price of its backoff weight. A text is scored in one pass that carries a state.
+
+The model may be larger than any worker's memory, so no worker loads it whole. Texts are read in blocks of some
+megabytes; a block asks the model's table for the arcs that its own n-grams take, and for failure arcs where there are none,
+builds the automaton of these, and its texts are traversed with it. That is the same at every size of the model."""
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.dataset
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import per_slice, small_batches, type_name
-from .shared import checkpointed, folder
+from .arrow import give_back, slices, small_batches, type_name
+from .shared import checkpointed, folder, written
 
-ORDER, LEAST_COUNT = 5, 2
+ORDER, LEAST_COUNT = 5, 1
 #: Stands before a text begins; a text that has this non-character has U+FFFD in its place.
 PAD = "\U0010ffff"
-#: n-grams of a model that each worker loads (some 60 bytes each); a larger one is joined instead.
-LOADED_GRAMS = 8_000_000
+#: Bytes of text in a block: whole texts until there are so many; and of texts that are traversed side by side.
+BLOCK, SIDE_BY_SIDE = 8 << 20, 4 << 20
 #: Code points: what an unseen character's share is spread over.
 CODES = 0x110000
 LANES = 8192
@@ -49,8 +53,6 @@ def _grams(flat: np.ndarray, order: int) -> tuple[list[str], np.ndarray, np.ndar
         key = np.zeros(count, np.int64)
         for j in range(order):
             key = key << bits | small[j : j + count]
-        import pandas as pd
-
         which, distinct = pd.factorize(key)
         shifts = np.arange(order - 1, -1, -1) * bits
         windows = alphabet[(distinct[:, None] >> shifts) & ((1 << bits) - 1)]
@@ -61,36 +63,55 @@ def _grams(flat: np.ndarray, order: int) -> tuple[list[str], np.ndarray, np.ndar
     return [joined[i : i + order] for i in range(0, len(joined), order)], which, windows
 
 
-def count_grams(df: DataFrame, order: int = ORDER, text_col: str = "text") -> DataFrame:
-    """(g, n): every window of `order` characters of every text, with `order` - 1 pads before it, and its number."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        joined = "".join(PAD * (order - 1) + _clean(t) for t in batch.column(0).to_pylist())
-        flat = np.frombuffer((joined + PAD).encode("utf-32-le"), "<u4")
-        grams, which, windows = _grams(flat, order) if len(flat) >= order else ([], np.zeros(0, np.int64), np.zeros((0, order)))
-        counts = np.bincount(which, minlength=len(grams))
-        real = np.flatnonzero(windows[:, -1] != ord(PAD)) if len(grams) else []
-        return pa.RecordBatch.from_arrays([pa.array([grams[i] for i in real], pa.string()), pa.array(counts[real] if len(grams) else [], pa.int64())], names=["g", "n"])
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .arrow import slices
-
-        for batch in slices(batches, 4000, column=0, size=8 << 20):
-            yield run(batch)
-
-    texts = small_batches(df).select(F.col(text_col).alias("t")).where("t IS NOT NULL")
-    return texts.mapInArrow(parts, "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
+def blocked(df: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The texts cut into blocks, written to the shared folder: a row a text (block, id, t), and a row for each different
+    window of `order` characters of a block (block, g, n) with its number; a text has `order` - 1 pads before it."""
+    id_type = type_name(df, id_col)
+    names = ["block", "id", "t", "g", "n"]
+
+    def described(block: int, batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for batch in batches:
+            rows = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, block)), batch.column(0), batch.column(1), pa.nulls(rows, pa.string()), pa.nulls(rows, pa.int64())], names=names)
+            parts += [PAD * (order - 1) + _clean(t) for t in batch.column(1).to_pylist() if t]
+        flat = np.frombuffer(("".join(parts) + PAD).encode("utf-32-le"), "<u4")
+        if len(flat) >= order and parts:
+            grams, which, windows = _grams(flat, order)
+            counts = np.bincount(which, minlength=len(grams))
+            real = np.flatnonzero(windows[:, -1] != ord(PAD))
+            rows = len(real)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, block)), pa.nulls(rows, batch.column(0).type), pa.nulls(rows, batch.column(1).type), pa.array([grams[i] for i in real], pa.string()), pa.array(counts[real])], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, waiting, size = TaskContext.get().partitionId() << 32, [], 0
+        for batch in slices(batches, 4000, size=BLOCK):
+            waiting.append(batch)
+            size += batch.column(1).nbytes
+            if size >= BLOCK:
+                yield from described(block, waiting)
+                block, waiting, size = block + 1, [], 0
+        if waiting:
+            yield from described(block, waiting)
+        give_back()
+
+    return written(small_batches(df).select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"block bigint, id {id_type}, t string, g string, n bigint"))
 
 
 def train(df: DataFrame, order: int = ORDER, least_count: int = LEAST_COUNT, text_col: str = "text") -> str:
     """Build a model of the whole corpus; the folder that it is written to, below the shared one.
 
     Rows are (k, g, lp, bow): an n-gram of k characters, the log-probability of its last one, and its backoff weight as
-    a context. n-grams of two characters and more that come up fewer than `least_count` times are left out."""
-    spark, path = df.sparkSession, f"{folder(df.sparkSession)}/lm-{uuid.uuid4().hex}"
-    counted = checkpointed(count_grams(df, order, text_col))
+    a context. n-grams of two characters and more that come up fewer than `least_count` times are left out; with the
+    default of 1 none are."""
+    return _train(blocked(df, order, text_col, text_col), order, least_count)
+
+
+def _train(blocks: DataFrame, order: int, least_count: int) -> str:
+    spark, path = blocks.sparkSession, f"{folder(blocks.sparkSession)}/lm-{uuid.uuid4().hex}"
+    counted = checkpointed(blocks.where("g IS NOT NULL").groupBy("g").agg(F.sum("n").alias("n")))
     kept = [counted.select(F.expr(f"right(g, {k})").alias("g"), "n").groupBy("g").agg(F.sum("n").alias("n")) for k in range(1, order)] + [counted]
-    kept = [kept[0], *(x.where(F.col("n") >= least_count) for x in kept[1:])]
+    kept = [kept[0], *(x.where(F.col("n") >= least_count) if least_count > 1 else x for x in kept[1:])]
     contexts = [x.groupBy(F.expr(f"left(g, {k - 1})").alias("h")).agg(F.sum("n").alias("c"), F.count("*").alias("t")) for k, x in enumerate(kept, 1)]
     weight = F.log(F.col("t") / (F.col("c") + F.col("t")))
     for k, x in enumerate(kept, 1):
@@ -112,64 +133,71 @@ def train(df: DataFrame, order: int = ORDER, least_count: int = LEAST_COUNT, tex
     return path
 
 
+def _numbered(windows: np.ndarray, symbols: np.ndarray, width: int, tables: list[np.ndarray]) -> np.ndarray:
+    """A number for each window, the same for equal ones, whatever the size of the alphabet. `tables`, empty at first, lets
+    the same windows be numbered again."""
+    number, bits, fill, at = np.zeros(len(windows), np.int64), int(width).bit_length(), not tables, 0
+    for j in range(windows.shape[1]):
+        if j and bits * (j + 1) > 62:
+            if fill:
+                tables.append(np.unique(number))
+            number, at = np.searchsorted(tables[at], number) * width + symbols[windows[:, j]], at + 1
+        else:
+            number = number << bits | symbols[windows[:, j]]
+    return number
+
+
 class Automaton:
-    """The arrays of a model's states and arcs. State 0 is the empty context."""
-
-    def __init__(self, path: str, order: int):
-        self.order = order
-        rows = [self._read(path, k) for k in range(order + 1)]
-        self.unseen = (float(rows[0][2][0]) if len(rows[0][2]) else 0.0) - np.log(CODES)
-        alphabet = np.unique(np.concatenate([r[0].ravel() for r in rows[1:]] or [np.zeros(0, np.uint32)]))
-        bits = max(1, int(len(alphabet)).bit_length())
-        if bits * (order - 1) > 62:
-            raise ValueError("too many different characters for contexts of this length")
+    """The arrays of states and arcs that a block's texts can reach. State 0 is the empty context.
+
+    `arcs` are (windows, log-probabilities) by length, of which the longest are all windows of the block, NaN where
+    the model has none; `weights` are (contexts, backoff weights) by length; `unseen` is the log-probability of a character
+    that the model doesn't know."""
+
+    def __init__(self, order: int, arcs: dict[int, tuple[np.ndarray, np.ndarray]], weights: dict[int, tuple[np.ndarray, np.ndarray]], unseen: float):
+        self.order, self.unseen = order, unseen
+        longest = arcs[order][0]
+        alphabet = np.unique(longest)
         self.symbols = np.full(CODES, len(alphabet), np.int32)
         self.symbols[alphabet] = np.arange(len(alphabet))
         self.width = len(alphabet) + 1
-        keys, offsets, first = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], 1
-        backoff, sort = [np.zeros(1)], []
-
-        def packed(windows: np.ndarray) -> np.ndarray:
-            key = np.zeros(len(windows), np.int64)
-            for j in range(windows.shape[1]):
-                key = key << bits | self.symbols[windows[:, j]]
-            return key
-
-        for k in range(1, order):
-            key = packed(rows[k][0])
-            at = np.argsort(key)
-            keys.append(key[at])
-            offsets.append(first)
-            first += len(key)
-            backoff.append(rows[k][2][at])
-            sort.append(at)
-
-        def state(windows: np.ndarray) -> np.ndarray:
-            """State of contexts of one length that are known to exist."""
-            k = windows.shape[1]
-            return (np.searchsorted(keys[k], packed(windows)) + offsets[k]).astype(np.int32) if k else np.zeros(len(windows), np.int32)
-
-        self.backoff = np.concatenate(backoff)
-        self.fail = np.concatenate([np.zeros(1, np.int32), *(state(rows[k][0][sort[k - 1]][:, 1:]) for k in range(1, order))])
-        arcs, scores, targets = [], [], []
-        for k in range(1, order + 1):
-            has = ~np.isnan(rows[k][1])
-            windows = rows[k][0][has]
-            arcs.append(state(windows[:, :-1]).astype(np.int64) * self.width + self.symbols[windows[:, -1]])
-            scores.append(rows[k][1][has])
-            targets.append(state(windows if k < order else windows[:, 1:]))
-        self.start = int(state(np.full((1, order - 1), ord(PAD), np.uint32))[0]) if first > 1 else 0
-        self._index(np.concatenate(arcs), np.concatenate(scores), np.concatenate(targets))
-
-    @staticmethod
-    def _read(path: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        from pyarrow import fs
-
-        files, place = fs.FileSystem.from_uri(f"{path}/k={k}") if ":" in path else (fs.LocalFileSystem(), f"{path}/k={k}")
-        table = pyarrow.dataset.dataset(place, filesystem=files, format="parquet").to_table(["g", "lp", "bow"])
-        joined = "".join(table.column("g").to_pylist())
-        windows = np.frombuffer(joined.encode("utf-32-le"), "<u4").reshape(-1, max(k, 1))
-        return windows, table.column("lp").to_numpy().astype(float), table.column("bow").to_numpy().astype(float)
+        none = lambda k: np.zeros((0, k), np.uint32)
+        # the contexts before and after each window are states, and so are their suffixes, down to the empty one
+        states, place, fail, backoff = np.concatenate([longest[:, :-1], longest[:, 1:], np.full((1, order - 1), ord(PAD), np.uint32)]), {}, {}, {}
+        for k in range(order - 1, 0, -1):
+            ends = arcs[k][0] if k in arcs else none(k)
+            begins = arcs[k + 1][0][:, :-1] if k + 1 in arcs and k + 1 < order else none(k)
+            parts = [states, ends, begins, weights[k][0] if k in weights else none(k)]
+            windows = np.concatenate(parts)
+            tables: list[np.ndarray] = []
+            number, distinct = pd.factorize(_numbered(windows, self.symbols, self.width, tables))
+            if k == order - 1:
+                self.tables, at = tables, np.argsort(distinct)
+                self.contexts, self.context_states = distinct[at], at
+            place[k] = np.split(number, np.cumsum([len(x) for x in parts])[:-1])
+            fail[k + 1] = place[k][0]  # of the states one longer, whose suffixes these are
+            backoff[k] = np.zeros(len(distinct))
+            if k in weights:
+                backoff[k][place[k][3]] = weights[k][1]
+            one = np.zeros(len(distinct), np.int64)
+            one[number] = np.arange(len(number))
+            states = windows[one][:, 1:]
+        offset = {k: 1 + sum(len(backoff[j]) for j in range(1, k)) for k in range(1, order)} | {0: 0}
+        self.fail = np.concatenate([np.zeros(1, np.int32), *((fail[k] + offset[k - 1] if k > 1 else np.zeros(len(backoff[1]), np.int64)) for k in range(1, order))]).astype(np.int32)
+        self.backoff = np.concatenate([np.zeros(1), *(backoff[k] for k in range(1, order))])
+        keys, scores, targets = [], [], []
+        for k, (windows, lp) in arcs.items():
+            source = target = np.zeros(len(windows), np.int64)
+            if k == order and k > 1:
+                source, target = (place[k - 1][0][: 2 * len(windows)] + offset[k - 1]).reshape(2, -1)
+            elif k < order:
+                source, target = place[k - 1][2] + offset[k - 1] if k > 1 else source, place[k][1] + offset[k]
+            has = ~np.isnan(lp)
+            keys.append((source * self.width + self.symbols[windows[:, -1]])[has]), scores.append(lp[has]), targets.append(target[has].astype(np.int32))
+        if order > 1:
+            self.context_states = self.context_states + offset[order - 1]
+        self.start = int(place[order - 1][0][-1] + offset[order - 1]) if order > 1 else 0
+        self._index(np.concatenate(keys), np.concatenate(scores), np.concatenate(targets))
 
     def _index(self, keys: np.ndarray, scores: np.ndarray, targets: np.ndarray) -> None:
         """Open addressing: an arc stands in the first free place from its hash on."""
@@ -221,98 +249,117 @@ class Automaton:
                 left, current = left[~hit], current[~hit]
         return score, new
 
+    def _states_at(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The state before each of these places: the characters before it, and pads before the text's beginning."""
+        if self.order == 1:
+            return np.zeros(len(starts), np.int32)
+        places = starts[:, None] + np.arange(1 - self.order, 0)
+        before = np.where((places >= 0) & (places < len(flat)), flat[np.clip(places, 0, len(flat) - 1)], ord(PAD)).astype(np.uint32)
+        before[np.logical_or.accumulate((before == ord(PAD))[:, ::-1], axis=1)[:, ::-1]] = ord(PAD)
+        at = np.searchsorted(self.contexts, _numbered(before, self.symbols, self.width, self.tables))
+        return self.context_states[np.minimum(at, len(self.contexts) - 1)].astype(np.int32)
+
     def score(self, texts: list[str]) -> np.ndarray:
         """Log-probability of each text.
 
         The texts stand one after the other behind pads, and the whole is cut into lanes of equal length that
-        are read side by side. A state depends on the last order - 1 characters only, so a lane starts that much
-        earlier and has the right state when its own part begins."""
+        are read side by side, each from the state that the characters before it lead to."""
         flat = np.frombuffer("".join(PAD + t for t in texts).encode("utf-32-le"), "<u4")
         if not len(flat):
             return np.zeros(len(texts))
         lanes = min(LANES, -(-len(flat) // 64))
-        length, warm = -(-len(flat) // lanes), self.order - 1
-        symbol = np.full(warm + lanes * length, self.width, np.int32)
-        symbol[warm : warm + len(flat)] = np.where(flat == ord(PAD), self.width, self.symbols[flat])
+        length = -(-len(flat) // lanes)
+        symbol = np.full(lanes * length, self.width, np.int32)
+        symbol[: len(flat)] = np.where(flat == ord(PAD), self.width, self.symbols[flat])
         starts = np.arange(lanes) * length
-        state, out = np.full(lanes, self.start, np.int32), np.zeros((length, lanes))
-        for t in range(-warm, length):
-            now = symbol[starts + (t + warm)]
+        state, out = self._states_at(flat, starts), np.zeros((length, lanes))
+        for t in range(length):
+            now = symbol[starts + t]
             pad = now == self.width
             score, state = self._step(state, np.where(pad, self.width - 1, now))
             state[pad], score[pad] = self.start, 0
-            if t >= 0:
-                out[t] = score
+            out[t] = score
         each = out.T.ravel()[: len(flat)]
         firsts = np.flatnonzero(flat == ord(PAD))
         return np.add.reduceat(each, firsts)
 
 
-@lru_cache(1)
-def automaton(path: str, order: int) -> Automaton:
-    return Automaton(path, order)
+def _windows(grams: list[str], k: int) -> np.ndarray:
+    return np.frombuffer("".join(grams).encode("utf-32-le"), "<u4").reshape(-1, k)
 
 
-def _result(scored: DataFrame, id_col: str) -> DataFrame:
+def _score(blocks: DataFrame, path: str, order: int, id_col: str) -> DataFrame:
+    spark, id_type = blocks.sparkSession, type_name(blocks, "id")
+    model = lambda k: spark.read.parquet(f"{path}/k={k}")
+    root = model(0).first()
+    unseen = (root.bow if root and root.bow is not None else 0.0) - float(np.log(CODES))
+    asked, rows = blocks.where("g IS NOT NULL").select("block", "g"), blocks.where("g IS NULL").select("block", F.lit(2).alias("kind"), F.lit(None).cast("string").alias("g"), F.lit(None).cast("double").alias("value"), "id", "t")
+    for k in range(order, 0, -1):
+        # arcs of the windows of a block; where the model has none, the context's failure arc, and the shorter window's arc
+        found = written(asked.join(model(k).where("lp IS NOT NULL").select("g", "lp"), "g", "left"))
+        arcs = found if k == order else found.where("lp IS NOT NULL")
+        rows = rows.unionByName(arcs.select("block", F.lit(1).alias("kind"), "g", F.col("lp").alias("value")), allowMissingColumns=True)
+        missing = found.where("lp IS NULL")
+        if k == 1 or missing.isEmpty():
+            break
+        contexts = missing.select("block", F.expr(f"left(g, {k - 1})").alias("g")).distinct().join(model(k - 1).select("g", "bow"), "g")
+        rows = rows.unionByName(contexts.select("block", F.lit(0).alias("kind"), "g", F.col("bow").alias("value")), allowMissingColumns=True)
+        asked = missing.select("block", F.expr(f"right(g, {k - 1})").alias("g")).distinct()
+
+    def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, model, parts = None, None, {}
+
+        def built() -> Automaton | None:
+            made: dict[int, dict[int, tuple[np.ndarray, np.ndarray]]] = {0: {}, 1: {}}
+            for (kind, k), lists in parts.items():
+                made[kind][k] = _windows([g for x, _ in lists for g in x], k), np.concatenate([v for _, v in lists])
+            return Automaton(order, made[1], made[0], unseen) if order in made[1] else None
+
+        for batch in batches:
+            block, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero((np.diff(block, prepend=-1, append=-1) != 0) | (np.diff(kind, prepend=-1, append=-1) != 0))
+            for a, b in zip(cuts, cuts[1:]):
+                part = batch.slice(a, b - a)
+                if block[a] != current:
+                    current, model, parts = block[a], None, {}
+                if kind[a] < 2:
+                    grams, values = part.column(2).to_pylist(), part.column(3).to_numpy(zero_copy_only=False).astype(float)
+                    sizes = np.fromiter(map(len, grams), np.int64, len(grams))
+                    for k in np.unique(sizes).tolist():
+                        own = np.flatnonzero(sizes == k)
+                        parts.setdefault((int(kind[a]), k), []).append(([grams[i] for i in own], values[own]))
+                    continue
+                if parts:
+                    model, parts = built(), {}
+                for some in slices(iter([part]), 4000, column=5, size=SIDE_BY_SIDE):
+                    texts = [None if t is None else _clean(t) for t in some.column(5).to_pylist()]
+                    null = np.array([t is None for t in texts], bool)
+                    scores = model.score([t or "" for t in texts]) if model else np.zeros(len(texts))
+                    yield pa.RecordBatch.from_arrays([some.column(4), pa.array([None if t is None else len(t) for t in texts], pa.int32()), pa.array(scores, mask=null)], names=["id", "n_characters", "lp"])
+        give_back()
+
+    placed = rows.repartition("block").sortWithinPartitions("block", "kind")
+    scored = placed.mapInArrow(traverse, f"id {id_type}, n_characters int, lp double")
     n, lp = F.col("n_characters"), F.col("lp")
-    return scored.select(id_col, "n_characters", F.round(lp, 3).alias("log_probability"), F.when(n > 0, F.round(F.exp(-lp / n), 4)).alias("perplexity"))
-
-
-def score_loaded(df: DataFrame, path: str, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Score with the automaton, which each worker builds from the model's files once."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [None if t is None else _clean(t) for t in batch.column(1).to_pylist()]
-        null = np.array([t is None for t in texts], bool)
-        scores = automaton(path, order).score([t or "" for t in texts])
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if t is None else len(t) for t in texts], pa.int32()), pa.array(scores, mask=null)], names=[id_col, "n_characters", "lp"])
+    return scored.select(F.col("id").alias(id_col), "n_characters", F.round(lp, 3).alias("log_probability"), F.when(n > 0, F.round(F.exp(-lp / n), 4)).alias("perplexity"))
 
-    schema = f"`{id_col}` {type_name(df, id_col)}, n_characters int, lp double"
-    return _result(small_batches(df).select(id_col, text_col).mapInArrow(per_slice(run, 4000), schema), id_col)
 
-
-def score_joined(df: DataFrame, path: str, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The same result without loading the model anywhere: a text's n-grams are joined with the model's rows,
-    the longest first, and their scores are added up."""
-    numbered = df.select(F.col(id_col), F.col(text_col).alias("t")).withColumn("row", F.monotonically_increasing_id())
-    numbered = checkpointed(numbered)
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, grams, counts = [], [], []
-        for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if text:
-                flat = np.frombuffer((PAD * (order - 1) + _clean(text)).encode("utf-32-le"), "<u4")
-                own, which, _ = _grams(flat, order)
-                rows.extend([row] * len(own)), grams.extend(own), counts.extend(np.bincount(which).tolist())
-        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(grams, pa.string()), pa.array(counts, pa.int64())], names=["row", "g", "n"])
-
-    model = df.sparkSession.read.parquet(path)
-    asked = numbered.select("row", "t").mapInArrow(per_slice(run, 500), "row bigint, g string, n bigint")
-    known = asked.select("g").distinct()
-    for k in range(order, 0, -1):
-        arc = model.where((F.col("k") == k) & F.col("lp").isNotNull()).select(F.col("g").alias(f"g{k}"), F.col("lp").alias(f"lp{k}"))
-        context = model.where(F.col("k") == k - 1).select(F.col("g").alias(f"h{k}"), F.col("bow").alias(f"bow{k}"))
-        known = known.withColumn(f"g{k}", F.expr(f"right(g, {k})")).withColumn(f"h{k}", F.expr(f"left(right(g, {k}), {k - 1})"))
-        known = known.join(arc, f"g{k}", "left").join(context, f"h{k}", "left")
-    lp = F.col("bow1") - float(np.log(CODES))
-    for k in range(1, order + 1):
-        lp = F.coalesce(F.col(f"lp{k}"), lp if k == 1 else F.coalesce(F.col(f"bow{k}"), F.lit(0.0)) + lp)
-    total = asked.join(known.select("g", lp.alias("lp")), "g").groupBy("row").agg(F.sum(F.col("n") * F.col("lp")).alias("lp"))
-    scored = numbered.join(total, "row", "left").select(id_col, F.length("t").alias("n_characters"), F.when(F.col("t").isNotNull(), F.coalesce("lp", F.lit(0.0))).alias("lp"))
-    return _result(scored, id_col)
+def score_with(df: DataFrame, path: str, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As score_documents, under the model that train() wrote to `path`, of these or other texts."""
+    return _score(blocked(df, order, id_col, text_col), path, order, id_col)
 
 
 def score_documents(df: DataFrame, order: int = ORDER, least_count: int = LEAST_COUNT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: (id, n_characters, log_probability, perplexity) under a model of all the documents.
 
-    log_probability is the natural logarithm, to three digits; perplexity is by character, to four. A model of up
-    to LOADED_GRAMS n-grams, which are counted, is loaded by each worker from the shared folder; a larger one is joined.
+    log_probability is the natural logarithm, to three digits; perplexity is by character, to four. n-grams of two
+    characters and more that come up fewer than `least_count` times are left out of the model; by default none are.
 
     An empty text has log-probability 0 and no perplexity; a null text gives nulls and adds nothing to the
-    counts. Copies are counted as often as they are there. Texts are counted and scored whole."""
-    path = train(df, order, least_count, text_col)
-    small = df.sparkSession.read.parquet(path).count() <= LOADED_GRAMS
-    return (score_loaded if small else score_joined)(df, path, order, id_col, text_col)
+    counts. Copies are counted as often as they are there. Texts are counted and scored whole, and may have any number of
+    different characters. Rows that repeat an id have a row each; an empty table gives none."""
+    blocks = blocked(df, order, id_col, text_col)
+    return _score(blocks, _train(blocks, order, least_count), order, id_col)
 
 
 def oracle(order: int = ORDER, least_count: int = LEAST_COUNT) -> str:
