@@ -94,7 +94,7 @@ class Filters:
 
 def train(df: DataFrame, docs_per_language: int = 1500, least_count: int = 3, least_ratio: float = 0.2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Filters:
     """Filters from labelled rows: for each language about `docs_per_language` whole documents, chosen by a hash
-    of their id (the documented bound of the training sample). An n-gram is added to a language if it comes up at
+    of their id and text (the documented bound of the training sample). An n-gram is added to a language if it comes up at
     least `least_count` times there and its share of the language's n-grams is at least `least_ratio` of its
     largest share in any language, so that stray foreign passages don't count. Every label with a text is a language,
     however rare: `least_count` is for a full sample and is less in proportion for a smaller one, and a share that
@@ -108,7 +108,7 @@ def train(df: DataFrame, docs_per_language: int = 1500, least_count: int = 3, le
         return model
     share = F.create_map(*[F.lit(x) for l in languages for x in (l, min(1.0, docs_per_language / sizes[l]))])
     least = F.array(*[F.lit(max(1, math.ceil(least_count * min(1.0, sizes[l] / docs_per_language)))) for l in languages])
-    sample = labelled.where(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < share[F.col("l")] * (1 << 20))
+    sample = labelled.where(F.pmod(F.xxhash64("i", "t"), F.lit(1 << 20)) < share[F.col("l")] * (1 << 20))
 
     def grams(batch: pa.RecordBatch) -> pa.RecordBatch:
         value, text = ngram_hashes(batch.column(1).to_pylist())
@@ -168,7 +168,7 @@ def identify(df: DataFrame, model: Filters, least_share: float = 0.3, id_col: st
 
 
 def keep_identified(df: DataFrame, model: Filters, least_share: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text is not rejected; rows with a null text go as well. A model without
+    """The rows, with all their columns, whose text is not rejected; rows with a null text go as well. Texts are read whole. A model without
     languages, as of a table without labels, rejects only texts without n-grams."""
     names = df.columns
 
@@ -184,4 +184,6 @@ def keep_identified(df: DataFrame, model: Filters, least_share: float = 0.3, tex
                 yield run(batch.slice(at, 1000))
         give_back()
 
-    return small_batches(df).mapInArrow(parts, df.schema)
+    # columns go under numbers, as Python functions don't take every name
+    plain = small_batches(df).toDF(*(f"c{i}" for i in range(len(names))))
+    return plain.mapInArrow(parts, plain.schema).toDF(*names)

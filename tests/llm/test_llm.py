@@ -165,7 +165,9 @@ def test_bpe_of_odd_rows(spark):
 
 def test_token_counts(spark, documents, texts):
     library = vocabulary.library_encoder(PATH)
-    for r in tokencount.token_counts(documents, (7, 100)).limit(40).collect():
+    rows = tokencount.token_counts(documents, (7, 100)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
         text = texts[r.doc_id]
         assert r.n_tokens == len(library.encode_ordinary(text)) == tokencount.tokens_before(r.prefix_deltas, len(text))
         cut = r.fits_100
@@ -201,10 +203,46 @@ def test_syncmers_brute_force_and_shared_passages(spark):
 
 # 5
 
-def test_lm_by_sql_and_by_join(spark, documents, db):
-    path = lm.train(documents)
-    against(lm.score_loaded(documents, path), db, lm.oracle())
-    against(lm.score_joined(documents, path), db, lm.oracle())
+@pytest.mark.parametrize("least_count", [1, 3])
+def test_lm_by_sql(spark, monkeypatch, documents, db, least_count):
+    """With a least count arcs are missing, and failure arcs are taken. Small blocks have arcs of their own each."""
+    monkeypatch.setattr(lm, "BLOCK", 40_000)
+    monkeypatch.setattr(lm, "SIDE_BY_SIDE", 15_000)
+    against(lm.score_documents(documents, least_count=least_count), db, lm.oracle(least_count=least_count))
+
+
+def test_lm_of_other_texts_brute_force(spark):
+    rng = random.Random(8)
+    known = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 30))) for _ in range(40)]
+    asked = ["".join(rng.choice("abcdxyz") for _ in range(rng.randint(1, 30))) for _ in range(40)]
+    order, pad = 3, lm.PAD
+    counts = {}
+    for t in known:
+        t = pad * (order - 1) + t
+        for i in range(order - 1, len(t)):
+            for k in range(1, order + 1):
+                g = t[i - k + 1 : i + 1]
+                counts[g] = counts.get(g, 0) + 1
+
+    def p(h, c):
+        own = [n for g, n in counts.items() if g[:-1] == h]
+        shorter = p(h[1:], c) if h else 1 / lm.CODES
+        return (counts.get(h + c, 0) + len(own) * shorter) / (sum(own) + len(own)) if own else shorter
+
+    path = lm.train(docs(spark, list(enumerate(known))), order)
+    found = {r.doc_id: r.log_probability for r in lm.score_with(docs(spark, list(enumerate(asked))), path, order).collect()}
+    for i, t in enumerate(asked):
+        t = pad * (order - 1) + t
+        assert found[i] == pytest.approx(sum(np.log(p(t[j - order + 1 : j], t[j])) for j in range(order - 1, len(t))), abs=2e-3)
+
+
+def test_lm_of_many_characters(spark):
+    """More than 32,768 different characters, of which five don't fit in one number."""
+    text = "".join(map(chr, range(0x3400, 0x3400 + 36_000)))
+    table = spark.createDataFrame([(1, text), (2, text[100:900]), (3, "ab" + text[5:9])], "doc_id bigint, text string")
+    db = duckdb.connect()
+    db.register("documents", table.toPandas())
+    against(lm.score_documents(table), db, lm.oracle())
 
 
 def test_lm_of_odd_rows(spark):
@@ -225,6 +263,38 @@ def test_language_held_out(spark):
     assert langid.keep_identified(df, model).count() >= 0.99 * df.count()
 
 
+def test_language_brute_force(spark, documents):
+    """Shares and decisions against sets of n-grams that are kept as strings."""
+    rows = [(r.doc_id, r.text, r.lang) for r in documents.collect()]
+
+    def grams(text):
+        t = "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in f" {text} ")
+        return [t[i : i + 4] for i in range(len(t) - 3) if t[i + 1] != " " != t[i + 2]]
+
+    counts, sizes = {}, {}
+    for _, t, lang in rows:
+        sizes[lang] = sizes.get(lang, 0) + 1
+        for g in grams(t):
+            own = counts.setdefault(lang, {})
+            own[g] = own.get(g, 0) + 1
+    counts = {lang: {g: n for g, n in own.items() if n >= max(1, -(-3 * min(sizes[lang], 1500) // 1500))} for lang, own in counts.items()}
+    total = {lang: sum(own.values()) for lang, own in counts.items()}
+    rival = {}
+    for lang, own in counts.items():
+        for g, n in own.items():
+            rival[g] = max(rival.get(g, 0), (n - n**0.5) / total[lang])
+    kept = {lang: {g for g, n in own.items() if n / total[lang] >= 0.2 * rival[g]} for lang, own in counts.items()}
+    found = {r.doc_id: r for r in langid.identify(documents, langid.train(documents)).collect()}
+    for i, t, _ in rows:
+        own = grams(t)
+        shares = sorted(((sum(g in k for g in own) / max(1, len(own)), lang) for lang, k in kept.items()), reverse=True)
+        assert found[i].n_grams == len(own)
+        if own:
+            assert found[i].share == pytest.approx(shares[0][0], abs=0.02) and found[i].second == pytest.approx(shares[1][0], abs=0.02)
+            if shares[0][0] - shares[1][0] > 0.05 and abs(shares[0][0] - 0.3) > 0.02:
+                assert found[i].language == (shares[0][1] if shares[0][0] >= 0.3 else "und")
+
+
 def test_filters_hold_what_was_added():
     model = langid.Filters(["a", "b"])
     value, _ = langid.ngram_hashes(["some words of the one language"])
@@ -269,14 +339,17 @@ def test_language_of_many_labels(spark):
 
 # 8
 
-def test_lines_by_sql(spark, documents, db):
-    against(linededup.dedup_lines(documents.select("doc_id", "text"), count_col="n_removed"), db, linededup.oracle())
-
-
 def test_lines_brute_force(spark):
     rng = random.Random(5)
     words = "a b c d e f g".split()
     rows = [(i, "\n".join(" ".join(rng.choice(words) for _ in range(rng.choice([3, 8, 9, 10]))) for _ in range(6))) for i in range(40)]
+    short = ["a line of few words, told", "other line of few words", "ten to five at the station"]
+    rows += [(40 + i, "\n".join(rng.choice(short) for _ in range(2))) for i in range(3)]
+    for i in range(43, 60):  # near short lines, by characters
+        line = list(rng.choice(short))
+        at = rng.randrange(len(line))
+        line[at : at + 1] = rng.choice([[], ["z"], [line[at], "y"], ["z", "y", "x"]])
+        rows.append((i, "".join(line) + "\nten to\nten do"))
     for _ in range(25):  # near lines
         i, j = rng.randrange(40), rng.randrange(40)
         line = rng.choice(rows[i][1].split("\n")).split()
@@ -287,7 +360,13 @@ def test_lines_brute_force(spark):
     def near(x, y):
         if x == y:
             return True
-        if min(len(x), len(y)) < 8 or abs(len(x) - len(y)) > 1:
+        if max(len(x), len(y)) < 8:
+            x, y = " ".join(x), " ".join(y)
+            if min(len(x), len(y)) < 20:
+                return False
+        elif min(len(x), len(y)) < 8:
+            return False
+        if abs(len(x) - len(y)) > 1:
             return False
         if len(x) == len(y):
             return sum(a != b for a, b in zip(x, y)) == 1
@@ -304,6 +383,35 @@ def test_lines_brute_force(spark):
     assert found == {i: "\n".join(wanted.get(i, [])) for i, _ in rows}
 
 
+def test_one_edit():
+    rng = random.Random(4)
+    for _ in range(500):
+        a = [rng.randrange(3) for _ in range(rng.randint(0, 6))]
+        b = [rng.randrange(3) for _ in range(rng.randint(0, 6))]
+        near = len(a) == len(b) and sum(x != y for x, y in zip(a, b)) == 1
+        near |= any(a[:i] + a[i + 1 :] == b for i in range(len(a))) or any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+        if a != b:
+            assert linededup.within_one_edit(np.array(a), np.array(b)) == near
+
+
+def test_lines_in_very_many_documents(spark):
+    """A line of every document, and one that differs in its number alone."""
+    rows = [(i, f"terms of use apply to this text as always here\npage {i} of the long report on trade and on industry\nunique line {i} {'x' * i}") for i in range(150)]
+    found = {r.doc_id: r for r in linededup.dedup_lines(docs(spark, rows), count_col="gone").collect()}
+    assert found[0].gone == 0 and all(found[i].gone == 2 and found[i].text.startswith("unique") for i in range(30, 150))
+
+
+def test_lines_with_a_broadcast_and_with_a_shuffle(spark, documents, db):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    try:
+        for bound in ("-1", "10MB"):
+            spark.conf.set(name, bound)
+            against(linededup.dedup_lines(documents.select("doc_id", "text"), count_col="n_removed"), db, linededup.oracle())
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_lines_of_odd_rows(spark):
     df = docs(spark, [*ODD, (8, "one two three\nnew\n\none  two three")])
     out = linededup.dedup_lines(df, count_col="gone")
@@ -313,6 +421,8 @@ def test_lines_of_odd_rows(spark):
     assert len(rows) == len(ODD) + 1 and by[2].text is None and by[3].text == "" and by[8].text == "new\n" and by[8].gone == 2 and by[5].text == " \n\n \t"
     assert [r.text for r in rows if r.doc_id == 1] == ["one two three"] * 2
     assert linededup.dedup_lines(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        linededup.dedup_lines(df, count_col="ids")
 
 
 # 9
@@ -336,8 +446,8 @@ def check_windows(rows, sizes, capacity):
 def test_windows(spark, documents, texts):
     library = vocabulary.library_encoder(PATH)
     sizes = {d: len(library.encode_ordinary(t)) for d, t in texts.items()}
-    for parts in (1, 5):
-        rows = packing.pack_documents(documents.repartition(parts), 256).collect()
+    for parts, merged in ((1, 256), (5, 256), (5, 2)):
+        rows = packing.pack_documents(documents.repartition(parts), 256, merged=merged).collect()
         check_windows(rows, sizes, 256)
         assert sum(r.used for r in rows) / (256 * len(rows)) > 0.93
 
@@ -494,9 +604,17 @@ def test_pipeline_stages_on_odd_tables(spark):
 
     kind = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     rows = [(1, "words of one kind here", "en", "s", 22), (1, "words of one kind here", "en", "s", 22), (2, None, None, None, None), (3, "", "en", None, 0), (None, "words of one kind here", "en", "s", 22)]
-    rows += [(10 + i, f"words of one kind here and line number {i} of it", "en", "s", 40) for i in range(25)]
+    rows += [(10 + i, f"words of one kind here and line number {i} of it " + " ".join(f"w{i}x{j}" for j in range(30)), "en", "s", 40) for i in range(25)]
+    rows += [(60, "words of one kind here\n" + "long " * 40_000, "en", "s", 200_023)]
+    clash = "3 AS _removed, 4 AS _removed_, 5 AS class_id, 6 AS id, 7 AS n, 8 AS lines, 9 AS row, 10 AS _, 11 AS n_links, 12 AS `a.b`"
     for table in (rows, []):
-        current = spark.createDataFrame(table, kind)
-        for _, stage in corpus_pipeline.STAGES:
+        current = spark.createDataFrame(table, kind).selectExpr("*", *clash.split(", "))
+        columns = current.columns
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
             current = stage(spark, current, SF)
-            current.collect()
+            if k < 3:
+                assert current.columns == columns
+            found = current.collect()
+            if table and k < 3:
+                assert {10 + i for i in range(25)} <= {r.doc_id for r in found} and (k == 0 or all(r.n_chars == len(r.text) for r in found))
+        assert bool(found) == bool(table)
