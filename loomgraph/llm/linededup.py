@@ -127,10 +127,10 @@ def repeated_lines(df: DataFrame, least_words: int = LEAST_WORDS, least_characte
     place = F.struct("id", "line", "c")
     read = written(texts.mapInArrow(keys, f"id {id_type}, line int, c bigint, a bigint, b bigint, halves array<bigint>"))
     # of equal lines the earliest stays for its kind, the others go
-    earliest = read.groupBy("a", "b").agg(F.min(place).alias("first"))
-    read = checkpointed(read.join(earliest, ["a", "b"]).select(place.alias("at"), F.when(place == F.col("first"), F.col("halves")).alias("halves"), (place > F.col("first")).alias("goes")))
-    equal = read.where("goes").select("at")
-    shared = read.where("NOT goes AND halves IS NOT NULL").dropDuplicates(["at"]).select("at", F.posexplode("halves").alias("role", "half"))
+    earliest = written(read.groupBy("a", "b").agg(F.min(F.struct(place.alias("at"), "halves")).alias("m"), F.count("*").alias("n")).select("a", "b", "m.at", "m.halves", "n"))
+    repeated = earliest.where("n > 1").select("a", "b", F.col("at").alias("first"))
+    equal = read.select("a", "b", place.alias("at")).join(repeated, ["a", "b"]).where("at > first").select("at")
+    shared = earliest.where("halves IS NOT NULL").select("at", F.posexplode("halves").alias("role", "half"))
     meets = shared.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
     near = shared.join(meets, "half").groupBy("at").agg(F.collect_set("role").alias("roles"))
     wanted = checkpointed(near.groupBy(F.col("at.id").alias("id")).agg(F.collect_list(F.struct("at.line", "at.c", "roles")).alias("lines")))
@@ -166,11 +166,13 @@ def repeated_lines(df: DataFrame, least_words: int = LEAST_WORDS, least_characte
     # word and is then another whole line differs by that word. Lines that lack words at different places have
     # more than one edit between them, or meet in another variant too. So of each variant the earliest line that has it whole,
     # the earliest that has it by a cut, and the earliest by a cut at each place are all that others need to meet.
-    same = emitted.groupBy("v", "w", "place").agg(F.min("at").alias("same"), F.count("*").alias("n"))
-    variant = same.groupBy("v", "w").agg(F.min(F.when(F.col("place") < 0, F.col("same"))).alias("whole"), F.min(F.when(F.col("place") >= 0, F.col("same"))).alias("cut"), F.sum("n").alias("n"))
-    meeting = same.drop("n").join(variant.where("n > 1").drop("n"), ["v", "w"])
+    # most variants are of one line only, and go before anything else
+    several = emitted.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select("v")
+    meeting = written(emitted.drop("words").join(several, "v"))
+    same = meeting.groupBy("v", "w", "place").agg(F.min("at").alias("same"))
+    variant = same.groupBy("v", "w").agg(F.min(F.when(F.col("place") < 0, F.col("same"))).alias("whole"), F.min(F.when(F.col("place") >= 0, F.col("same"))).alias("cut"))
     partners = F.when(F.col("place") < 0, F.array("cut")).otherwise(F.array("same", "whole"))
-    met = emitted.drop("words").join(meeting, ["v", "w", "place"]).select("at", F.explode(partners).alias("earlier")).where("earlier < at").distinct()
+    met = meeting.join(same, ["v", "w", "place"]).join(variant, ["v", "w"]).select("at", F.explode(partners).alias("earlier")).where("earlier < at").distinct()
     words = emitted.where("place = -1").select("at", "words")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
