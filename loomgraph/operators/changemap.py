@@ -17,9 +17,17 @@ from ..plans.model import Graph
 PATHS_PER_ENTRY, BLOCK = 200, 10_000
 
 
-def _calls(graph: Graph) -> DataFrame:
-    """(db, src, dst, conditional) of calls; one is conditional if no step that makes it stands outside conditions."""
+#: What can be called. Triggers answer to events, and views, synonyms and scripts don't call.
+CALLABLE = ("PROCEDURE", "FUNCTION", "SCALAR_FUNCTION", "TABLE_FUNCTION", "MULTI_TABLE_FUNCTION", "TABLE_VALUED_FUNCTION")
+
+
+def _calls(graph: Graph, callable_only: bool = True) -> DataFrame:
+    """(db, src, dst, conditional) of calls; one is conditional if no step that makes it stands outside conditions. Objects
+    that are known to be something else than callable are left out, unless told otherwise."""
     c = graph.type("CALLS").select(F.col("owner").alias("src"), "dst").distinct()
+    if callable_only:
+        other = graph.label("SqlObject", "Trigger").where((F.col("label") == "Trigger") | ~F.col("object_type").isin(*CALLABLE)).select(F.col("id").alias("other"))
+        c = c.join(other, F.col("src") == F.col("other"), "left_anti").join(other, F.col("dst") == F.col("other"), "left_anti")
     steps = graph.label("Step").where("action = 'EXEC'").select(F.substring_index("id", "#", 1).alias("src"), (F.coalesce("nesting", F.lit(0)) > 0).alias("c"))
     by = steps.groupBy("src").agg(F.bool_and("c").alias("conditional"))
     return c.join(by, "src", "left").select(F.substring_index("src", "::", 1).alias("db"), "src", "dst", F.coalesce("conditional", F.lit(False)).alias("conditional"))
@@ -43,10 +51,10 @@ def _blocks(rows: Iterator[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(block, columns=names)
 
 
-def workflows(graph: Graph, per_entry: int = PATHS_PER_ENTRY) -> DataFrame:
+def workflows(graph: Graph, per_entry: int = PATHS_PER_ENTRY, hops: int | None = None) -> DataFrame:
     """(entry, number, path, conditional, cycle_back_to, truncated): simple paths from every object that calls and isn't called,
-    callees in order, up to `per_entry` for one entry, which is `truncated` if it has more; a path ends where nothing is called
-    or where it would come back."""
+    callees in order, up to `per_entry` for one entry, which is `truncated` if it has more; a path ends where nothing is called,
+    where it would come back, or after so many `hops`, if given. Triggers, views and the like take no part."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         calls = _adjacent(pd.concat(batches))
         called = {d for s, ds in calls.items() for d, _ in ds if d != s}
@@ -62,7 +70,7 @@ def workflows(graph: Graph, per_entry: int = PATHS_PER_ENTRY) -> DataFrame:
                     conditional.pop()
                 elif d in open_:
                     yield " > ".join(path), conditional[-1], d
-                elif next(_others(calls, d), None) is None:
+                elif next(_others(calls, d), None) is None or len(path) == hops:
                     yield " > ".join([*path, d]), conditional[-1] or c, None
                 else:
                     path.append(d)
@@ -84,6 +92,11 @@ def workflows(graph: Graph, per_entry: int = PATHS_PER_ENTRY) -> DataFrame:
     return _calls(graph).groupBy("db").applyInPandas(run, "entry string, number bigint, path string, conditional boolean, cycle_back_to string, truncated boolean")
 
 
+def model_workflows(graph: Graph) -> DataFrame:
+    """Workflows as the node store's model lists them: up to 30 paths of up to 10 hops for an entry."""
+    return workflows(graph, 30, 10).drop("conditional", "truncated")
+
+
 def via_calls(graph: Graph, depth: int | None = None) -> DataFrame:
     """(id, reached, depth, cycle): in depth-first order from each object, the depth at which a callee is met first; the
     object itself comes once, as a cycle, if it can be reached. `depth` bounds the walk; without it all is met."""
@@ -134,7 +147,7 @@ def inlined_flow(graph: Graph, depth: int = 5) -> DataFrame:
 
         yield from _blocks(rows(), ["root", "position", "level", "object"])
 
-    return _calls(graph).groupBy("db").applyInPandas(run, "root string, position bigint, level bigint, object string")
+    return _calls(graph, False).groupBy("db").applyInPandas(run, "root string, position bigint, level bigint, object string")
 
 
 def layered(graph: Graph, table: str, per_level: int = 8, levels: int = 8) -> DataFrame:

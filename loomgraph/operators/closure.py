@@ -3,21 +3,39 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder of spark.checkpoint.dir, or one made for it where none is set."""
-    context = df.sparkSession.sparkContext
+def folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Where none is set a local session, as in tests, gets one of
+    its own; on a cluster that is an error, as a folder of one machine would not do."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
+        shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder."""
+    folder(df.sparkSession)
     return df.checkpoint()
 
 
-#: What was visited is cut from its history each time it has so many parts more, or plans of deep closures grow too large.
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: cut from their history, and of a size that is known when a join is planned."""
+    path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: What was visited is put together each time it has so many parts more, or plans of deep closures grow too large.
 PARTS = 20
 
 
@@ -25,23 +43,47 @@ def closure(edges: DataFrame, seeds: DataFrame, depth: int | None, keep_seed: bo
     """(seed, node, hops): what each seed reaches over (src, dst) edges within `depth` hops (None: all it
     reaches), with the fewest hops.
 
-    `seeds` has (seed, node). One frontier a hop, without what was visited before, so cycles end; the frontier is cut
-    from its history each hop, and the loop stops when it is empty. The seed itself, at 0 hops, is left out unless
-    `keep_seed`."""
+    `seeds` has (seed, node). One frontier a hop, without what was visited before, so cycles end; edges and each frontier
+    are stored, so no hop plans or reads again what went before, and a small frontier is broadcast by its stored size. The loop
+    stops when the frontier is empty. The seed itself, at 0 hops, is left out unless `keep_seed`."""
     steps = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
-    frontier = cut(seeds.select("seed", "node").distinct().withColumn("hops", F.lit(0)))
+    if depth is None or depth > 1:
+        steps = stored(steps)
+    frontier = stored(seeds.select("seed", "node").distinct().withColumn("hops", F.lit(0)))
     visited = frontier
     for hop in count(1) if depth is None else range(1, depth + 1):
         new = frontier.join(steps, frontier.node == steps.src).select("seed", F.col("dst").alias("node")).distinct()
-        frontier = cut(new.join(visited.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hops", F.lit(hop)))
+        frontier = stored(new.join(visited.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hops", F.lit(hop)))
         if frontier.isEmpty():
             break
         visited = visited.union(frontier)
         if hop % PARTS == 0:
-            visited = cut(visited)
+            visited = stored(visited)
     return visited if keep_seed else visited.where("hops > 0")
 
 
+def longest(edges: DataFrame) -> DataFrame:
+    """(node, depth): the number of edges on the longest path from each node that has an edge out. Edges that lie on a cycle
+    are left out, so every path ends.
+
+    Frontiers of (seed, node) as in closure, but a node stays in them if it was met before; the last hop at which a
+    seed has one is its depth."""
+    steps = stored(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").distinct())
+    seeds = steps.select(F.col("src").alias("seed"), F.col("src").alias("node")).distinct()
+    reached = closure(steps, seeds, None).select(F.col("seed").alias("dst"), F.col("node").alias("src"))
+    acyclic = stored(steps.join(reached, ["src", "dst"], "left_anti").select("src", "dst"))
+    frontier = stored(seeds)
+    depths = frontier.select("seed", F.lit(0).alias("depth")).distinct()
+    for hop in count(1):
+        frontier = stored(frontier.join(acyclic, frontier.node == acyclic.src).select("seed", F.col("dst").alias("node")).distinct())
+        if frontier.isEmpty():
+            break
+        depths = depths.union(frontier.select("seed", F.lit(hop).alias("depth")).distinct())
+        if hop % PARTS == 0:
+            depths = stored(depths.groupBy("seed").agg(F.max("depth").alias("depth")))
+    return depths.groupBy(F.col("seed").alias("node")).agg(F.max("depth").cast("bigint").alias("depth"))
+
+
 def start(spark, ids: list[str]) -> DataFrame:
     return spark.createDataFrame([(i, i) for i in ids], "seed string, node string")
 
@@ -54,15 +96,15 @@ def chains(edges: DataFrame, seed: str, depth: int = 20, arrow: str = " -> ") ->
     """(node, hops, chain): for every node that the seed reaches, the shortest path as text; of paths of one length the
     first by text. Paths never come back to a node they have; short names are what follows ":table:"."""
     spark = edges.sparkSession
-    steps = edges.select("src", "dst").distinct()
-    frontier = cut(spark.createDataFrame([(seed, 0, [seed])], "node string, hops int, path array<string>"))
+    steps = stored(edges.select("src", "dst").distinct())
+    frontier = stored(spark.createDataFrame([(seed, 0, [seed])], "node string, hops int, path array<string>"))
     best = frontier
     for hop in range(1, depth + 1):
         new = frontier.join(steps, frontier.node == steps.src).where(~F.array_contains("path", F.col("dst")))
         new = new.select(F.col("dst").alias("node"), F.lit(hop).alias("hops"), F.concat("path", F.array("dst")).alias("path"))
         # a longer path to a node is never the best, so only the first path to a new node goes on
         new = new.groupBy("node").agg(F.min("hops").alias("hops"), F.min("path").alias("path"))
-        frontier = cut(new.join(best.select("node"), "node", "left_anti"))
+        frontier = stored(new.join(best.select("node"), "node", "left_anti"))
         if frontier.isEmpty():
             break
         best = best.union(frontier)

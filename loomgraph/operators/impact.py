@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.model import ADDRESSABLE, COLUMN_EDGES, IMPACT_EDGES, TABLE_EDGES, Graph
-from .closure import backwards, chains, closure, start
+from .closure import backwards, chains, closure, longest, start
 
 CERTAIN, PROBABLE, UNKNOWN = "certain", "probable", "unknown"
 
@@ -119,6 +119,12 @@ def lineage_roots(graph: Graph, depth: int | None = None) -> DataFrame:
     return reached.join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti").select(F.col("seed").alias("column"), F.col("node").alias("root"), F.col("hops").cast("bigint").alias("hops"))
 
 
+def lineage_depths(graph: Graph) -> DataFrame:
+    """(column, depth): for every column that derives from others, the derivations on the longest way to an origin. Derivations
+    that lie on a cycle don't count."""
+    return longest(graph.type("DERIVES_FROM")).select(F.col("node").alias("column"), "depth")
+
+
 def affects(graph: Graph, depth: int | None = None) -> DataFrame:
     """(object, table, hops, via): tables that an object changes through the objects it calls, with the fewest calls.
     `depth` bounds the calls that are followed; without it all are."""

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from copy import copy
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_transient, normalise, stable_hash, with_schema
-from ..operators.closure import cut
+from ..operators.closure import stored
+from ..operators.impact import affects
 from .extract import steps as step_rows
 from .model import EDGE_COLUMNS, NODE_COLUMNS, Graph, owner
 
@@ -27,13 +30,19 @@ class Builder:
     """Holds the resolution of names, which every edge to a table depends on."""
 
     def __init__(self, facts: DataFrame):
-        self.facts, self.steps = facts, cut(step_rows(facts.where("object_type NOT IN ('TABLE', 'SYNONYM')")))
+        self.facts, self.steps = facts, stored(step_rows(facts.where("object_type NOT IN ('TABLE', 'SYNONYM')")))
         self.nodes: list[DataFrame] = []
         self.edges: list[DataFrame] = []
         objects = facts.where("object_type NOT IN ('TABLE', 'SYNONYM')")
+        self.fit = lambda df, columns: df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(k).alias(c) for c, k in columns.items()))
         self.objects = objects.select("id", "db", normalise("full_name").alias("key"), "object_type")
-        self.synonyms = facts.where("synonym_for <> ''").select("db", normalise("full_name").alias("key"), normalise(with_schema("synonym_for")).alias("to")).dropDuplicates(["db", "key"])
+        self.synonyms = facts.where("synonym_for <> ''").select("id", "db", normalise("full_name").alias("key"), normalise(with_schema("synonym_for")).alias("to")).dropDuplicates(["db", "key"])
         self._tables()
+        p, v = objects.select("id", F.explode("parameters").alias("p")), objects.select("id", F.explode("variables").alias("v"))
+        names = p.select("id", F.lower("p.name").alias("variable"), F.concat("id", F.lit("#param:"), F.col("p.name")).alias("vid"))
+        self.variables = names.union(v.select("id", F.lower("v.name"), F.concat("id", F.lit("#var:"), F.col("v.name")))).dropDuplicates(["id", "variable"])
+        s = self.steps
+        self.writes = self.named(s.where("action IN ('INSERT', 'UPDATE', 'DELETE', 'MERGE', 'TRUNCATE', 'OUTPUT', 'ALTER')").select("id", "db", "action", "columns", F.col("target").alias("table")))
 
     def _mentions(self) -> DataFrame:
         """(db, name) of every table that is named anywhere."""
@@ -62,7 +71,7 @@ class Builder:
         aliased = self.synonyms.select("db", F.col("key"), "to")
         found = found.join(aliased, ["db", "key"], "left").select("db", "name", F.coalesce("to", "key").alias("key"))
         known = self.objects.where("object_type NOT IN ('SCRIPT')").select("db", "key", F.col("id").alias("object_id"), "object_type")
-        self.names = cut(found.join(known, ["db", "key"], "left").select("db", F.col("name").alias("table"), "key", F.concat("db", F.lit(":table:"), "key").alias("table_id"), "object_id", "object_type"))
+        self.names = stored(found.join(known, ["db", "key"], "left").select("db", F.col("name").alias("table"), "key", F.concat("db", F.lit(":table:"), "key").alias("table_id"), "object_id", "object_type"))
 
     def named(self, df: DataFrame, column: str = "table") -> DataFrame:
         """With table_id, object_id and object_type of the table that a column names; rows of unknown or passing names go."""
@@ -79,6 +88,8 @@ class Builder:
 
     def build_objects(self) -> None:
         f = self.facts.where("object_type NOT IN ('TABLE', 'SYNONYM')")
+        synonyms = self.facts.where("object_type = 'SYNONYM'")
+        self.add(_nodes(synonyms, F.col("id"), "SqlObject", name="full_name", db="db", schema_name="schema_name", object_type="object_type"))
         self.add(_nodes(f, F.col("id"), "SqlObject", name="full_name", db="db", schema_name="schema_name", object_type="object_type", complexity="complexity", has_transaction="has_transaction", has_error_handling="has_error_handling", has_cursor="has_cursor", dynamic_sql_calls="dynamic_sql_calls", parse_error="parse_error"))
         p = f.select("id", "db", F.explode("parameters").alias("p"))
         pid = F.concat("id", F.lit("#param:"), F.col("p.name"))
@@ -86,10 +97,8 @@ class Builder:
         v = f.select("id", "db", F.explode("variables").alias("v"))
         vid = F.concat("id", F.lit("#var:"), F.col("v.name"))
         self.add(_nodes(v, vid, "Variable", name=F.col("v.name"), db="db", data_type=F.col("v.type")), _edges(v, "id", vid, "DECLARES"))
-        names = p.select("id", F.lower("p.name").alias("variable"), pid.alias("vid")).union(v.select("id", F.lower("v.name"), vid)).dropDuplicates(["id", "variable"])
-        self.variables = names
         a = f.select("id", "db", F.explode("assigned").alias("a")).select("id", "db", F.lower("a.variable").alias("variable"), F.col("a.table").alias("table"), F.col("a.column").alias("column"))
-        a = self.named(a).join(names, ["id", "variable"])
+        a = self.named(a).join(self.variables, ["id", "variable"])
         self.add(None, _edges(a, "vid", F.concat("table_id", F.lit(":column:"), "column"), "ASSIGNED_FROM"))
 
     # ---- steps
@@ -105,8 +114,7 @@ class Builder:
     def build_access(self) -> None:
         """Reads, writes and columns. A view or table function that is read is a target, and its base tables are read through it."""
         s = self.steps
-        writes = self.named(s.where("action IN ('INSERT', 'UPDATE', 'DELETE', 'MERGE', 'TRUNCATE', 'OUTPUT', 'ALTER')").select("id", "db", "action", "columns", F.col("target").alias("table")))
-        self.writes = writes
+        writes = self.writes
         as_object = F.col("object_id").isNotNull() & F.col("object_type").isin("VIEW", "TABLE_FUNCTION", "MULTI_TABLE_FUNCTION")
         self.add(None, _edges(writes, "id", F.when(as_object, F.col("object_id")).otherwise(F.col("table_id")), F.when(as_object, "TARGETS").otherwise("WRITES_TO"), action_type="action"))
         self.add(None, _edges(writes.withColumn("c", F.explode("columns")), "id", F.concat("table_id", F.lit(":column:"), "c"), "WRITES_COLUMN", action_type="action", resolution=F.lit("direct")))
@@ -184,12 +192,13 @@ class Builder:
     def build_calls(self) -> None:
         targets = self.objects.select("db", "key", F.col("id").alias("to"))
         key = lambda c: F.when(F.size(F.split(c, r"\.")) >= 3, F.substring_index(normalise(c), ".", -2)).otherwise(normalise(with_schema(c)))
-        calls = self.steps.where("NOT is_dynamic AND action = 'EXEC' AND target <> ''").select("owner", F.col("target").alias("name"), "db", F.lit("EXEC").alias("kind"))
-        calls = calls.union(self.steps.where("NOT is_dynamic AND action = 'INSERT' AND detail <> ''").select("owner", "detail", "db", F.lit("EXEC")))
-        calls = calls.union(self.facts.select(F.col("id"), F.explode("functions").alias("n"), "db").select("id", "n", "db", F.lit("FUNCTION")))
+        calls = self.steps.where("NOT is_dynamic AND action = 'EXEC' AND target <> ''").select("owner", F.col("id").alias("step"), F.col("target").alias("name"), "db", F.lit("EXEC").alias("kind"))
+        calls = calls.union(self.steps.where("NOT is_dynamic AND action = 'INSERT' AND detail <> ''").select("owner", "id", "detail", "db", F.lit("EXEC")))
+        calls = calls.union(self.facts.select(F.col("id"), F.explode("functions").alias("n"), "db").select("id", F.lit(None).cast("string"), "n", "db", F.lit("FUNCTION")))
         db = F.when(F.size(F.split("name", r"\.")) >= 3, F.element_at(F.split("name", r"\."), -3)).otherwise(F.col("db"))
-        found = calls.select("owner", db.alias("db"), key("name").alias("key"), "kind").join(targets, ["db", "key"]).distinct()
-        self.add(None, _edges(found, "owner", "to", "CALLS", action_type="kind"))
+        found = calls.select("owner", "step", db.alias("db"), key("name").alias("key"), "kind").join(targets, ["db", "key"])
+        self.add(None, _edges(found.select("owner", "to", "kind").distinct(), "owner", "to", "CALLS", action_type="kind"))
+        self.add(None, _edges(found.where("step IS NOT NULL"), "step", "to", "TARGETS", action_type="kind"))
 
     def build_triggers(self) -> None:
         t = self.facts.select("id", "db", "object_type", F.explode("triggers").alias("t")).select("id", "db", "object_type", F.col("t.name").alias("name"), F.col("t.table").alias("table"), F.col("t.timing").alias("timing"))
@@ -231,31 +240,47 @@ class Builder:
 
     def build_synonyms(self) -> None:
         s = self.synonyms.join(self.names.select("db", F.col("key").alias("to"), "table_id").distinct(), ["db", "to"])
-        self.add(None, _edges(s, F.concat("db", F.lit(":table:"), "key"), "table_id", "ALIAS_OF"))
+        self.add(None, _edges(s, "id", "table_id", "ALIAS_OF"))
+
+    def _part(self, name: str) -> tuple[DataFrame | None, DataFrame | None]:
+        """Nodes and edges of one part, stored. Parts don't need each other, so they are planned and run side by side."""
+        own = copy(self)
+        own.nodes, own.edges = [], []
+        getattr(own, f"build_{name}")()
+        together = lambda made, columns: stored(reduce(DataFrame.union, [self.fit(x, columns) for x in made]).distinct()) if made else None
+        return together(own.nodes, NODE_COLUMNS), together(own.edges, EDGE_COLUMNS)
 
     def graph(self) -> Graph:
         """All of it: the first node of an id stays, its labels don't change; edges are distinct; columns that are only
-        mentioned get a node; edges whose ends have none are left out."""
-        for part in (self.build_objects, self.build_steps, self.build_access, self.build_filters, self.build_lineage, self.build_rules, self.build_calls, self.build_triggers, self.build_containers, self.build_definitions, self.build_synonyms):
-            part()
-        fit = lambda df, columns: df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(k).alias(c) for c, k in columns.items()))
-        edges = cut(reduce(DataFrame.union, [fit(e, EDGE_COLUMNS) for e in self.edges]).distinct())
+        mentioned get a node; edges whose ends have none are left out; what objects change through their calls is added."""
+        parts = ("objects", "steps", "access", "filters", "lineage", "rules", "calls", "triggers", "containers", "definitions", "synonyms")
+        with ThreadPoolExecutor(len(parts)) as pool:
+            made = list(pool.map(self._part, parts))
+        fit = self.fit
+        edges = reduce(DataFrame.union, [e for _, e in made if e is not None])
+        # a name that holds a parameter's place is a guess, and says so
+        bound = F.nullif(F.regexp_extract("dst", r"«param:(@[\w$#@]+)»", 1), F.lit(""))
+        edges = edges.withColumn("bound_to", bound).withColumn("inferred", F.when(bound.isNotNull(), True)).withColumn("confidence", F.when(bound.isNotNull(), 0.5))
+        edges = stored(edges.distinct())
         # the spelling of a column that was met first, of several the first by text
         ends = edges.select(F.col("src").alias("id")).union(edges.select("dst")).where(F.col("id").contains(":column:"))
-        spelt = cut(ends.groupBy(F.lower("id").alias("low")).agg(F.min("id").alias("spelt")))
+        spelt = stored(ends.groupBy(F.lower("id").alias("low")).agg(F.min("id").alias("spelt")))
         for end in ("src", "dst"):
             edges = edges.join(spelt, F.lower(end) == F.col("low"), "left").withColumn(end, F.coalesce("spelt", end)).drop("low", "spelt")
-        edges = cut(edges.distinct())
+        edges = stored(edges.distinct())
         mentioned = _nodes(spelt, F.col("spelt"), "Column", name=F.substring_index("spelt", ":column:", -1), db=F.substring_index("spelt", ":", 1))
-        nodes = reduce(DataFrame.union, [fit(n, NODE_COLUMNS) for n in self.nodes])
+        nodes = reduce(DataFrame.union, [n for n, _ in made if n is not None])
         nodes = nodes.join(spelt, F.lower("id") == F.col("low"), "left").withColumn("id", F.coalesce("spelt", "id")).drop("low", "spelt")
         nodes = nodes.union(fit(mentioned, NODE_COLUMNS))
         rest = [c for c in NODE_COLUMNS if c not in ("id", "label")]
         nodes = nodes.groupBy("id", "label").agg(*(F.max(c).alias(c) for c in rest))
-        nodes = cut(nodes.groupBy("id").agg(F.min(F.struct("label", *rest)).alias("n")).select("id", "n.label", *(F.col(f"n.{c}").alias(c) for c in rest)))
+        nodes = stored(nodes.groupBy("id").agg(F.min(F.struct("label", *rest)).alias("n")).select("id", "n.label", *(F.col(f"n.{c}").alias(c) for c in rest)))
         known = nodes.select("id")
         edges = edges.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi")
-        return Graph.of(nodes, edges)
+        graph = Graph.of(nodes, stored(edges))
+        effects = affects(graph)
+        effects = _edges(effects, "object", "table", "AFFECTS", via="via", hops="hops")
+        return Graph.of(nodes, graph.edges.select(*EDGE_COLUMNS).union(fit(effects, EDGE_COLUMNS)))
 
 
 def build(facts: DataFrame) -> Graph:

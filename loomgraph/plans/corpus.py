@@ -86,10 +86,3 @@ LINKS = [
 
 def modules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(MODULES, "name string, sql string")
-
-
-def values(rows: list[tuple], names: str) -> str:
-    def text(x: object) -> str:
-        return "NULL::VARCHAR" if x is None else str(x) if isinstance(x, int) else "'" + str(x).replace("'", "''") + "'"
-
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) t({names})"

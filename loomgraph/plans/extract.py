@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.closure import cut
+from ..operators.closure import stored
 from ..tsql.walker import analyse
 
 _REFS = "array<struct<table:string,columns:array<string>>>"
@@ -37,7 +37,7 @@ def _analysed(modules: DataFrame, strict: bool) -> DataFrame:
         return pd.Series(out)
 
     # cut, so that the parsed text is read once and not once a field
-    return cut(modules.select(F.from_json(read("name", "sql", "catalog"), FACTS).alias("f"))).select("f.*")
+    return stored(modules.select(F.from_json(read("name", "sql", "catalog"), FACTS).alias("f"))).select("f.*")
 
 
 def known_columns(facts: DataFrame) -> DataFrame:

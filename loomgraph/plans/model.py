@@ -14,7 +14,7 @@ LABELS = {
 EDGE_TYPES = {
     "HAS_PARAMETER", "DECLARES", "ASSIGNED_FROM", "HAS_STEP", "ACTION", "BUILDS_SQL_FROM", "USES_VARIABLE", "TARGETS", "WRITES_TO", "READS_FROM",
     "READS_COLUMN", "WRITES_COLUMN", "FILTERS_ON", "DERIVES_FROM", "CONDITIONED_BY", "NESTED_IN", "GOVERNS", "CALLS", "AFFECTS", "HAS_COLUMN", "FK_TO",
-    "REFERENCES", "BELONGS_TO", "WORKFLOW_WRITES_TO", "CONTAINS", "HAS_RULE", "CONSTRAINS", "CREATES", "ON", "DEPENDS_ON", "EXECUTES_SQL", "MAPS_TO",
+    "REFERENCES", "BELONGS_TO", "WORKFLOW_WRITES_TO", "CONTAINS", "HAS_RULE", "CONSTRAINS", "CREATES", "ON", "DEPENDS_ON", "EXECUTES_SQL", "MAPS_TO", "ALIAS_OF",
     "IMPLEMENTS", "EXPOSES", "CALLS_EXTERNAL",
 }
 IMPACT_EDGES = ("READS_FROM", "WRITES_TO", "CALLS", "FK_TO", "TARGETS", "EXECUTES_SQL", "DEPENDS_ON", "REFERENCES")
@@ -29,7 +29,7 @@ NODE_COLUMNS = {
     "action": "string", "nesting": "bigint", "is_dynamic": "boolean", "dynamic_sql": "string", "select_star": "boolean", "line": "bigint",
     "data_type": "string", "is_nullable": "boolean", "is_primary_key": "boolean", "ordinal": "bigint",
 }
-EDGE_COLUMNS = {"src": "string", "dst": "string", "type": "string", "action_type": "string", "resolution": "string", "via_view": "string"}
+EDGE_COLUMNS = {"src": "string", "dst": "string", "type": "string", "action_type": "string", "resolution": "string", "via_view": "string", "via": "string", "hops": "bigint", "inferred": "boolean", "confidence": "double", "bound_to": "string"}
 
 
 @dataclass(frozen=True)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit, changemap, compare, impact, risks, runtime
-from . import build, corpus, extract, testgraph
+from . import build, extract, specs, testgraph
 from .model import Graph
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -200,29 +200,35 @@ def _define() -> dict[str, tuple[Query, str]]:
     out["j13_correlate"] = (lambda s, d: runtime.correlate(trace(s, d)), _TRACE)
     out["j13_correlate_sql"] = (lambda s, d: runtime.correlate_sql(trace(s, d)), _TRACE)
     out["s_event_windows"] = (lambda s, d: runtime.event_stream(trace(s, d)), "SELECT user_id AS session_id, date_trunc('minute', ts) AS window_start, count(*) AS events, count(*) FILTER (WHERE event_id % 3 = 0) AS procedures FROM events GROUP BY ALL")
-    out["c_steps"] = (_corpus_steps, corpus.values(corpus.STEPS, "object, ordinal, action, target, filter_kind"))
-    out["d_derives_from"] = (_corpus_edges(("DERIVES_FROM",), ("src", "Shop:table:"), ("dst", "Shop:table:")), corpus.values(corpus.DERIVES, "src, dst"))
-    out["f_access"] = (_corpus_edges(("READS_FROM", "WRITES_TO"), ("owner", "Shop::"), ("dst", "Shop:table:"), True), corpus.values(corpus.ACCESS, "src, type, dst"))
-    out["f_links"] = (_corpus_edges(("CALLS", "FK_TO", "REFERENCES", "TARGETS", "CREATES", "ON"), ("owner", "-"), ("dst", "-"), True), corpus.values(corpus.LINKS, "src, type, dst"))
-    add("g13_via_calls", lambda x: changemap.via_calls(x).where("NOT cycle").select("id", "reached"), "vw(seed, node) AS (SELECT DISTINCT owner, owner FROM edges WHERE type = 'CALLS' UNION SELECT vw.seed, e.dst FROM vw JOIN edges e ON e.owner = vw.node AND e.type = 'CALLS') SELECT seed AS id, node AS reached FROM vw WHERE seed <> node")
-    out["g12_workflows"] = (_on(changemap.workflows), "")
-    out["g19_inlined_flow"] = (_on(changemap.inlined_flow), "")
+    out["c_steps"] = (lambda s, d: specs.steps(extract.extract(specs.modules(s, d))), specs.steps_sql())
+    for name, types in PATTERN_EDGES.items():
+        out[name] = (_pattern_edges(types), f"SELECT * FROM ({specs.edges_sql()}) x WHERE type IN {types!r}" if len(types) > 1 else f"SELECT * FROM ({specs.edges_sql()}) x WHERE type = '{types[0]}'")
+    # depth first, callees by name: the first way to an object is the least of the simple paths to it, read as lists
+    calls = "ca AS (SELECT DISTINCT owner AS src, dst FROM edges WHERE type = 'CALLS'{0})"
+    callable_only = calls.format("".join(f" AND {c} NOT IN (SELECT id FROM nodes WHERE object_type IN ('VIEW', 'TRIGGER'))" for c in ("owner", "dst")))
+    add("g13_via_calls", changemap.via_calls, f"{callable_only}, vp(seed, node, path) AS (SELECT src, dst, [dst] FROM ca UNION ALL SELECT seed, ca.dst, list_append(path, ca.dst) FROM vp JOIN ca ON ca.src = vp.node WHERE vp.node <> vp.seed AND NOT list_contains(path, ca.dst)), vf AS (SELECT seed, node, min(path) AS path FROM vp GROUP BY ALL) SELECT seed AS id, node AS reached, len(path)::BIGINT AS depth, seed = node AS cycle FROM vf")
+    flows = lambda most, hops: f"""{callable_only}, ot AS (SELECT * FROM ca WHERE src <> dst), en AS (SELECT DISTINCT src AS entry FROM ca WHERE src NOT IN (SELECT dst FROM ot)),
+wp(entry, node, path, back) AS (SELECT entry, entry, [entry], NULL::VARCHAR FROM en UNION ALL SELECT entry, ot.dst, list_append(path, ot.dst), CASE WHEN list_contains(path, ot.dst) THEN ot.dst END FROM wp JOIN ot ON ot.src = wp.node WHERE back IS NULL AND len(path) <= {hops}),
+wf AS (SELECT *, row_number() OVER (PARTITION BY entry ORDER BY path) - 1 AS number, count(*) OVER (PARTITION BY entry) > {most} AS truncated FROM wp WHERE back IS NOT NULL OR node NOT IN (SELECT src FROM ot) OR len(path) > {hops}),
+wr AS (SELECT entry, number, array_to_string(CASE WHEN back IS NULL THEN path ELSE path[1:-2] END, ' > ') AS path, back AS cycle_back_to, truncated FROM wf WHERE number < {most})"""
+    add("g12_workflows", changemap.workflows, f"{flows(200, 1_000_000)} SELECT entry, number, path, false AS conditional, cycle_back_to, truncated FROM wr")
+    add("g16_model_workflows", changemap.model_workflows, f"{flows(30, 10)} SELECT entry, number, path, cycle_back_to FROM wr")
+    add("g19_inlined_flow", changemap.inlined_flow, f"{calls.format('')}, fp(root, node, path, goes_on) AS (SELECT src, dst, [dst], src <> dst FROM ca UNION ALL SELECT root, ca.dst, list_append(path, ca.dst), ca.dst <> root AND NOT list_contains(path, ca.dst) FROM fp JOIN ca ON ca.src = fp.node WHERE goes_on AND len(path) < 5) SELECT root, row_number() OVER (PARTITION BY root ORDER BY path) - 1 AS position, len(path)::BIGINT AS level, node AS object FROM fp")
+    add("g10_lineage_depths", impact.lineage_depths, """dw(col, node, hops) AS (SELECT src, src, 0 FROM edges WHERE type = 'DERIVES_FROM' AND src <> dst UNION SELECT dw.col, e.dst, dw.hops + 1 FROM dw JOIN edges e ON e.src = dw.node AND e.type = 'DERIVES_FROM' AND e.src <> e.dst) SELECT col AS "column", max(hops)::BIGINT AS depth FROM dw GROUP BY col""")
     return out
 
 
-def _corpus_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = extract.extract(corpus.modules(spark))
-    return facts.select(F.col("full_name").alias("object"), F.explode("steps").alias("s")).select("object", "s.ordinal", "s.action", "s.target", "s.filter_kind")
+#: Queries over the modules of specs, and the types of edges that they compare.
+PATTERN_EDGES = {
+    "d_derives_from": ("DERIVES_FROM",),
+    "f_access": ("READS_FROM", "WRITES_TO"),
+    "f_column_access": ("READS_COLUMN", "WRITES_COLUMN", "FILTERS_ON", "CONDITIONED_BY"),
+    "f_links": ("CALLS", "TARGETS", "AFFECTS", "FK_TO", "CREATES", "ON", "ALIAS_OF"),
+}
 
 
-def _corpus_edges(types: tuple[str, ...], src: tuple[str, str], dst: tuple[str, str], with_type: bool = False) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        edges = build.build(extract.extract(corpus.modules(spark))).type(*types)
-        short = lambda x, name: F.replace(F.col(x[0]), F.lit(x[1]), F.lit("")).alias(name)
-        ends = [short(src, "src"), *(["type"] if with_type else []), short(dst, "dst")]
-        return edges.where("type <> 'REFERENCES' OR src LIKE '%:column:%'").select(*ends).distinct()
-
-    return run
+def _pattern_edges(types: tuple[str, ...]) -> Query:
+    return lambda spark, sf_dir: specs.edges(build.build(extract.extract(specs.modules(spark, sf_dir)))).where(F.col("type").isin(*types))
 
 
 def queries() -> dict[str, Query]:

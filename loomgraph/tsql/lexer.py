@@ -8,7 +8,7 @@ from typing import NamedTuple
 _TOKEN = re.compile(
     r"""(?P<skip>\s+|--[^\n]*)
   |(?P<string>N?'(?:[^']|'')*')
-  |(?P<name>\[(?:[^\]]|\]\])*\]|"(?:[^"]|"")*")
+  |(?P<name>\[(?:[^\]]|\]\])*\]|"(?:[^"]|"")*"|«param:@[\w$#@]+»)
   |(?P<var>@@?[\w$#@]+)
   |(?P<word>[A-Za-z_\#À-￿][\w$\#@À-￿]*)
   |(?P<number>0x[0-9A-Fa-f]*|\d+(?:\.\d*)?(?:[eE][+-]?\d+)?|\.\d+)

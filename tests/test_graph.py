@@ -12,7 +12,7 @@ from loomgraph.plans.model import Graph
 from loomgraph.sources import modules, sinks
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ["h1_step_rollup", "h3_coupling", "h14_describe_objects", "h19_blind_spot_severity", "g2_impact", "g5_table_impact_summary", "g7_derives_chain", "g11_f19_affects", "i_risks", "j2_impact_delta", "j6_recall", "j13_correlate_sql", "c_steps", "f_links"]
+CHECKED = ["h1_step_rollup", "h3_coupling", "h14_describe_objects", "h19_blind_spot_severity", "g2_impact", "g5_table_impact_summary", "g7_derives_chain", "g11_f19_affects", "i_risks", "j2_impact_delta", "j6_recall", "j13_correlate_sql", "c_steps", "d_derives_from", "f_access", "f_column_access", "f_links", "g10_lineage_depths", "g12_workflows", "g13_via_calls", "g16_model_workflows", "g19_inlined_flow"]
 
 
 @pytest.fixture(scope="module")
@@ -37,6 +37,19 @@ def test_against_sql(spark, db, name):
     assert _same(tuple(r[c] for c in columns) for r in found.collect()) == _same(tuple(r[names.index(c)] for c in columns) for r in cursor.fetchall())
 
 
+def test_small_corpus(spark):
+    """The modules of corpus, which call, read and write each other."""
+    facts = extract.extract(corpus.modules(spark))
+    found = facts.selectExpr("full_name", "explode(steps) AS s").selectExpr("full_name", "s.ordinal", "s.action", "s.target", "s.filter_kind")
+    assert _same(map(tuple, found.collect())) == _same(corpus.STEPS)
+    edges = build.build(facts).edges.collect()
+    bare = lambda x: x.replace("Shop:table:", "").replace("Shop::", "")
+    assert {(bare(r.src), bare(r.dst)) for r in edges if r.type == "DERIVES_FROM"} == set(corpus.DERIVES)
+    assert {(bare(r.owner), r.type, bare(r.dst)) for r in edges if r.type in ("READS_FROM", "WRITES_TO")} == set(corpus.ACCESS)
+    links = {(r.owner, r.type, r.dst) for r in edges if r.type in ("CALLS", "FK_TO", "REFERENCES", "TARGETS", "CREATES", "ON") and (r.type != "REFERENCES" or ":column:" in r.src)}
+    assert links == set(corpus.LINKS) | {("Shop::dbo.Report", "TARGETS", "Shop::dbo.SumUp"), ("Shop::dbo.SumUp", "TARGETS", "Shop::dbo.AddNote")}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
@@ -147,3 +160,41 @@ def test_sources_and_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s1")).count() == spark.read.parquet(str(tmp_path / "s0")).count() - 1
     assert "most used tables" in sinks.text_report(g)
     assert impact.resolve_object(g, "clients").first().name == "dbo.clients"
+
+
+def test_graph_of_synonyms_effects_guesses_and_triggers(spark):
+    rows = [
+        ("D::dbo.T", "CREATE TABLE dbo.T (a INT)"),
+        ("D::dbo.syn", "CREATE SYNONYM dbo.syn FOR dbo.T"),
+        ("D::dbo.reader", "CREATE PROCEDURE dbo.reader AS BEGIN SELECT a FROM dbo.syn; END"),
+        ("D::dbo.writer", "CREATE PROCEDURE dbo.writer AS BEGIN UPDATE dbo.T SET a = 1; END"),
+        ("D::dbo.middle", "CREATE PROCEDURE dbo.middle AS BEGIN EXEC dbo.writer; END"),
+        ("D::dbo.top", "CREATE PROCEDURE dbo.top AS BEGIN EXEC dbo.middle; END"),
+        ("D::dbo.guess", "CREATE PROCEDURE dbo.guess @t SYSNAME AS BEGIN DECLARE @s NVARCHAR(MAX) = N'DELETE FROM dbo.' + QUOTENAME(@t); EXEC sp_executesql @s; END"),
+        ("D::dbo.maker", "CREATE PROCEDURE dbo.maker AS BEGIN EXEC (N'CREATE TRIGGER dbo.tr ON dbo.T AFTER INSERT AS BEGIN DELETE FROM dbo.U; END'); END"),
+        ("D::dbo.fires", "CREATE TRIGGER dbo.fires ON dbo.T AFTER INSERT AS BEGIN EXEC dbo.lonely; END"),
+        ("D::dbo.lonely", "CREATE PROCEDURE dbo.lonely AS BEGIN SELECT 1 AS x; END"),
+    ]
+    g = build.build(extract.extract(spark.createDataFrame(rows, "name string, sql string")))
+    edges = g.edges.collect()
+    of = lambda kind: {(r.src, r.dst) for r in edges if r.type == kind}
+    assert of("ALIAS_OF") == {("D::dbo.syn", "D:table:dbo.t")} and any(r.owner == "D::dbo.reader" and r.dst == "D:table:dbo.t" for r in edges if r.type == "READS_FROM")
+    assert {(r.src, r.dst, r.via, r.hops) for r in edges if r.type == "AFFECTS"} == {("D::dbo.middle", "D:table:dbo.t", "D::dbo.writer", 1), ("D::dbo.top", "D:table:dbo.t", "D::dbo.writer", 2)}
+    guessed = [r for r in edges if r.type == "WRITES_TO" and r.owner == "D::dbo.guess"]
+    assert [(r.inferred, r.confidence, r.bound_to) for r in guessed] == [(True, 0.5, "@t")] and not any(r.inferred for r in edges if r.owner == "D::dbo.writer")
+    assert ("D::dbo.maker", "D::dbo.tr") in of("CREATES") and not [r for r in edges if r.type == "WRITES_TO" and r.owner == "D::dbo.maker"]
+    flows = changemap.workflows(g).collect()
+    assert [r.path for r in flows] == ["D::dbo.top > D::dbo.middle > D::dbo.writer"] and changemap.via_calls(g).where("id LIKE '%fires'").count() == 0
+
+
+def test_lineage_depth_is_the_greatest(spark):
+    c = lambda x: f"D:table:t:column:{x}"
+    edges = [("d", "c"), ("c", "b"), ("b", "a"), ("d", "a"), ("x", "y"), ("y", "x"), ("y", "a")]
+    g = small(spark, [(c(a), c(b), "DERIVES_FROM") for a, b in edges])
+    assert {tuple(r) for r in impact.lineage_depths(g).collect()} == {(c("d"), 3), (c("c"), 2), (c("b"), 1), (c("y"), 1), (c("x"), 0)}
+
+
+def test_model_workflows(spark):
+    g = small(spark, [(f"D::c{i:02}", f"D::c{i + 1:02}", "CALLS") for i in range(15)])
+    (flow,) = changemap.model_workflows(g).collect()
+    assert flow.path == " > ".join(f"D::c{i:02}" for i in range(11)) and flow.cycle_back_to is None

@@ -130,3 +130,36 @@ def test_names_and_words():
     assert naturalise("(@a IS NULL) AND b >= 3") == "@a is missing and b is at least 3"
     assert naturalise("NOT EXISTS (SELECT 1 FROM dbo.T WHERE x = 1)") == "dbo.T has no matching row"
     assert escape_like("a_b%") == "a\\_b\\%"
+
+
+def test_placeholder_of_a_quoted_parameter():
+    found = analyse("D::dbo.x", "CREATE PROCEDURE dbo.x @t SYSNAME AS BEGIN DECLARE @s NVARCHAR(MAX); SET @s = N'DELETE FROM dbo.' + QUOTENAME(@t) + N' WHERE a = 1'; EXEC sp_executesql @s; END")
+    assert found["parse_error"] is None
+    assert [(s["action"], s["target"]) for s in found["steps"] if s["action"] == "DELETE"] == [("DELETE", "dbo.«param:@t»")]
+    bare = analyse("D::dbo.x", "CREATE PROCEDURE dbo.x @w NVARCHAR(90) AS BEGIN DECLARE @s NVARCHAR(MAX) = N'SELECT a FROM dbo.T WHERE 1=1' + @w; EXEC sp_executesql @s; END")
+    assert [s["dynamic_sql"] for s in bare["steps"] if s["is_dynamic"]] == [None]
+
+
+def test_trigger_made_by_dynamic_sql_is_not_run_by_its_maker():
+    found = analyse("D::dbo.x", "CREATE PROCEDURE dbo.x AS BEGIN EXEC (N'CREATE TRIGGER dbo.tr ON dbo.T AFTER INSERT AS BEGIN DELETE FROM dbo.U; END'); END")
+    assert [s["action"] for s in found["steps"]] == ["EXEC"] and [(t["name"], t["table"]) for t in found["triggers"]] == [("dbo.tr", "dbo.T")]
+
+
+@pytest.mark.parametrize(
+    ("source", "tables"),
+    [
+        ("STRING_SPLIT(@list, ',') AS s", ["STRING_SPLIT(@list, ',')"]),
+        ("GENERATE_SERIES(1, 10) g", ["GENERATE_SERIES(1, 10)"]),
+        ("OPENQUERY(Remote, 'SELECT a FROM dbo.T') q", ["OPENQUERY(Remote)"]),
+        ("OPENROWSET('MSOLEDBSQL', 'Server=x', Db1.dbo.Far) f", ["Db1.dbo.Far"]),
+        ("OPENROWSET('MSOLEDBSQL', 'Server=x', 'SELECT 1') f", []),
+        ("OPENROWSET(BULK 'a.csv', SINGLE_CLOB) f", []),
+        ("OPENJSON(@j) WITH (a INT '$.a') o", ["OPENJSON(@j)"]),
+        ("dbo.OwnFunction(1) f", []),
+    ],
+)
+def test_what_stands_for_a_table(source, tables):
+    (row,) = steps(f"SELECT x FROM {source}")
+    assert [r["table"] for r in row["reads"]] == tables
+    both = steps(f"SELECT 1 AS x FROM dbo.Real r JOIN {source} ON 1 = 1")[-1]
+    assert [r["table"] for r in both["reads"]] == ["dbo.Real", *tables]
