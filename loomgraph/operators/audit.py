@@ -205,6 +205,19 @@ def write_hotspots(graph: Graph, top: int = 10) -> DataFrame:
     return by.orderBy(F.desc("writers"), "table").limit(top)
 
 
+def dynamic_surface(graph: Graph) -> DataFrame:
+    """(name, dynamic_steps, unknown): objects that run dynamic SQL, and how many of these steps have no known text."""
+    steps = graph.label("Step").where("is_dynamic").select(F.substring_index("id", "#", 1).alias("id"), "dynamic_sql")
+    by = steps.groupBy("id").agg(F.count("*").alias("dynamic_steps"), F.count_if(F.col("dynamic_sql").isNull()).alias("unknown"))
+    return graph.label("SqlObject").select("id", "name").join(by, "id").select("name", "dynamic_steps", "unknown")
+
+
+def rule_frequency(graph: Graph) -> DataFrame:
+    """(id, name, steps): conditions by the number of steps that stand right below them."""
+    by = graph.type("GOVERNS").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("steps"))
+    return graph.label("Rule").select("id", "name").join(by, "id")
+
+
 def invariants(graph: Graph) -> DataFrame:
     """(check_name, violations): what must be 0 in a sound graph."""
     ids = graph.nodes.select("id")

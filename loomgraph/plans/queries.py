@@ -60,15 +60,22 @@ af AS (SELECT seed AS object, dst AS tab, hops, node, row_number() OVER (PARTITI
 _ROOTS = f"""rw(seed, node, hops) AS (SELECT DISTINCT src, src, 0 FROM {_FORTH} WHERE src <> dst UNION SELECT rw.seed, e.dst, rw.hops + 1 FROM rw JOIN {_FORTH} e ON e.src = rw.node AND e.src <> e.dst WHERE rw.hops < 20),
 rt AS (SELECT seed AS col, node AS root, min(hops)::BIGINT AS hops FROM rw WHERE hops > 0 AND node NOT IN (SELECT src FROM {_FORTH} WHERE src <> dst) GROUP BY seed, node)"""
 _SHARED = "sd AS (SELECT DISTINCT w.owner AS writer, w.dst AS tab, r.owner AS reader FROM edges w JOIN edges r ON w.dst = r.dst AND w.type = 'WRITES_TO' AND r.type = 'READS_FROM' AND w.owner <> r.owner)"
-_RISKS = f"""{_ROLLUP}, st AS (SELECT split_part(n.id, '#', 1) AS id, bool_or(coalesce(select_star, false)) AS star, bool_or(action IN ('UPDATE', 'DELETE') AND n.id NOT IN (SELECT src FROM edges WHERE type = 'FILTERS_ON')) AS unfiltered FROM nodes n WHERE label = 'Step' GROUP BY 1),
+_RISKS = f"""{_ROLLUP}, st AS (SELECT split_part(n.id, '#', 1) AS id, bool_or(coalesce(select_star, false)) AS star, bool_or(action = 'TRUNCATE') AS truncates, bool_or(action IN ('UPDATE', 'DELETE') AND n.id NOT IN (SELECT src FROM edges WHERE type = 'FILTERS_ON')) AS unfiltered FROM nodes n WHERE label = 'Step' GROUP BY 1),
 pw AS (SELECT owner, dst, count(*) AS n FROM edges WHERE type = 'WRITES_TO' GROUP BY ALL), wr AS (SELECT owner, count(*) AS tables_written, max(n) AS most FROM pw GROUP BY owner),
-f AS (SELECT o.*, coalesce(star, false) AS star, coalesce(unfiltered, false) AS unfiltered, coalesce(tables_written, 0) AS tw, coalesce(most, 0) AS most, o.id IN (SELECT dst FROM edges WHERE type = 'CALLS') AS called FROM o LEFT JOIN st ON o.id = st.id LEFT JOIN wr ON wr.owner = o.id),
+idl AS (SELECT src AS id, count(*) AS idle FROM edges WHERE type = 'DECLARES' AND dst NOT IN (SELECT dst FROM edges WHERE type IN ('USES_VARIABLE', 'BUILDS_SQL_FROM') UNION SELECT src FROM edges WHERE type = 'ASSIGNED_FROM') GROUP BY 1),
+inj AS (SELECT DISTINCT b.owner AS id FROM edges b JOIN edges a ON a.type = 'ASSIGNED_FROM' AND a.src = b.dst WHERE b.type = 'BUILDS_SQL_FROM'),
+f AS (SELECT o.*, coalesce(truncates, false) AS truncates, coalesce(idle, 0) AS idle, o.id IN (SELECT id FROM inj) AS injection, coalesce(star, false) AS star, coalesce(unfiltered, false) AS unfiltered, coalesce(tables_written, 0) AS tw, coalesce(most, 0) AS most, o.id IN (SELECT dst FROM edges WHERE type = 'CALLS') AS called FROM o LEFT JOIN st ON o.id = st.id LEFT JOIN idl ON idl.id = o.id LEFT JOIN wr ON wr.owner = o.id),
 tf AS (SELECT t.id, coalesce(cols, 0) AS cols, coalesce(pk, false) AS pk, coalesce(alln, false) AS alln, coalesce(writers, 0) AS writers, coalesce(readers, 0) AS readers FROM nodes t
   LEFT JOIN (SELECT split_part(id, ':column:', 1) AS id, count(*) AS cols, bool_or(is_primary_key) AS pk, bool_and(is_nullable) AS alln FROM nodes WHERE label = 'Column' GROUP BY 1) c ON c.id = t.id
   LEFT JOIN (SELECT dst, count(DISTINCT action_type || owner) AS writers FROM edges WHERE type = 'WRITES_TO' GROUP BY 1) w ON w.dst = t.id
   LEFT JOIN (SELECT dst, count(*) AS readers FROM edges WHERE type = 'READS_FROM' GROUP BY 1) r ON r.dst = t.id WHERE label = 'Table'),
 risk AS ({" UNION ALL ".join(f"SELECT '{s}' AS severity, '{c}' AS category, '{r}' AS rule, id AS component, {d} AS detail FROM {t} WHERE {w}" for s, c, r, t, w, d in [
-    ("high", "security", "dynamic_sql", "f", "dynamic_sql_calls > 0", "dynamic_sql_calls::VARCHAR"),
+    ("critical", "security", "sql_injection", "f", "injection", "''"),
+    ("medium", "performance", "sp_prefix", "f", "starts_with(lower(split_part(name, '.', -1)), 'sp_')", "''"),
+    ("medium", "integrity", "truncate", "f", "truncates", "''"),
+    ("low", "maintainability", "unused_variable", "f", "idle > 0", "idle::VARCHAR"),
+    ("low", "maintainability", "dead_code", "f", "NOT called AND tw = 0 AND total_steps > 0 AND (lower(name) LIKE '%.fn%' OR lower(name) LIKE '%.ufn%' OR lower(name) LIKE '%function%')", "''"),
+    ("high", "security", "dynamic_sql", "f", "NOT injection AND dynamic_sql_calls > 0", "dynamic_sql_calls::VARCHAR"),
     ("high", "robustness", "cursor_in_transaction_without_handler", "f", "has_cursor AND has_transaction AND NOT has_error_handling", "''"),
     ("high", "robustness", "transaction_without_handler", "f", "NOT has_cursor AND has_transaction AND NOT has_error_handling", "''"),
     ("medium", "robustness", "unprotected_write", "f", "tw > 0 AND NOT has_transaction AND NOT has_error_handling", "tw::VARCHAR"),
@@ -90,9 +97,20 @@ risk AS ({" UNION ALL ".join(f"SELECT '{s}' AS severity, '{c}' AS category, '{r}
 ])})"""
 
 
+_BROKEN = """bnodes AS (SELECT CASE WHEN label = 'Workflow' THEN NULL ELSE id END AS id, label, CASE WHEN label = 'SqlObject' AND id LIKE '%4' THEN -complexity ELSE complexity END AS complexity FROM nodes WHERE NOT (label = 'SqlObject' AND id LIKE '%8') AND NOT (label = 'Table' AND id LIKE '%3')
+  UNION ALL SELECT id, label, complexity FROM nodes WHERE label = 'Table' AND id LIKE '%7'), bedges AS (SELECT * FROM edges)"""
+
+
+def broken(graph: Graph) -> Graph:
+    """The graph with faults of each kind that the invariants look for."""
+    n = graph.nodes.where("NOT (label = 'SqlObject' AND id LIKE '%8') AND NOT (label = 'Table' AND id LIKE '%3')")
+    n = n.withColumn("id", F.when(F.col("label") != "Workflow", F.col("id"))).withColumn("complexity", F.when((F.col("label") == "SqlObject") & F.col("id").like("%4"), -F.col("complexity")).otherwise(F.col("complexity")))
+    return Graph(n.unionByName(graph.nodes.where("label = 'Table' AND id LIKE '%7'")), graph.edges)
+
+
 def later(graph: Graph) -> Graph:
-    """A second version of the graph: objects whose number ends in 7 call nothing any more."""
-    return Graph(graph.nodes.where("NOT (label = 'SqlObject' AND id LIKE '%3')").withColumn("complexity", F.when(F.col("id").like("%5"), F.col("complexity") + 1).otherwise(F.col("complexity"))), graph.edges.where("NOT (type = 'CALLS' AND src LIKE '%7')"))
+    """A second version of the graph: objects whose number ends in 7 call nothing any more, those whose number ends in 11 read nothing."""
+    return Graph(graph.nodes.where("NOT (label = 'SqlObject' AND id LIKE '%3')").withColumn("complexity", F.when(F.col("id").like("%5"), F.col("complexity") + 1).otherwise(F.col("complexity"))), graph.edges.where("NOT (type = 'CALLS' AND src LIKE '%7') AND NOT (type = 'READS_FROM' AND owner LIKE '%11')"))
 
 
 def _oracle_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -190,8 +208,19 @@ def _define() -> dict[str, tuple[Query, str]]:
     old, new = "SELECT owner, dst FROM edges WHERE type = 'CALLS' AND src <> dst", "SELECT owner, dst FROM edges WHERE type = 'CALLS' AND src <> dst AND src NOT LIKE '%7'"
     reach = lambda n, e: f"{n}w(seed, node, hops) AS (SELECT DISTINCT dst, dst, 0 FROM ({e}) UNION SELECT {n}w.seed, e.owner, {n}w.hops + 1 FROM {n}w JOIN ({e}) e ON e.dst = {n}w.node WHERE {n}w.hops < 20), {n}r AS (SELECT DISTINCT seed AS id, node AS reached FROM {n}w WHERE seed <> node)"
     add("j1_object_diff", lambda x: compare.object_diff(compare.content_hash(x.label("SqlObject")), compare.content_hash(later(x).label("SqlObject"))), " SELECT id, CASE WHEN id LIKE '%3' THEN 'removed' ELSE 'changed' END AS change FROM nodes WHERE label = 'SqlObject' AND (id LIKE '%3' OR id LIKE '%5')")
-    add("j2_impact_delta", lambda x: compare.impact_delta(x, later(x)), f"{reach('a', old)}, {reach('b', new)} SELECT id, reached, 'calls' AS via, 'removed' AS change FROM (SELECT * FROM ar EXCEPT SELECT * FROM br) UNION ALL SELECT id, reached, 'calls', 'added' FROM (SELECT * FROM br EXCEPT SELECT * FROM ar)")
-    add("j5_against_catalog", lambda x: compare.against_catalog(x.type("FK_TO"), x.type("FK_TO").where("src NOT LIKE '%9'").union(x.type("CALLS")), x.label("Table").select(F.col("id").alias("name"))), " SELECT src, dst, 'extra' AS side FROM edges WHERE type = 'FK_TO' AND src LIKE '%9'")
+    add("j2_impact_delta", lambda x: compare.impact_delta(x, later(x)), f"{_SHARED}, {reach('a', old)}, {reach('b', new)} SELECT id, reached, 'calls' AS via, 'removed' AS change FROM (SELECT * FROM ar EXCEPT SELECT * FROM br) UNION ALL SELECT id, reached, 'calls', 'added' FROM (SELECT * FROM br EXCEPT SELECT * FROM ar) UNION ALL SELECT id, reached, 'data', 'removed' FROM (SELECT writer AS id, reader AS reached FROM sd EXCEPT SELECT writer, reader FROM sd WHERE reader NOT LIKE '%11')")
+    swapped = lambda x: x.type("FK_TO").where("src LIKE '%5'").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    add("j5_against_catalog", lambda x: compare.against_catalog(x.type("FK_TO"), x.type("FK_TO").where("src NOT LIKE '%9'").select("src", "dst").union(swapped(x)).union(x.type("CALLS").select("src", "dst")), x.label("Table").select(F.col("id").alias("name"))), "fk AS (SELECT src, dst FROM edges WHERE type = 'FK_TO'), cat AS (SELECT src, dst FROM fk WHERE src NOT LIKE '%9' UNION SELECT dst, src FROM fk WHERE src LIKE '%5') SELECT src, dst, 'extra' AS side FROM (SELECT * FROM fk EXCEPT SELECT * FROM cat) UNION ALL SELECT src, dst, 'missing' FROM (SELECT * FROM cat EXCEPT SELECT * FROM fk)")
+    add("g24_taint", audit.taint, """ SELECT DISTINCT a.dst AS "column", a.src AS variable, b.src AS step FROM edges a JOIN edges b ON a.type = 'ASSIGNED_FROM' AND b.type = 'BUILDS_SQL_FROM' AND a.src = b.dst""")
+    add("h29_dynamic_surface", audit.dynamic_surface, """ SELECT n.name, count(*) AS dynamic_steps, count(*) FILTER (WHERE s.dynamic_sql IS NULL) AS unknown FROM nodes s JOIN nodes n ON n.id = split_part(s.id, '#', 1) AND n.label = 'SqlObject' WHERE s.label = 'Step' AND s.is_dynamic GROUP BY n.id, n.name""")
+    add("h29_rule_frequency", audit.rule_frequency, " SELECT n.id, n.name, count(*) AS steps FROM edges e JOIN nodes n ON n.id = e.src AND n.label = 'Rule' WHERE e.type = 'GOVERNS' GROUP BY ALL")
+    add("h30_broken_invariants", lambda x: audit.invariants(broken(x)), f"""{_BROKEN}, en AS (SELECT src AS id FROM bedges UNION ALL SELECT dst FROM bedges)
+SELECT 'duplicate ids' AS check_name, count(*) AS violations FROM (SELECT id FROM bnodes GROUP BY id HAVING count(*) > 1) x
+UNION ALL SELECT 'edges without an end', count(*) FROM en WHERE id IS NULL OR id NOT IN (SELECT id FROM bnodes WHERE id IS NOT NULL) UNION ALL SELECT 'null ids', count(*) FROM bnodes WHERE id IS NULL
+UNION ALL SELECT 'steps without an owner', count(*) FROM bnodes WHERE label = 'Step' AND split_part(id, '#', 1) NOT IN (SELECT id FROM bnodes WHERE label = 'SqlObject')
+UNION ALL SELECT 'columns without a table', count(*) FROM bnodes WHERE label = 'Column' AND split_part(id, ':column:', 1) NOT IN (SELECT id FROM bnodes WHERE label = 'Table' AND id IS NOT NULL)
+UNION ALL SELECT 'writes to what is no table', count(*) FROM bedges WHERE type = 'WRITES_TO' AND dst NOT IN (SELECT id FROM bnodes WHERE label = 'Table' AND id IS NOT NULL)
+UNION ALL SELECT 'negative complexity', count(*) FROM bnodes WHERE label = 'SqlObject' AND complexity < 0""")
     add("j9_column_references", compare.column_references, """ SELECT DISTINCT lower(n.name) AS module, lower(split_part(split_part(e.dst, ':column:', 1), ':table:', 2)) AS entity, lower(split_part(e.dst, ':column:', 2)) AS "column", e.resolution FROM edges e JOIN nodes n ON n.id = e.owner AND n.label = 'SqlObject' WHERE e.type IN ('READS_COLUMN', 'WRITES_COLUMN', 'FILTERS_ON')""")
     out["j6_recall"] = (lambda s, d: compare.recall(*_oracle_pairs(s, d)), f"{_PAIRS}, x AS (SELECT count(*) AS total, count(*) FILTER (WHERE (module, entity, col) IN (SELECT module, entity, col FROM fo)) AS strict, count(*) FILTER (WHERE (module, col) IN (SELECT module, col FROM fo)) AS loose FROM e) SELECT total, strict, loose, round(strict / total::DOUBLE, 4) AS strict_recall, round(loose / total::DOUBLE, 4) AS loose_recall FROM x")
     out["j7_precision"] = (lambda s, d: compare.precision(*_oracle_pairs(s, d)), f"{_PAIRS}, x AS (SELECT DISTINCT f.* FROM fo f WHERE module IN (SELECT module FROM e)) SELECT x.resolution, count(*) AS n, count(e.module) AS right, round(count(e.module) / count(*)::DOUBLE, 4) AS precision FROM x LEFT JOIN e ON e.module = x.module AND e.entity = x.entity AND e.col = x.col GROUP BY x.resolution".replace("AS right", 'AS "right"'))
