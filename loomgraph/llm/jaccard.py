@@ -397,7 +397,6 @@ def keep_one_of_each_group(df: DataFrame, n: int = N, threshold: float = THRESHO
     a smaller id. Of rows that repeat an id and a text one is kept; rows with a null id and those with null texts or
     texts without words stay. Texts of any length are compared whole; an empty table stays empty."""
     linked = jaccard_join(df, n, threshold, id_col, text_col).where(F.col("class_id") != F.col(id_col)).select(F.col(id_col).alias("_"))
-    linked = checkpointed(linked)
     kept = df.join(linked, F.col(f"`{id_col}`") == linked["_"], "left_anti").select([f"`{c}`" for c in df.columns])
     repeated = checkpointed(df.select(F.col(id_col).alias("_")).where("_ IS NOT NULL").groupBy("_").count().where("count > 1").select("_"))
     if repeated.isEmpty():

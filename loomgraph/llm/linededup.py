@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import slices, small_batches, type_name
-from .shared import checkpointed, written
+from .shared import written
 
 #: Lines of fewer words are compared by characters, and those of fewer characters too for equality only: one edit
 #: is too much of them.
@@ -133,7 +133,7 @@ def repeated_lines(df: DataFrame, least_words: int = LEAST_WORDS, least_characte
     shared = earliest.where("halves IS NOT NULL").select("at", F.posexplode("halves").alias("role", "half"))
     meets = shared.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
     near = shared.join(meets, "half").groupBy("at").agg(F.collect_set("role").alias("roles"))
-    wanted = checkpointed(near.groupBy(F.col("at.id").alias("id")).agg(F.collect_list(F.struct("at.line", "at.c", "roles")).alias("lines")))
+    wanted = near.groupBy(F.col("at.id").alias("id")).agg(F.collect_list(F.struct("at.line", "at.c", "roles")).alias("lines"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row a variant; that of the whole line, with place -1, has its words' hashes too."""
@@ -168,7 +168,7 @@ def repeated_lines(df: DataFrame, least_words: int = LEAST_WORDS, least_characte
     # the earliest that has it by a cut, and the earliest by a cut at each place are all that others need to meet.
     # most variants are of one line only, and go before anything else
     several = emitted.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select("v")
-    meeting = written(emitted.drop("words").join(several, "v"))
+    meeting = emitted.drop("words").join(several, "v")
     same = meeting.groupBy("v", "w", "place").agg(F.min("at").alias("same"))
     variant = same.groupBy("v", "w").agg(F.min(F.when(F.col("place") < 0, F.col("same"))).alias("whole"), F.min(F.when(F.col("place") >= 0, F.col("same"))).alias("cut"))
     partners = F.when(F.col("place") < 0, F.array("cut")).otherwise(F.array("same", "whole"))
@@ -200,7 +200,7 @@ def dedup_lines(df: DataFrame, least_words: int = LEAST_WORDS, least_characters:
     stay in both. Lines of any length are compared whole. `count_col` must not be a column already."""
     if count_col in df.columns:
         raise ValueError(f"there is a column {count_col} already")
-    lines = checkpointed(repeated_lines(df, least_words, least_characters, id_col, text_col)).select(F.col("id").alias("i"), F.col("lines").alias("gone"))
+    lines = repeated_lines(df, least_words, least_characters, id_col, text_col).select(F.col("id").alias("i"), F.col("lines").alias("gone"))
     # the row goes as one column, so no name of its own can clash
     own = lambda c: F.col("row").getField(c)
     text, gone = own(text_col), F.col("gone")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import give_back, slices, small_batches, type_name
-from .shared import checkpointed, folder, written
+from .shared import folder, written
 
 ORDER, LEAST_COUNT = 5, 1
 #: Stands before a text begins; a text that has this non-character has U+FFFD in its place.
@@ -31,6 +31,8 @@ BLOCK, SIDE_BY_SIDE = 8 << 20, 4 << 20
 #: Code points: what an unseen character's share is spread over.
 CODES = 0x110000
 LANES = 8192
+#: Blocks of a task.
+TASK = 32
 
 
 def _clean(text: str) -> str:
@@ -109,7 +111,7 @@ def train(df: DataFrame, order: int = ORDER, least_count: int = LEAST_COUNT, tex
 
 def _train(blocks: DataFrame, order: int, least_count: int) -> str:
     spark, path = blocks.sparkSession, f"{folder(blocks.sparkSession)}/lm-{uuid.uuid4().hex}"
-    counted = checkpointed(blocks.where("g IS NOT NULL").groupBy("g").agg(F.sum("n").alias("n")))
+    counted = written(blocks.where("g IS NOT NULL").groupBy("g").agg(F.sum("n").alias("n")))
     kept = [counted.select(F.expr(f"right(g, {k})").alias("g"), "n").groupBy("g").agg(F.sum("n").alias("n")) for k in range(1, order)] + [counted]
     kept = [kept[0], *(x.where(F.col("n") >= least_count) if least_count > 1 else x for x in kept[1:])]
     contexts = [x.groupBy(F.expr(f"left(g, {k - 1})").alias("h")).agg(F.sum("n").alias("c"), F.count("*").alias("t")) for k, x in enumerate(kept, 1)]
@@ -338,7 +340,10 @@ def _score(blocks: DataFrame, path: str, order: int, id_col: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([some.column(4), pa.array([None if t is None else len(t) for t in texts], pa.int32()), pa.array(scores, mask=null)], names=["id", "n_characters", "lp"])
         give_back()
 
-    placed = rows.repartition("block").sortWithinPartitions("block", "kind")
+    # a task gets a bounded number of blocks, whatever the size of the table
+    number = blocks.where("g IS NULL").agg(F.count_distinct("block")).first()[0]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), number // TASK)
+    placed = rows.repartition(tasks, "block").sortWithinPartitions("block", "kind")
     scored = placed.mapInArrow(traverse, f"id {id_type}, n_characters int, lp double")
     n, lp = F.col("n_characters"), F.col("lp")
     return scored.select(F.col("id").alias(id_col), "n_characters", F.round(lp, 3).alias("log_probability"), F.when(n > 0, F.round(F.exp(-lp / n), 4)).alias("perplexity"))

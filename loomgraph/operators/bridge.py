@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,3 +56,38 @@ def dispatch(calls: DataFrame, registered: DataFrame, implementations: DataFrame
     only = implementations.groupBy("interface").agg(F.min("class").alias("single"), F.count("*").alias("n")).where("n = 1").select("interface", "single")
     by = calls.join(registered.select("interface", F.col("class").alias("chosen")).dropDuplicates(["interface"]), "interface", "left").join(only, "interface", "left")
     return by.select("interface", "method", F.coalesce("chosen", "single").alias("target"), F.when(F.col("chosen").isNotNull(), "registered").when(F.col("single").isNotNull(), "only implementation").otherwise("unresolved").alias("by"))
+
+
+def application(files: DataFrame, graph: Graph) -> Graph:
+    """The graph of application code, of files (path, f) as sources.code.extracted gives them: files, classes, methods and entry
+    points, the SQL that methods run against the objects and tables of `graph`, and the services that they call.
+
+    A method's id has its namespace and class, as a class can be in several files. A procedure's name or a table that the
+    graph doesn't know gives no edge; a name with a hole gives an ambiguous edge to each that it can mean."""
+    space = F.coalesce(F.try_element_at("f.classes", F.lit(1))["namespace"], F.lit(""))
+    rows = files.select("path", "f", F.when(space != "", F.concat(space, F.lit("."))).otherwise("").alias("space"))
+    method = lambda name: F.concat(F.lit("app::method:"), "space", name)
+    each = lambda part: rows.select("path", "space", F.explode(f"f.{part}").alias("x"))
+    classes, methods, entries, external, sql = (each(p) for p in ("classes", "methods", "entries", "external", "sql"))
+    file, of_class = F.concat(F.lit("app::file:"), "path"), lambda name: F.concat(F.lit("app::class:"), "space", name)
+    entry = F.concat(F.lit("app::entry:"), F.col("x.kind"), F.lit(":"), F.col("x.key"))
+    node = lambda df, id, label, name: df.select(id.alias("id"), F.lit(label).alias("label"), name.alias("name"))
+    nodes = [
+        node(rows, file, "File", F.col("path")), node(classes, of_class(F.col("x.name")), "Class", F.col("x.name")), node(methods, method(F.concat_ws(".", "x.class", "x.name")), "Method", F.col("x.name")),
+        node(entries, entry, "EntryPoint", F.col("x.key")), node(external, F.concat(F.lit("app::external:"), "x.url"), "ExternalSystem", F.col("x.url")),
+    ]
+    edge = lambda df, src, dst, kind, resolution=None: df.select(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"), (F.lit(None).cast("string") if resolution is None else resolution).alias("resolution"))
+    implements = classes.select("space", "x", F.explode("x.bases").alias("base"))
+    # a procedure is called by its name alone; anything else is SQL
+    text = F.when(F.col("x.procedure"), F.concat(F.lit("EXEC "), F.col("x.text"))).otherwise(F.col("x.text"))
+    asked = sql.select(method(F.col("x.method")).alias("path"), text.alias("text"))
+    deleted = asked.select("path", F.regexp_replace("text", r"(?i)\bMERGE\s+(?!INTO)", "MERGE INTO ").alias("text"))
+    named = references(deleted, graph).where("id IS NOT NULL")
+    edges = [
+        edge(classes, file, of_class(F.col("x.name")), "CONTAINS"), edge(methods, of_class(F.col("x.class")), method(F.concat_ws(".", "x.class", "x.name")), "CONTAINS"),
+        edge(implements, of_class(F.col("x.name")), of_class(F.col("base")), "IMPLEMENTS"), edge(entries, of_class(F.substring_index("x.method", ".", 1)), entry, "EXPOSES"),
+        edge(entries, entry, method(F.col("x.method")), "CALLS"), edge(external, method(F.col("x.method")), F.concat(F.lit("app::external:"), "x.url"), "CALLS_EXTERNAL"),
+        edge(named, F.col("path"), F.col("id"), "EXECUTES_SQL", F.col("resolution")),
+    ]
+    together = lambda parts: reduce(DataFrame.union, parts).distinct()
+    return Graph.of(together(nodes), together(edges))

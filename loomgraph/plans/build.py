@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_transient, normalise, stable_hash, with_schema
-from ..operators.closure import stored
+from ..operators.closure import cut, stored
 from ..operators.impact import affects
 from .extract import steps as step_rows
 from .model import EDGE_COLUMNS, NODE_COLUMNS, Graph, owner
@@ -297,8 +297,13 @@ def merge_graphs(graphs: list[Graph]) -> Graph:
 
 
 def numbered(edges: DataFrame) -> DataFrame:
-    """With ids r0, r1, ... for an export; the order is by type and ends."""
-    from pyspark.sql import Window
-
-    order = Window.orderBy("type", "src", "dst")
-    return edges.withColumn("id", F.concat(F.lit("r"), (F.row_number().over(order) - 1).cast("string")))
+    """With ids r0, r1, ... for an export, in the order of type and ends. Rows are sorted by ranges and numbered within each;
+    what a range starts with is the number of rows before it, of which there is one figure a range."""
+    rows = cut(edges.orderBy("type", "src", "dst", *(c for c in edges.columns if c not in ("type", "src", "dst"))))  # its partitions stay as they are
+    rows = rows.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes, starts, at = {r._part: r["count"] for r in rows.groupBy("_part").count().collect()}, [], 0
+    for part in sorted(sizes):
+        starts.append((part, at))
+        at += sizes[part]
+    start = edges.sparkSession.createDataFrame(starts, "_part int, _start bigint")
+    return rows.join(F.broadcast(start), "_part").withColumn("id", F.concat(F.lit("r"), (F.col("_start") + F.col("_row")).cast("string"))).drop("_part", "_row", "_start")

@@ -40,23 +40,36 @@ def _analysed(modules: DataFrame, strict: bool) -> DataFrame:
     return stored(modules.select(F.from_json(read("name", "sql", "catalog"), FACTS).alias("f"))).select("f.*")
 
 
+#: Words of a text, as names have them.
+_WORD = r"[\w$#@]+"
+
+
 def known_columns(facts: DataFrame) -> DataFrame:
-    """(db, catalog): for each database, the columns of its tables, views and table functions as a JSON object."""
+    """(db, name, columns) of tables, views and table functions."""
     tables = facts.select("db", F.explode("tables").alias("t")).where("size(t.columns) > 0").select("db", F.lower("t.name").alias("name"), F.col("t.columns.name").alias("columns"))
     outputs = facts.where("size(outputs) > 0").select("db", F.lower("full_name").alias("name"), F.col("outputs.name").alias("columns"))
-    one = tables.union(outputs).groupBy("db", "name").agg(F.max("columns").alias("columns"))
-    return one.groupBy("db").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "columns"))))).alias("catalog"))
+    return tables.union(outputs).groupBy("db", "name").agg(F.max("columns").alias("columns"))
+
+
+def _with_catalog(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows (row, db, sql) with the columns, as a JSON object, of those tables of their database whose name can be in the text:
+    the first word of its last part is."""
+    words = rows.select("row", "db", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("sql"), F.lit(_WORD), F.lit(0)))).alias("word"))
+    named = known.withColumn("word", F.regexp_extract(F.substring_index("name", ".", -1), _WORD, 0))
+    needed = words.join(named, ["db", "word"]).groupBy("row").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "columns"))))).alias("catalog"))
+    return rows.join(needed, "row", "left")
 
 
 def extract(modules: DataFrame, strict: bool = False, passes: int = 2) -> DataFrame:
     """Facts of modules (name, sql).
 
-    The first pass reads definitions; the following ones read all modules again with the columns of tables and views
-    that are known then, which "*" and bare names need. Views of views ask for one more pass a level."""
-    rows = modules.select("name", "sql").withColumn("db", F.substring_index("name", "::", 1))
+    The first pass reads definitions; the following ones read all modules again with the columns of the tables and views
+    that they name, as far as these are known then, which "*" and bare names need. Views of views ask for one more pass a
+    level."""
+    rows = stored(modules.select("name", "sql").withColumn("db", F.substring_index("name", "::", 1)).withColumn("row", F.monotonically_increasing_id()))
     facts = _analysed(rows.withColumn("catalog", F.lit(None).cast("string")), strict)
     for _ in range(passes - 1):
-        facts = _analysed(rows.join(known_columns(facts), "db", "left"), strict)
+        facts = _analysed(_with_catalog(rows, known_columns(facts)), strict)
     return facts
 
 

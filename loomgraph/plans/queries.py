@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit, changemap, compare, impact, risks, runtime
+from ..operators import views as pages
 from . import build, extract, specs, testgraph
 from .model import Graph
 
@@ -230,6 +231,7 @@ UNION ALL SELECT 'negative complexity', count(*) FROM bnodes WHERE label = 'SqlO
     out["j13_correlate_sql"] = (lambda s, d: runtime.correlate_sql(trace(s, d)), _TRACE)
     out["s_event_windows"] = (lambda s, d: runtime.event_stream(trace(s, d)), "SELECT user_id AS session_id, date_trunc('minute', ts) AS window_start, count(*) AS events, count(*) FILTER (WHERE event_id % 3 = 0) AS procedures FROM events GROUP BY ALL")
     out["c_steps"] = (lambda s, d: specs.steps(extract.extract(specs.modules(s, d))), specs.steps_sql())
+    out["m3_flow_metrics"] = (_flow, specs.flows_sql())
     for name, types in PATTERN_EDGES.items():
         out[name] = (_pattern_edges(types), f"SELECT * FROM ({specs.edges_sql()}) x WHERE type IN {types!r}" if len(types) > 1 else f"SELECT * FROM ({specs.edges_sql()}) x WHERE type = '{types[0]}'")
     # depth first, callees by name: the first way to an object is the least of the simple paths to it, read as lists
@@ -243,10 +245,23 @@ wr AS (SELECT entry, number, array_to_string(CASE WHEN back IS NULL THEN path EL
     add("g12_workflows", changemap.workflows, f"{flows(200, 1_000_000)} SELECT entry, number, path, false AS conditional, cycle_back_to, truncated FROM wr")
     add("g16_model_workflows", changemap.model_workflows, f"{flows(30, 10)} SELECT entry, number, path, cycle_back_to FROM wr")
     add("g19_inlined_flow", changemap.inlined_flow, f"{calls.format('')}, fp(root, node, path, goes_on) AS (SELECT src, dst, [dst], src <> dst FROM ca UNION ALL SELECT root, ca.dst, list_append(path, ca.dst), ca.dst <> root AND NOT list_contains(path, ca.dst) FROM fp JOIN ca ON ca.src = fp.node WHERE goes_on AND len(path) < 5) SELECT root, row_number() OVER (PARTITION BY root ORDER BY path) - 1 AS position, len(path)::BIGINT AS level, node AS object FROM fp")
+    fine = "label = 'SqlObject' AND coalesce(parse_error, '') = ''"
+    add("h28_key_figures", pages.key_figures, " " + " UNION ALL ".join(f"SELECT '{name}' AS figure, count(*) AS n FROM nodes WHERE {where}" for name, where in (("objects", "label = 'SqlObject'"), ("tables", "label = 'Table'"), ("parse errors", "label = 'SqlObject' AND parse_error <> ''"), ("with transaction", f"{fine} AND has_transaction"), ("with handler", f"{fine} AND has_error_handling"), ("with cursor", f"{fine} AND has_cursor"), ("with dynamic SQL", f"{fine} AND dynamic_sql_calls > 0"))))
+    add("h28_most_complex", pages.most_complex, f" SELECT name, complexity, dynamic_sql_calls FROM nodes WHERE {fine} ORDER BY complexity DESC, name LIMIT 12")
+    add("h28_most_written", pages.most_written, """ SELECT dst AS "table", count(DISTINCT owner) AS writers FROM edges WHERE type = 'WRITES_TO' GROUP BY dst ORDER BY 2 DESC, 1 LIMIT 12""")
+    add("h28_entity_relations", pages.entity_relations, " SELECT DISTINCT src AS child, dst AS parent FROM edges WHERE type = 'FK_TO'")
+    add("m1_table_view", pages.table_view, f""" SELECT t.id, (SELECT count(DISTINCT dst) FROM edges e WHERE e.type = 'HAS_COLUMN' AND e.src = t.id) AS columns, coalesce(rd.x, '') AS readers, coalesce(wt.x, '') AS writers FROM nodes t LEFT JOIN (SELECT dst, {_LISTED.format('owner')} AS x FROM edges WHERE type = 'READS_FROM' GROUP BY dst) rd ON rd.dst = t.id LEFT JOIN (SELECT dst, {_LISTED.format('owner')} AS x FROM edges WHERE type = 'WRITES_TO' GROUP BY dst) wt ON wt.dst = t.id WHERE label = 'Table'""")
+    add("m5_filters_by_table", pages.filters_by_table, f"""fb AS (SELECT owner, split_part(dst, ':column:', 1) AS t, {_LISTED.format("split_part(dst, ':column:', 2)")} AS cs FROM edges WHERE type = 'FILTERS_ON' GROUP BY 1, 2) SELECT owner AS object, string_agg(t || '(' || cs || ')', ', ' ORDER BY t || '(' || cs || ')') AS filters FROM fb GROUP BY owner""")
+    add("m7_object_summaries", pages.object_summaries, " SELECT o.id, o.name || ' is a ' || lower(object_type) || ' of complexity ' || complexity || '; it reads ' || " + " || ".join(f"(SELECT count(DISTINCT dst) FROM edges e WHERE e.type = '{kind}' AND e.owner = o.id) || '{text}'" for kind, text in (("READS_FROM", " tables, writes "), ("WRITES_TO", " and calls "), ("CALLS", " objects"))) + " || CASE WHEN dynamic_sql_calls > 0 THEN '; it runs dynamic SQL' ELSE '' END || '.' AS summary FROM nodes o WHERE label = 'SqlObject'")
+    add("m8_shares", lambda x: pages.shares(x.edges.groupBy(F.col("type").alias("name")).agg(F.count("*").alias("n"))), "tc AS (SELECT type AS name, count(*) AS n FROM edges GROUP BY type) SELECT name, n, round(100.0::DOUBLE * n / (SELECT sum(n) FROM tc), 1) AS percent, repeat('#', ceil(20.0::DOUBLE * n / (SELECT max(n) FROM tc))::INT) AS bar FROM tc")
     add("g10_lineage_depths", impact.lineage_depths, """dw(col, node, hops) AS (SELECT src, src, 0 FROM edges WHERE type = 'DERIVES_FROM' AND src <> dst UNION SELECT dw.col, e.dst, dw.hops + 1 FROM dw JOIN edges e ON e.src = dw.node AND e.type = 'DERIVES_FROM' AND e.src <> e.dst) SELECT col AS "column", max(hops)::BIGINT AS depth FROM dw GROUP BY col""")
     return out
 
 
+def _flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.flow_metrics(extract.extract(specs.modules(spark, sf_dir)))
+
+
 #: Queries over the modules of specs, and the types of edges that they compare.
 PATTERN_EDGES = {
     "d_derives_from": ("DERIVES_FROM",),

@@ -77,7 +77,7 @@ def read_sql_files(spark: SparkSession, path: str, db: str, pattern: str = "*.sq
 
 def read_jdbc(spark: SparkSession, url: str, db: str, **options: str) -> DataFrame:
     """Modules of a live server, by its catalog of module texts."""
-    query = "SELECT s.name AS s, o.name AS o, m.definition AS sql FROM sys.sql_modules m JOIN sys.objects o ON o.object_id = m.object_id JOIN sys.schemas s ON s.schema_id = o.schema_id WHERE o.type IN ('P', 'FN', 'IF', 'TF', 'TR', 'V')"
+    query = "SELECT s.name AS s, o.name AS o, m.definition AS sql FROM sys.sql_modules m JOIN sys.objects o ON o.object_id = m.object_id JOIN sys.schemas s ON s.schema_id = o.schema_id WHERE o.type IN ('P', 'FN', 'IF', 'TF', 'TR', 'V') UNION ALL SELECT 'database', t.name, m.definition FROM sys.triggers t JOIN sys.sql_modules m ON m.object_id = t.object_id WHERE t.parent_class = 0"
     rows = spark.read.format("jdbc").options(url=url, query=query, **options).load()
     return rows.select(F.concat(F.lit(f"{db}::"), "s", F.lit("."), "o").alias("name"), "sql")
 
@@ -90,12 +90,59 @@ def matching(modules: DataFrame, like: str | None = None, names: list[str] | Non
     return modules.where(name.isin(names)) if names else modules
 
 
-def table_definitions(columns: DataFrame) -> DataFrame:
-    """(name, sql) modules with CREATE TABLE, of catalog rows (db, schema, table, column, type, nullable, ordinal)."""
-    line = F.concat_ws(" ", F.concat(F.lit("["), "column", F.lit("]")), "type", F.when(F.col("nullable"), "NULL").otherwise("NOT NULL"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", line.alias("l")))), lambda x: x["l"]), ", ")
+def table_definitions(columns: DataFrame, foreign_keys: DataFrame | None = None) -> DataFrame:
+    """(name, sql) modules with CREATE TABLE, of catalog rows (db, schema, table, column, type, nullable, ordinal) and, where there
+    are such columns, identity, computed (its text) and key_ordinal (its place in the primary key); `foreign_keys` are rows
+    (db, schema, table, key, ordinal, column, to_schema, to_table, to_column)."""
+    has = lambda c: F.col(c) if c in columns.columns else F.lit(None)
+    quoted = lambda c: F.concat(F.lit("["), F.replace(F.col(c), F.lit("]"), F.lit("]]")), F.lit("]"))
+    plain = F.concat_ws(" ", quoted("column"), "type", F.when(F.coalesce(has("identity").cast("boolean"), F.lit(False)), "IDENTITY(1,1)"), F.when(F.col("nullable"), "NULL").otherwise("NOT NULL"))
+    line = F.when(has("computed").isNotNull(), F.concat_ws(" ", quoted("column"), F.lit("AS"), F.concat(F.lit("("), has("computed").cast("string"), F.lit(")")))).otherwise(plain)
+    by, listed = ["db", "schema", "table"], lambda rows: F.array_join(F.transform(F.array_sort(rows), lambda x: x["l"]), ", ")
+    key = listed(F.collect_list(F.when(has("key_ordinal").isNotNull(), F.struct(has("key_ordinal").cast("int").alias("o"), quoted("column").alias("l")))))
+    tables = columns.groupBy(*by).agg(listed(F.collect_list(F.struct(F.col("ordinal").alias("o"), line.alias("l")))).alias("b"), key.alias("pk"))
+    if foreign_keys is not None:
+        side = lambda c: listed(F.collect_list(F.struct(F.col("ordinal").alias("o"), quoted(c).alias("l"))))
+        one = foreign_keys.groupBy(*by, "key").agg(side("column").alias("a"), side("to_column").alias("z"), F.first(F.concat(quoted("to_schema"), F.lit("."), quoted("to_table"))).alias("to"))
+        text = F.concat(F.lit("FOREIGN KEY ("), "a", F.lit(") REFERENCES "), "to", F.lit(" ("), "z", F.lit(")"))
+        tables = tables.join(one.groupBy(*by).agg(F.array_join(F.sort_array(F.collect_list(text)), ", ").alias("fk")), by, "left")
+    else:
+        tables = tables.withColumn("fk", F.lit(None).cast("string"))
     name = F.concat_ws(".", "schema", "table")
-    return columns.groupBy("db", "schema", "table").agg(body.alias("b")).select(F.concat("db", F.lit("::"), name).alias("name"), F.concat(F.lit("CREATE TABLE "), name, F.lit(" ("), "b", F.lit(")")).alias("sql"))
+    body = F.concat_ws(", ", "b", F.when(F.col("pk") != "", F.concat(F.lit("PRIMARY KEY ("), "pk", F.lit(")"))), "fk")
+    return tables.select(F.concat("db", F.lit("::"), name).alias("name"), F.concat(F.lit("CREATE TABLE "), name, F.lit(" ("), body, F.lit(")")).alias("sql"))
+
+
+#: Queries of a server's catalog for table_definitions.
+CATALOG_COLUMNS = """SELECT s.name AS [schema], t.name AS [table], c.name AS [column], ty.name AS [type], c.is_nullable AS nullable, c.column_id AS ordinal, c.is_identity AS [identity], cc.definition AS computed, k.key_ordinal
+FROM sys.tables t JOIN sys.schemas s ON s.schema_id = t.schema_id JOIN sys.columns c ON c.object_id = t.object_id JOIN sys.types ty ON ty.user_type_id = c.user_type_id
+LEFT JOIN sys.computed_columns cc ON cc.object_id = c.object_id AND cc.column_id = c.column_id
+LEFT JOIN (SELECT ic.object_id, ic.column_id, ic.key_ordinal FROM sys.index_columns ic JOIN sys.indexes i ON i.object_id = ic.object_id AND i.index_id = ic.index_id WHERE i.is_primary_key = 1) k ON k.object_id = c.object_id AND k.column_id = c.column_id"""
+CATALOG_KEYS = """SELECT s.name AS [schema], t.name AS [table], f.name AS [key], fc.constraint_column_id AS ordinal, c.name AS [column], rs.name AS to_schema, rt.name AS to_table, rc.name AS to_column
+FROM sys.foreign_keys f JOIN sys.foreign_key_columns fc ON fc.constraint_object_id = f.object_id JOIN sys.tables t ON t.object_id = f.parent_object_id JOIN sys.schemas s ON s.schema_id = t.schema_id
+JOIN sys.columns c ON c.object_id = fc.parent_object_id AND c.column_id = fc.parent_column_id JOIN sys.tables rt ON rt.object_id = f.referenced_object_id JOIN sys.schemas rs ON rs.schema_id = rt.schema_id
+JOIN sys.columns rc ON rc.object_id = fc.referenced_object_id AND rc.column_id = fc.referenced_column_id"""
+
+
+def read_jdbc_tables(spark: SparkSession, url: str, db: str, **options: str) -> DataFrame:
+    """CREATE TABLE modules of a live server, with keys, identity and computed columns."""
+    load = lambda query: spark.read.format("jdbc").options(url=url, query=query, **options).load().withColumn("db", F.lit(db))
+    return table_definitions(load(CATALOG_COLUMNS), load(CATALOG_KEYS))
+
+
+def captured_events(events: DataFrame, column: str = "event_data") -> DataFrame:
+    """(session_id, ts, seq, nest_level, object_type, object_name, plan_xml) of captured events, a row of `column` an event as the
+    server gives it in XML; events without a session or a time go. `seq` is the row's file_offset where there is one."""
+    x = F.col(column)
+    value = lambda kind, name: F.nullif(F.xpath_string(x, F.lit(f"/event/{kind}[@name='{name}']/value")), F.lit(""))
+    plan = F.regexp_extract(x, r"(?s)(<ShowPlanXML.*</ShowPlanXML>)", 1)
+    seq = F.col("file_offset").cast("bigint") if "file_offset" in events.columns else F.monotonically_increasing_id()
+    text = F.nullif(F.xpath_string(x, F.lit("/event/data[@name='object_type']/text")), F.lit(""))
+    rows = events.select(
+        F.coalesce(value("action", "session_id"), value("data", "session_id")).cast("bigint").alias("session_id"), F.to_timestamp(F.xpath_string(x, F.lit("/event/@timestamp"))).alias("ts"), seq.alias("seq"),
+        value("data", "nest_level").cast("int").alias("nest_level"), F.upper(F.coalesce(text, value("data", "object_type"))).alias("object_type"), value("data", "object_name").alias("object_name"), F.nullif(plan, F.lit("")).alias("plan_xml"),
+    )
+    return rows.where("session_id IS NOT NULL AND ts IS NOT NULL")
 
 
 def strip_comments(sql: DataFrame, column: str = "sql") -> DataFrame:

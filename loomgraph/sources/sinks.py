@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from xml.sax.saxutils import escape, quoteattr
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,19 +44,64 @@ def write_flat(graph: Graph, path: str) -> None:
         rows.write.mode("overwrite").json(f"{path}/{name}")
 
 
+def _xml(c):
+    c = F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
+    for found, put in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(found), F.lit(put))
+    return c
+
+
+def _lines(sections: list[DataFrame], path: str) -> None:
+    """Write sections of (key, line), each in the order of its keys, as text; the part files one after the other are the whole."""
+    rows = None
+    for i, section in enumerate(sections):
+        one = section.select(F.lit(i).alias("section"), "key", "line")
+        rows = one if rows is None else rows.union(one)
+    rows.orderBy("section", "key", "line").select("line").write.mode("overwrite").text(path)
+
+
+def _text(spark: SparkSession, lines: list[str]) -> DataFrame:
+    return spark.createDataFrame([(f"{i:04}", line) for i, line in enumerate(lines)], "key string, line string")
+
+
 def write_graphml(graph: Graph, path: str) -> None:
-    """One GraphML file, written row by row as they come to the driver."""
-    keys = [c for c in graph.nodes.columns if c != "id"]
-    with open(path, "w", encoding="utf-8") as file:
-        file.write('<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n')
-        file.writelines(f'<key id="{k}" for="node" attr.name="{k}" attr.type="string"/>\n' for k in keys)
-        file.write('<key id="type" for="edge" attr.name="type" attr.type="string"/>\n<graph edgedefault="directed">\n')
-        for row in graph.nodes.orderBy("id").toLocalIterator():
-            data = "".join(f'<data key="{k}">{escape(str(row[k]))}</data>' for k in keys if row[k] is not None)
-            file.write(f"<node id={quoteattr(row['id'])}>{data}</node>\n")
-        for row in graph.edges.orderBy("type", "src", "dst").toLocalIterator():
-            file.write(f'<edge source={quoteattr(row["src"])} target={quoteattr(row["dst"])}><data key="type">{row["type"]}</data></edge>\n')
-        file.write("</graph>\n</graphml>\n")
+    """A folder of text files that are a GraphML document one after the other, in the order of their names: executors write
+    it, and none holds more than its part."""
+    spark, keys = graph.nodes.sparkSession, [c for c in graph.nodes.columns if c != "id"]
+    head = ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">']
+    head += [f'<key id="{k}" for="node" attr.name="{k}" attr.type="string"/>' for k in keys]
+    head += ['<key id="type" for="edge" attr.name="type" attr.type="string"/>', '<graph edgedefault="directed">']
+    data = F.concat_ws("", *(F.when(F.col(k).isNotNull(), F.concat(F.lit(f'<data key="{k}">'), F.regexp_replace(_xml(k), r"[\r\n]", " "), F.lit("</data>"))) for k in keys))
+    nodes = graph.nodes.select(F.col("id").alias("key"), F.concat(F.lit('<node id="'), _xml("id"), F.lit('">'), data, F.lit("</node>")).alias("line"))
+    ends = F.concat(F.lit('<edge source="'), _xml("src"), F.lit('" target="'), _xml("dst"), F.lit('"><data key="type">'), "type", F.lit("</data></edge>"))
+    edges = graph.edges.select(F.concat_ws("\0", "type", "src", "dst").alias("key"), ends.alias("line"))
+    _lines([_text(spark, head), nodes, edges, _text(spark, ["</graph>", "</graphml>"])], path)
+
+
+def write_document(graph: Graph, path: str) -> None:
+    """A folder of text files that are one JSON document one after the other: {"nodes": [...], "relationships": [...]}, each entry
+    with its labels, its own properties and, of a relationship, its number."""
+    from ..plans.build import numbered
+
+    spark = graph.nodes.sparkSession
+    own = [c for c in graph.nodes.columns if c not in ("id", "label")]
+    node = F.to_json(F.struct("id", F.array("label").alias("labels"), F.struct(*own).alias("properties")))
+    more = [c for c in graph.edges.columns if c not in ("src", "dst", "type", "owner")]
+    edge = F.to_json(F.struct("id", "type", F.col("src").alias("startNodeId"), F.col("dst").alias("endNodeId"), F.struct(*more).alias("properties")))
+
+    def listed(rows: DataFrame) -> DataFrame:
+        # every entry but the first, which is the one of the least key, has a comma before it
+        least = rows.agg(F.min("key").alias("least"))
+        return rows.join(F.broadcast(least)).select("key", F.concat(F.when(F.col("key") == F.col("least"), "").otherwise(","), "line").alias("line"))
+
+    nodes = listed(graph.nodes.select(F.col("id").alias("key"), node.alias("line")))
+    edges = listed(numbered(graph.edges).select(F.lpad(F.substring("id", 2, 20), 20, "0").alias("key"), edge.alias("line")))
+    _lines([_text(spark, ['{"nodes": [']), nodes, _text(spark, ['], "relationships": [']), edges, _text(spark, ["]}"])], path)
+
+
+def write_results(facts: DataFrame, path: str) -> None:
+    """The facts of each object as a line of JSON: what was read from its text, before any graph is built."""
+    facts.select("id", F.to_json(F.struct(*facts.columns)).alias("value")).orderBy("id").select("value").write.mode("overwrite").text(path)
 
 
 def object_documents(graph: Graph) -> DataFrame:
@@ -104,11 +149,26 @@ def mermaid(edges: DataFrame, title: str = "flowchart LR") -> DataFrame:
     return edges.select(line.alias("l")).distinct().agg(F.concat(F.lit(title + "\n"), F.array_join(F.sort_array(F.collect_list("l")), "\n")).alias("text"))
 
 
-SINKS: dict[str, Callable[[Graph, str], None]] = {"parquet": write_parquet, "json": write_json, "flat": write_flat, "graphml": write_graphml, "store": write_store}
+@dataclass(frozen=True)
+class Sink:
+    """A way to write a graph: its name on a command line, the ending of what it writes, and the function."""
+
+    flag: str
+    extension: str
+    write: Callable[[Graph, str], None]
+
+
+SINKS = {
+    s.flag: s
+    for s in (
+        Sink("parquet", ".graph", write_parquet), Sink("json", ".jsonl", write_json), Sink("document", ".json", write_document), Sink("flat", ".flat", write_flat),
+        Sink("graphml", ".graphml", write_graphml), Sink("store", ".store", write_store),
+    )
+}
 
 
 def write(graph: Graph, path: str, sink: str = "parquet") -> None:
-    SINKS[sink](graph, path)
+    SINKS[sink].write(graph, path)
 
 
 def snapshot(graph: Graph) -> DataFrame:

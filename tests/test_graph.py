@@ -152,8 +152,6 @@ def test_sources_and_sinks(spark, tmp_path):
     sinks.write(g, str(tmp_path / "out"))
     back = sinks.read_parquet(spark, str(tmp_path / "out"))
     assert back.nodes.count() == g.nodes.count() and back.edges.count() == g.edges.count()
-    sinks.write(g, str(tmp_path / "g.xml"), "graphml")
-    assert (tmp_path / "g.xml").read_text().count("<node ") == g.nodes.count()
     sinks.write(g, str(tmp_path / "s0"), "store")
     less = Graph(g.nodes.where("name <> 'dbo.Report'"), g.edges.where("owner <> 'Shop::dbo.Report' OR owner IS NULL"))
     assert [tuple(r) for r in sinks.update_store(less, str(tmp_path / "s0"), str(tmp_path / "s1")).collect()] == [("Shop::dbo.Report", "removed")]
@@ -198,3 +196,62 @@ def test_model_workflows(spark):
     g = small(spark, [(f"D::c{i:02}", f"D::c{i + 1:02}", "CALLS") for i in range(15)])
     (flow,) = changemap.model_workflows(g).collect()
     assert flow.path == " > ".join(f"D::c{i:02}" for i in range(11)) and flow.cycle_back_to is None
+
+
+def test_documents_are_whole(spark, tmp_path):
+    import json
+    import xml.etree.ElementTree as tree
+    from pathlib import Path
+
+    g = build.build(extract.extract(corpus.modules(spark)))
+    whole = lambda name: "".join(p.read_text() for p in sorted(Path(tmp_path, name).glob("part-*")))
+    sinks.write(g, str(tmp_path / "d"), "document")
+    doc = json.loads(whole("d"))
+    nodes, edges = g.nodes.count(), g.edges.count()
+    assert (len(doc["nodes"]), len(doc["relationships"])) == (nodes, edges) and [r["id"] for r in doc["relationships"]] == [f"r{i}" for i in range(edges)]
+    sinks.write(g, str(tmp_path / "g"), "graphml")
+    root = tree.fromstring(whole("g").encode())
+    assert [len(root.findall(f".//{{http://graphml.graphdrawing.org/xmlns}}{t}")) for t in ("node", "edge")] == [nodes, edges]
+    assert sinks.SINKS["document"].extension == ".json"
+
+
+def test_tables_of_a_catalog(spark):
+    columns = [("D", "dbo", "A", "Id", "INT", False, 1, True, None, 1), ("D", "dbo", "A", "B", "INT", True, 2, False, None, None), ("D", "dbo", "A", "C", "INT", True, 3, False, "[Id]+[B]", None), ("D", "dbo", "Z", "Id", "INT", False, 1, False, None, 1)]
+    columns = spark.createDataFrame(columns, "db string, schema string, table string, column string, type string, nullable boolean, ordinal int, identity boolean, computed string, key_ordinal int")
+    keys = spark.createDataFrame([("D", "dbo", "A", "fk1", 1, "B", "dbo", "Z", "Id")], "db string, schema string, table string, key string, ordinal int, column string, to_schema string, to_table string, to_column string")
+    facts = {r["full_name"]: r for r in extract.extract(modules.table_definitions(columns, keys)).collect()}
+    a = facts["dbo.A"]["tables"][0]
+    assert {c["name"]: (c["primary_key"], c["identity"], c["nullable"]) for c in a["columns"]}["Id"] == (True, True, False)
+    assert a["columns"][2]["computed_from"] == ["B", "Id"] and [(k["columns"], k["to"], k["to_columns"]) for k in a["foreign_keys"]] == [(["B"], "dbo.Z", ["Id"])]
+    assert modules.table_definitions(columns.drop("identity", "computed", "key_ordinal")).count() == 2
+
+
+def test_captured_events(spark):
+    event = """<event name="sp_statement_completed" timestamp="2024-03-01T10:00:00.000Z"><data name="nest_level"><value>1</value></data><data name="object_type"><value>8272</value><text>PROC</text></data><data name="object_name"><value>AddNote</value></data><data name="showplan_xml"><value><ShowPlanXML a="1"><X/></ShowPlanXML></value></data><action name="session_id"><value>55</value></action></event>"""
+    rows = modules.captured_events(spark.createDataFrame([(event, 7), ("<event/>", 8)], "event_data string, file_offset bigint")).collect()
+    assert [(r.session_id, r.seq, r.nest_level, r.object_type, r.object_name, r.plan_xml) for r in rows] == [(55, 7, 1, "PROC", "AddNote", '<ShowPlanXML a="1"><X/></ShowPlanXML>')]
+
+
+def test_benchmark_cases_and_grades(spark):
+    from loomgraph.operators import views
+    from loomgraph.plans import testgraph
+
+    g = testgraph.graph(spark, SF)
+    cases = views.benchmark_cases(g)
+    rows = {r.kind: r for r in cases.collect()}
+    assert set(rows) == set(views.CASES) - {"call_condition"} and all(r.answer == sorted(r.answer) or r.kind == "top_steps" for r in rows.values())
+    assert rows == {r.kind: r for r in views.benchmark_cases(g).collect()}
+    given = spark.createDataFrame([("writes_of_object", rows["writes_of_object"].answer), ("table_consumers", [rows["table_consumers"].answer[0], "wrong"])], "kind string, answer array<string>")
+    graded = {r.kind: r for r in views.grade(cases, given).collect()}
+    assert (graded["writes_of_object"].precision, graded["writes_of_object"].recall, graded["writes_of_object"].exact) == (1, 1, True)
+    assert graded["table_consumers"].precision == 0.5 and not graded["table_consumers"].exact and graded["column_roots"].recall == 0
+
+
+def test_control_flow_keeps_equal_blocks_apart(spark):
+    from loomgraph.operators import views
+
+    sql = "CREATE PROCEDURE dbo.p AS BEGIN\nIF @a = 1 DELETE FROM dbo.T;\nIF @a = 1 BEGIN DELETE FROM dbo.U; WHILE @b < 2 DELETE FROM dbo.V; END\nEND"
+    facts = extract.extract(spark.createDataFrame([("D::dbo.p", sql)], "name string, sql string"))
+    assert [tuple(r) for r in views.flow_metrics(facts).collect()] == [("dbo.p", 3, 2)]
+    nodes = views.control_flow(facts).collect()
+    assert len([n for n in nodes if n.kind == "condition" and n.text == "IF: @a = 1"]) == 2 and len([n for n in nodes if n.kind == "step"]) == 3
