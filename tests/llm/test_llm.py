@@ -558,6 +558,14 @@ def test_jaccard_of_one_hot_text(spark):
     assert found[0] == (0, 249) and found[220] == (0, 249) and found[310] == (310, 0)
 
 
+def test_state_of_more_edges_than_a_sum_of_hashes_holds(spark):
+    from loomgraph.llm.shared import state
+
+    star = spark.range(18_000_000).select((F.col("id") + 1).alias("a"), F.lit(0).cast("bigint").alias("b"))
+    found = state(star)
+    assert found[0] == 18_000_000 and found != state(star.withColumn("b", F.col("a") - 1)) and state(star.limit(0)) == (0, 0)
+
+
 def test_components(spark):
     from loomgraph.llm.shared import components
 
