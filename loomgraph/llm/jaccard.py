@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import give_back, slices, small_batches, type_name
-from .shared import checkpointed, components, written
+from .shared import checkpointed, components, spanning, written
 from .vocabulary import MEMO
 
 N, THRESHOLD = 2, 0.7
@@ -29,8 +29,8 @@ MARKS = ".,;:!?\"'()[]{}«»“”„…-"
 HOT = 100_000
 #: Groups that a task remembers having sent; rows of prefix elements that are compared at once.
 SEEN, CHUNK = 200_000, 100_000
-#: Units of one component that are verified together.
-BLOCK = 1000
+#: Units of one component that are verified together; bytes of their sets that a task sends at once.
+BLOCK, SENT = 1000, 8 << 20
 _PRIMES = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
 
 
@@ -207,6 +207,29 @@ class _GroupPairs:
         self.held = [x[hold] for x in (token, group, size, np.where(visits, -1 - pos, pos), prev)]
 
 
+class _Sets:
+    """The sets of one task, of which each element is replaced by its number among all that the task has."""
+
+    def __init__(self, sets: dict[int, np.ndarray]):
+        numbers = np.unique(np.concatenate(list(sets.values())), return_inverse=True)[1].astype(np.int32)
+        self.of = dict(zip(sets, np.split(numbers, np.cumsum([len(x) for x in sets.values()])[:-1])))
+        self.marked = np.zeros(int(numbers.max()) + 1, bool)
+
+    def shared(self, one: int, others: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """How many elements a set has in common with each of the others, and how many are in either."""
+        own, out = self.of[one], []
+        self.marked[own] = True
+        sets = [self.of[x] for x in others]
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) >> 20)) + 1), len(sets)]  # about a million elements each
+        for at, to in zip(cuts, cuts[1:]):
+            size = sizes[at:to]
+            out.append(np.add.reduceat(self.marked[np.concatenate(sets[at:to])], np.cumsum(size) - size, dtype=np.int64))
+        self.marked[own] = False
+        both = np.concatenate(out)
+        return both, len(own) + sizes - both
+
+
 def similar_units(df: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, units, pairs): members are (id, n), which say that a document has unit n's set of n-grams; units
     are (n, first, documents), the smallest id of a unit and its number of documents; pairs are (a, b, jaccard) of the
@@ -302,7 +325,7 @@ def similar_units(df: DataFrame, n: int = N, threshold: float = THRESHOLD, id_co
     pairs = written(across.union(within))
 
     # The pairs of one component of candidates are verified in one place, where each set is sent once; large components are cut into blocks.
-    member = components(pairs).select(F.col("node").alias("n"), F.col("component").alias("c"))
+    member = components(spanning(pairs)).select(F.col("node").alias("n"), F.col("component").alias("c"))
     member = member.join(member.groupBy("c").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "c")
     member = written(member.select("n", "c", F.pmod(F.xxhash64("n"), F.col("blocks")).alias("block")))
     of_a, of_b = (member.select(F.col("n").alias(x), "c", F.col("block").alias("block_" + x)) for x in "ab")
@@ -313,41 +336,60 @@ def similar_units(df: DataFrame, n: int = N, threshold: float = THRESHOLD, id_co
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher(n)
+        out: list[tuple[int, int, bytes]] = []
+
+        def gathered() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary()), pa.nulls(len(out), pa.int64())],
+                names=["task", "a", "values", "b"],
+            )
+
+        size = 0
         for batch in slices(batches, 500, column=0):
-            out: list[tuple[int, int, bytes]] = []
             for text, unit, group, digest, where in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 values = hasher.sets(text)
                 if len(values) and _identity(values, _prefix(values, counts, threshold)) == (group, digest):
                     data = _packed(values)
-                    out.extend((task, unit, data) for task in where)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary()), pa.nulls(len(out), pa.int64())],
-                names=["task", "a", "values", "b"],
-            )
+                    for task in where:  # a unit of a large component goes to many
+                        out.append((task, unit, data))
+                        size += len(data)
+                        if size >= SENT:
+                            yield gathered()
+                            out.clear()
+                            size = 0
+        yield gathered()
 
     shipped = texts.join(sent, "id").select("t", "n", "g", "u", "tasks").mapInArrow(sets, "task bigint, a bigint, values binary, b bigint")
     asked = placed.select("task", "a", F.lit(None).cast("binary").alias("values"), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each task the sets come first (b null), then the pairs."""
+        """Of each task the sets come first (b null), then the pairs by b."""
         known: dict[int, np.ndarray] = {}
-        task = None
+        task = sets = None
         for batch in batches:
-            a, b, values, similarities, good = batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(2), [], []
-            for i, t in enumerate(batch.column(0).to_pylist()):
-                if t != task:
-                    task = t
+            tasks, a, b, values = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(2)
+            good, similarities, at = [np.zeros(0, np.int64)], [np.zeros(0)], 0
+            while at < len(tasks):
+                if tasks[at] != task:
+                    task, sets = tasks[at], None
                     known.clear()
-                if b[i] is None:
-                    known[a[i]] = _unpacked(values[i].as_py())
+                if b[at] is None:
+                    known[a[at]] = _unpacked(values[at].as_py())
+                    at += 1
                     continue
-                both = np.concatenate([known[a[i]], known[b[i]]])
-                both.sort(kind="stable")
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                if shared >= threshold * (len(both) - shared) - 1e-9:
-                    good.append(i), similarities.append(shared / (len(both) - shared))
-            yield pa.RecordBatch.from_arrays([*batch.select([1, 3]).take(pa.array(good, pa.int32())).columns, pa.array(similarities, pa.float64())], names=["a", "b", "jaccard"])
+                if sets is None:
+                    sets = _Sets(known)
+                    known.clear()
+                to = at + 1
+                while to < len(tasks) and b[to] == b[at] and tasks[to] == task:
+                    to += 1
+                shared, either = sets.shared(b[at], a[at:to])
+                enough = np.flatnonzero(shared >= threshold * either - 1e-9)
+                good.append(at + enough), similarities.append(shared[enough] / either[enough])
+                at = to
+            yield pa.RecordBatch.from_arrays([*batch.select([1, 3]).take(pa.array(np.concatenate(good))).columns, pa.array(np.concatenate(similarities))], names=["a", "b", "jaccard"])
         known.clear()
+        sets = None
         give_back()
 
     verified = shipped.unionByName(asked).repartition("task").sortWithinPartitions("task", F.col("b").asc_nulls_first()).mapInArrow(verify, "a bigint, b bigint, jaccard double")
@@ -383,7 +425,7 @@ def jaccard_join(df: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col
     # a document with several texts ties their units together
     first = members.groupBy("id").agg(F.min("n").alias("b"), F.max("n").alias("last")).where("b < last").select("id", "b")
     edges = pairs.select("a", "b").union(members.join(first, "id").select(F.col("n").alias("a"), "b").where("a <> b"))
-    component = components(edges).select(F.col("node").alias("n"), "component")
+    component = components(spanning(edges)).select(F.col("node").alias("n"), "component")
     of_unit = checkpointed(units.join(component, "n", "left").join(others, "n", "left").select("n", "first", F.coalesce("component", "n").alias("component"), (F.col("documents") - 1 + F.coalesce("others", F.lit(0))).alias("links")))
     least = of_unit.groupBy("component").agg(F.min("first").alias("class"))
     linked = members.join(of_unit.join(least, "component").select("n", "class", "links"), "n").select("id", "class", "links")

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Edges that are reduced to a spanning forest at once.
+EDGES = 1_000_000
+
 
 def folder(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir. Where none is set a local session, as in tests, gets one of
@@ -40,6 +46,42 @@ def state(edges: DataFrame) -> tuple[int, int]:
     return tuple(edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first())
 
 
+def spanning(edges: DataFrame) -> DataFrame:
+    """Fewer edges (a, b), of bigint nodes, with the same components: of each so many, each node's to the smallest that it is
+    tied with. Where many nodes are all linked with each other, little is left."""
+
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, rows = [], 0
+
+        def reduced() -> pa.RecordBatch:
+            nodes, ends = np.unique(np.concatenate([x for side in zip(*waiting) for x in side]), return_inverse=True)
+            a, b = ends.reshape(2, -1)
+            least = np.arange(len(nodes))
+            while True:
+                low = np.minimum(least[a], least[b])
+                new = least.copy()
+                for side in (a, b, least[a], least[b]):  # a node and the one that stands for it
+                    np.minimum.at(new, side, low)
+                new = new[new]
+                if (new == least).all():
+                    break
+                least = new
+            own = np.flatnonzero(least != np.arange(len(nodes)))
+            return pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[least[own]])], names=["a", "b"])
+
+        for batch in batches:
+            waiting.append([batch.column(i).to_numpy() for i in (0, 1)])
+            rows += batch.num_rows
+            if rows >= EDGES:
+                yield reduced()
+                waiting.clear()
+                rows = 0
+        if waiting:
+            yield reduced()
+
+    return edges.select("a", "b").mapInArrow(trees, "a bigint, b bigint")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected graph given as (a, b); the component is its smallest node.
 

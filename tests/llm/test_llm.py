@@ -566,6 +566,32 @@ def test_state_of_more_edges_than_a_sum_of_hashes_holds(spark):
     assert found[0] == 18_000_000 and found != state(star.withColumn("b", F.col("a") - 1)) and state(star.limit(0)) == (0, 0)
 
 
+def test_spanning_keeps_components(spark, monkeypatch):
+    from loomgraph.llm import shared
+
+    monkeypatch.setattr(shared, "EDGES", 50)
+    rng = random.Random(8)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1100)]
+    df = spark.createDataFrame(edges, "a bigint, b bigint")
+    with_edges = lambda e: {tuple(r) for r in shared.components(e).collect()}
+    assert with_edges(shared.spanning(df)) == with_edges(df) and shared.spanning(df.limit(0)).count() == 0
+    # in a clique, of each so many edges one a node is left
+    clique = spark.range(1000).alias("x").join(spark.range(1000).alias("y"), F.col("x.id") < F.col("y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    monkeypatch.setattr(shared, "EDGES", 1_000_000)
+    assert shared.spanning(clique.coalesce(1)).count() == 999
+
+
+def test_jaccard_of_one_large_cluster(spark, monkeypatch):
+    """Sets of a cluster go to many blocks, in more than one batch each."""
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    monkeypatch.setattr(jaccard, "SENT", 1000)
+    rows = [(i, " ".join(f"w{k}" if k != i % 50 else f"x{i}" for k in range(50))) for i in range(60)]
+    sets = [{tuple(t.split()[k : k + 2]) for k in range(49)} for _, t in rows]
+    near = [{j for j in range(60) if j != i and len(sets[i] & sets[j]) >= 0.7 * len(sets[i] | sets[j])} for i in range(60)]
+    found = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.jaccard_join(docs(spark, rows)).collect()}
+    assert found == {i: (0, len(near[i])) for i in range(60)} and min(map(len, near)) > 50
+
+
 def test_components(spark):
     from loomgraph.llm.shared import components
 
