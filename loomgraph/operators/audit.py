@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.model import EDGE_TYPES, LABELS, TABLE_EDGES, Graph
@@ -219,20 +219,36 @@ def rule_frequency(graph: Graph) -> DataFrame:
 
 
 def invariants(graph: Graph) -> DataFrame:
-    """(check_name, violations): what must be 0 in a sound graph."""
-    ids = graph.nodes.select("id")
-    ends = graph.edges.select(F.col("src").alias("id")).union(graph.edges.select("dst"))
+    """(check_name, violations): what must be 0 in a sound graph.
+
+    Nodes and edges are read once each. All that a row says of an id, its own or one that it names, goes into counters by id: one
+    shuffle answers what would be a join a check, and ids that many edges name are added up before it."""
+    counters = ("node", "object", "table", "end", "step", "column", "write", "negative")
+
+    def said(id: Column, **counts: Column | int) -> Column:
+        return F.struct(id.alias("id"), *((counts[c] if isinstance(counts.get(c), Column) else F.lit(counts.get(c, 0))).cast("bigint").alias(c) for c in counters))
+
+    id, label = F.col("id"), F.col("label")
+    is_ = lambda name: F.coalesce(label == name, F.lit(False))
+    negative = is_("SqlObject") & F.coalesce(F.col("complexity") < 0, F.lit(False))
+    of_nodes = F.array(
+        said(id, node=1, object=is_("SqlObject").cast("int"), table=is_("Table").cast("int"), negative=negative.cast("int")),
+        F.when(is_("Step"), said(F.substring_index("id", "#", 1), step=1)),
+        F.when(is_("Column"), said(F.substring_index("id", ":column:", 1), column=1)),
+    )
+    writes = F.coalesce(F.col("type") == "WRITES_TO", F.lit(False)).cast("int")
+    of_edges = F.array(said(F.col("src"), end=1), said(F.col("dst"), end=1, write=writes))
+    rows = graph.nodes.select(F.explode(of_nodes).alias("r")).union(graph.edges.select(F.explode(of_edges).alias("r"))).where("r IS NOT NULL").select("r.*")
+    by = rows.groupBy("id").agg(*(F.sum(c).alias(c) for c in counters))
+    # a null id is no end, owner or table of anything
+    lacks = lambda what, of: F.coalesce(F.sum(F.when(id.isNull() | (F.col(of) == 0), F.col(what))), F.lit(0))
     checks = {
-        "duplicate ids": ids.groupBy("id").count().where("count > 1"),
-        "edges without an end": ends.join(ids, "id", "left_anti"),
-        "null ids": ids.where("id IS NULL"),
-        "steps without an owner": graph.label("Step").select(F.substring_index("id", "#", 1).alias("id")).join(graph.label("SqlObject").select("id"), "id", "left_anti"),
-        "columns without a table": graph.label("Column").select(F.substring_index("id", ":column:", 1).alias("id")).join(graph.label("Table").select("id"), "id", "left_anti"),
-        "writes to what is no table": graph.type("WRITES_TO").select(F.col("dst").alias("id")).join(graph.label("Table").select("id"), "id", "left_anti"),
-        "negative complexity": graph.label("SqlObject").where("complexity < 0"),
+        "duplicate ids": F.count_if(F.col("node") > 1),
+        "edges without an end": lacks("end", "node"),
+        "null ids": F.coalesce(F.sum(F.when(id.isNull(), F.col("node"))), F.lit(0)),
+        "steps without an owner": lacks("step", "object"),
+        "columns without a table": lacks("column", "table"),
+        "writes to what is no table": lacks("write", "table"),
+        "negative complexity": F.coalesce(F.sum("negative"), F.lit(0)),
     }
-    rows = [df.agg(F.lit(name).alias("check_name"), F.count("*").alias("violations")) for name, df in checks.items()]
-    out = rows[0]
-    for row in rows[1:]:
-        out = out.union(row)
-    return out
+    return by.agg(*(n.alias(name) for name, n in checks.items())).unpivot([], list(checks), "check_name", "violations")

@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 from loomgraph.operators import audit, changemap, compare, impact, risks, runtime
 from loomgraph.operators.closure import closure
-from loomgraph.plans import build, corpus, extract
+from loomgraph.plans import build, corpus, extract, testgraph
 from loomgraph.plans import queries as core
 from loomgraph.plans.model import Graph
 from loomgraph.sources import modules, sinks
@@ -255,3 +255,21 @@ def test_control_flow_keeps_equal_blocks_apart(spark):
     assert [tuple(r) for r in views.flow_metrics(facts).collect()] == [("dbo.p", 3, 2)]
     nodes = views.control_flow(facts).collect()
     assert len([n for n in nodes if n.kind == "condition" and n.text == "IF: @a = 1"]) == 2 and len([n for n in nodes if n.kind == "step"]) == 3
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_invariants_of_odd_rows_in_one_shuffle(spark):
+    nodes = [("D::a", "SqlObject", "a"), ("D::a", "SqlObject", "a"), (None, "Table", "x"), (None, "Step", "s"), ("D::b#step0", "Step", "s"), ("D:table:t:column:c", "Column", "c"), ("odd", None, "o")]
+    g = small(spark, [("D::a", "D::gone", "CALLS"), ("D::a", None, "CALLS"), ("D::a", "D::a", "WRITES_TO"), ("D::a", None, None)], nodes)
+    found = audit.invariants(g)
+    assert "Join" not in _plan(found) and _plan(found).count("Exchange hashpartitioning") == 1
+    assert dict(map(tuple, found.collect())) == {"duplicate ids": 2, "edges without an end": 3, "null ids": 2, "steps without an owner": 2, "columns without a table": 1, "writes to what is no table": 1, "negative complexity": 0}
+
+
+def test_steps_of_the_test_graph_are_grouped_once(spark):
+    g = testgraph.graph(spark, SF)
+    plans = [_plan(x) for x in (g.label("Step"), g.type("READS_FROM"), g.type("FILTERS_ON"), g.nodes, g.edges)]
+    assert all("lineitem.parquet" not in p and "Exchange hashpartitioning(l_suppkey" not in p for p in plans)
