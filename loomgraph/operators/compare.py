@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.model import COLUMN_EDGES, Graph
-from .closure import backwards, closure
+from ..plans.model import COLUMN_EDGES, TABLE_EDGES, Graph
+from .closure import backwards, closure, stored
 
 
 def content_hash(df: DataFrame, key: str = "id") -> DataFrame:
@@ -35,13 +35,38 @@ def data_reach(graph: Graph) -> DataFrame:
     return shared_data(graph).select(F.col("writer").alias("id"), F.col("reader").alias("reached")).distinct()
 
 
+def _access(before: Graph, after: Graph) -> DataFrame:
+    """(owner, table, how, old, new): reads and writes, and which of the graphs has them."""
+    rows = [g.type(*TABLE_EDGES).select("owner", F.col("dst").alias("table"), F.col("type").alias("how"), F.lit(k == 0).alias("old"), F.lit(k == 1).alias("new")) for k, g in enumerate((before, after))]
+    return stored(rows[0].union(rows[1]).groupBy("owner", "table", "how").agg(F.bool_or("old").alias("old"), F.bool_or("new").alias("new")))
+
+
+def _pairs(writes: DataFrame, reads: DataFrame) -> DataFrame:
+    """(id, reached) of data_reach, from rows of _access."""
+    side = lambda rows, how, name: rows.where(F.col("how") == how).select(F.col("owner").alias(name), "table")
+    return side(writes, "WRITES_TO", "id").join(side(reads, "READS_FROM", "reached"), "table").where("id <> reached").select("id", "reached").distinct()
+
+
+def _lost(access: DataFrame, here: str, there: str) -> DataFrame:
+    """Pairs of data_reach that one graph has and the other hasn't. Such a pair rests on a row that is missing there; of the pairs
+    that do, those stay out that other rows give there, which are looked for among their own writers and readers only."""
+    mine, other, gone = access.where(here), access.where(there), stored(access.where(f"{here} AND NOT {there}"))
+    pairs = stored(_pairs(gone, mine).union(_pairs(mine, gone)).distinct())
+    ends = [pairs.select(F.col(c).alias("owner")).distinct() for c in ("id", "reached")]
+    return pairs.join(_pairs(*(other.join(e, "owner", "left_semi") for e in ends)), ["id", "reached"], "left_anti")
+
+
+def _change(rows: DataFrame, via: str, change: str) -> DataFrame:
+    return rows.select("id", "reached", F.lit(via).alias("via"), F.lit(change).alias("change"))
+
+
 def impact_delta(before: Graph, after: Graph) -> DataFrame:
-    """(id, reached, via, change): pairs that one of the graphs has alone, by calls or by data."""
-    out = None
-    for via, reach in (("calls", call_reach), ("data", data_reach)):
-        old, new = reach(before).select("id", "reached"), reach(after).select("id", "reached")
-        part = new.exceptAll(old).withColumn("change", F.lit("added")).union(old.exceptAll(new).withColumn("change", F.lit("removed")))
-        part = part.select("id", "reached", F.lit(via).alias("via"), "change")
+    """(id, reached, via, change): pairs that one of the graphs has alone, by calls or by data. Pairs by data are told from the
+    reads and writes that changed, so their number counts and not that of all pairs."""
+    calls = [stored(call_reach(g).select("id", "reached")) for g in (before, after)]
+    data, out = _access(before, after), None
+    for old, new, change in ((0, 1, "added"), (1, 0, "removed")):
+        part = _change(calls[new].join(calls[old], ["id", "reached"], "left_anti"), "calls", change).union(_change(_lost(data, *(("new", "old") if new else ("old", "new"))), "data", change))
         out = part if out is None else out.union(part)
     return out
 

@@ -273,3 +273,13 @@ def test_steps_of_the_test_graph_are_grouped_once(spark):
     g = testgraph.graph(spark, SF)
     plans = [_plan(x) for x in (g.label("Step"), g.type("READS_FROM"), g.type("FILTERS_ON"), g.nodes, g.edges)]
     assert all("lineitem.parquet" not in p and "Exchange hashpartitioning(l_suppkey" not in p for p in plans)
+
+
+def test_impact_delta_by_data_looks_at_what_changed(spark, monkeypatch):
+    nodes = [(f"D::{x}", "SqlObject", x) for x in "abcdef"]
+    edges = [("D::a", "D:table:t", "WRITES_TO"), ("D::b", "D:table:t", "READS_FROM"), ("D::a", "D:table:u", "WRITES_TO"), ("D::b", "D:table:u", "READS_FROM"), ("D::c", "D:table:u", "READS_FROM"), ("D::d", "D:table:v", "WRITES_TO"), ("D::d", "D:table:v", "READS_FROM")]
+    more = [("D::e", "D:table:v", "READS_FROM"), ("D::f", "D:table:u", "WRITES_TO"), ("D::a", None, "WRITES_TO")]
+    g0, g1 = small(spark, edges, nodes), small(spark, [*edges[:2], edges[3], *edges[5:], *more], nodes)
+    monkeypatch.setattr(compare, "data_reach", lambda _: pytest.fail("all pairs are made"))
+    # a reaches b over t still; c reads u no more; a writes u no more
+    assert sorted(map(tuple, compare.impact_delta(g0, g1).collect())) == [("D::a", "D::c", "data", "removed"), ("D::d", "D::e", "data", "added"), ("D::f", "D::b", "data", "added")]
