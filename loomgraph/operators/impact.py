@@ -150,11 +150,17 @@ def shared_data(graph: Graph) -> DataFrame:
 
 
 def via_data(graph: Graph) -> DataFrame:
-    """(object, tables, readers): the other procedures and functions that read what an object writes, as sorted text."""
-    kinds = graph.label("SqlObject").where(F.col("object_type").isin("PROCEDURE", "FUNCTION")).select(F.col("id").alias("reader"))
-    found = shared_data(graph).join(kinds, "reader", "left_semi")
-    text = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ", ")
-    return found.groupBy(F.col("writer").alias("object")).agg(F.count_distinct("table").alias("tables"), text("reader").alias("readers"))
+    """(object, tables, readers): the other procedures and functions that read what an object writes, as sorted text.
+
+    Readers are told apart before they meet writers, and meet them as one list a table, so no pair is shuffled by itself."""
+    kinds = graph.label("SqlObject").where(F.col("object_type").isin("PROCEDURE", "FUNCTION")).select(F.col("id").alias("owner"))
+    side = lambda how: graph.type(how).select("owner", F.col("dst").alias("table")).where("owner IS NOT NULL AND table IS NOT NULL")
+    writes, reads = side("WRITES_TO"), side("READS_FROM").join(kinds, "owner", "left_semi")
+    rows = writes.select("table", F.col("owner").alias("writer"), F.lit(None).cast("string").alias("reader")).union(reads.select("table", F.lit(None), "owner"))
+    by_table = rows.groupBy("table").agg(F.collect_set("writer").alias("writers"), F.collect_set("reader").alias("readers")).where("size(readers) > 0")
+    met = by_table.select(F.explode("writers").alias("object"), "readers").select("object", F.array_remove("readers", F.col("object")).alias("readers")).where("size(readers) > 0")
+    found = met.repartition("object").select("object", F.posexplode("readers").alias("at", "reader"))
+    return found.groupBy("object").agg(F.count_if(F.col("at") == 0).alias("tables"), F.array_join(F.sort_array(F.collect_set("reader")), ", ").alias("readers"))
 
 
 def view_readers(graph: Graph, views: DataFrame) -> DataFrame:

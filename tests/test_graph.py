@@ -283,3 +283,12 @@ def test_impact_delta_by_data_looks_at_what_changed(spark, monkeypatch):
     monkeypatch.setattr(compare, "data_reach", lambda _: pytest.fail("all pairs are made"))
     # a reaches b over t still; c reads u no more; a writes u no more
     assert sorted(map(tuple, compare.impact_delta(g0, g1).collect())) == [("D::a", "D::c", "data", "removed"), ("D::d", "D::e", "data", "added"), ("D::f", "D::b", "data", "added")]
+
+
+def test_readers_of_what_is_written_are_no_shuffled_pairs(spark, monkeypatch):
+    nodes = [("D::a", "SqlObject", "a", "PROCEDURE"), ("D::b", "SqlObject", "b", "FUNCTION"), ("D::c", "SqlObject", "c", "VIEW"), ("D::d", "SqlObject", "d", "PROCEDURE")]
+    edges = [("D::a", "D:table:t", "WRITES_TO"), ("D::a", "D:table:t", "READS_FROM"), ("D::b", "D:table:t", "READS_FROM"), ("D::b", "D:table:t", "READS_FROM"), ("D::c", "D:table:t", "READS_FROM"), ("D::a", "D:table:u", "WRITES_TO"), ("D::a", "D:table:u", "READS_FROM")]
+    edges += [("D::a", "D:table:v", "WRITES_TO"), ("D::b", "D:table:v", "READS_FROM"), ("D::d", "D:table:v", "READS_FROM"), ("D::c", "D:table:v", "WRITES_TO"), ("D::a", None, "WRITES_TO"), ("D::b", None, "READS_FROM")]
+    g = Graph.of(spark.createDataFrame(nodes, "id string, label string, name string, object_type string"), spark.createDataFrame(edges, "src string, dst string, type string"))
+    monkeypatch.setattr(impact, "shared_data", lambda _: pytest.fail("all pairs are made"))
+    assert sorted(map(tuple, impact.via_data(g).collect())) == [("D::a", 2, "D::b, D::d"), ("D::c", 1, "D::b, D::d")]
