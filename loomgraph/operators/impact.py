@@ -125,15 +125,20 @@ def lineage_depths(graph: Graph) -> DataFrame:
     return longest(graph.type("DERIVES_FROM")).select(F.col("node").alias("column"), "depth")
 
 
-def affects(graph: Graph, depth: int | None = None) -> DataFrame:
-    """(object, table, hops, via): tables that an object changes through the objects it calls, with the fewest calls.
-    `depth` bounds the calls that are followed; without it all are."""
+def affects(graph: Graph, depth: int | None = None, table: str | None = None) -> DataFrame:
+    """(object, table, hops, via): tables that an object changes through the objects it calls, with the fewest calls; of one
+    table alone if it is named. `depth` bounds the calls that are followed; without it all are.
+
+    What an object writes goes to its callers as one list. Lists are shuffled by caller and taken apart there, so a row for
+    each caller and table is never shuffled."""
     calls = graph.type("CALLS").select(F.col("owner").alias("src"), "dst").where("src <> dst")
     seeds = calls.select(F.col("src").alias("seed"), F.col("src").alias("node")).distinct()
     reached = closure(calls, seeds, depth)
-    writes = graph.type("WRITES_TO").select("owner", F.col("dst").alias("table")).distinct()
-    found = reached.join(writes, reached.node == writes.owner)
-    return found.groupBy(F.col("seed").alias("object"), "table").agg(F.min(F.struct("hops", "node")).alias("m")).select("object", "table", F.col("m.hops").cast("bigint").alias("hops"), F.col("m.node").alias("via"))
+    writes = graph.type("WRITES_TO").where("owner IS NOT NULL")
+    writes = (writes if table is None else writes.where(F.col("dst") == table)).groupBy("owner").agg(F.collect_set("dst").alias("tables"))
+    lists = reached.join(writes, reached.node == writes.owner).select(F.col("seed").alias("object"), "hops", "node", "tables").repartition("object")
+    found = lists.select("object", "hops", "node", F.explode("tables").alias("table"))
+    return found.groupBy("object", "table").agg(F.min(F.struct("hops", "node")).alias("m")).select("object", "table", F.col("m.hops").cast("bigint").alias("hops"), F.col("m.node").alias("via"))
 
 
 def workflow_writes(graph: Graph) -> DataFrame:

@@ -198,7 +198,7 @@ def _define() -> dict[str, tuple[Query, str]]:
     add("g11_f19_affects", impact.affects, f'{_AFFECTS} SELECT object, tab AS "table", hops::BIGINT AS hops, node AS via FROM af WHERE rn = 1')
     add("g14_via_data", impact.via_data, f"""{_SHARED} SELECT writer AS object, count(DISTINCT tab) AS tables, {_LISTED.format('reader')} AS readers FROM sd WHERE reader IN (SELECT id FROM nodes WHERE object_type IN ('PROCEDURE', 'FUNCTION')) GROUP BY writer""")
     add("g15_call_reach", compare.call_reach, "cw(seed, node, hops) AS (SELECT DISTINCT dst, dst, 0 FROM edges WHERE type = 'CALLS' UNION SELECT cw.seed, e.owner, cw.hops + 1 FROM cw JOIN edges e ON e.dst = cw.node AND e.type = 'CALLS' AND e.src <> e.dst WHERE cw.hops < 20), cm AS (SELECT seed, node, min(hops) AS hops FROM cw GROUP BY ALL) SELECT seed AS id, node AS reached, hops::BIGINT AS hops FROM cm WHERE hops > 0")
-    add("g21_objects_affecting", lambda x: impact.affects(x).where(F.col("table") == TABLE).select("object", "hops"), f"{_AFFECTS} SELECT object, hops::BIGINT AS hops FROM af WHERE rn = 1 AND tab = '{TABLE}'")
+    add("g21_objects_affecting", lambda x: impact.affects(x, table=TABLE).select("object", "hops"), f"{_AFFECTS} SELECT object, hops::BIGINT AS hops FROM af WHERE rn = 1 AND tab = '{TABLE}'")
     add("g22_writes_by_rule", audit.writes_by_rule, """ SELECT e.owner AS object, e.dst AS "table", bool_and(n.nesting > 0) AS governed FROM edges e JOIN nodes n ON n.id = e.src AND n.label = 'Step' WHERE e.type = 'WRITES_TO' GROUP BY ALL""")
     add("g23_shared_data", impact.shared_data, f'{_SHARED} SELECT writer, tab AS "table", reader FROM sd')
     add("g25_columns_without_lineage", audit.columns_without_lineage, """ SELECT DISTINCT dst AS "column" FROM edges WHERE type = 'WRITES_COLUMN' AND dst NOT IN (SELECT src FROM edges WHERE type = 'DERIVES_FROM')""")

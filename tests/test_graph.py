@@ -1,5 +1,7 @@
 """Operators over the graph, against SQL and against small graphs."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -292,3 +294,11 @@ def test_readers_of_what_is_written_are_no_shuffled_pairs(spark, monkeypatch):
     g = Graph.of(spark.createDataFrame(nodes, "id string, label string, name string, object_type string"), spark.createDataFrame(edges, "src string, dst string, type string"))
     monkeypatch.setattr(impact, "shared_data", lambda _: pytest.fail("all pairs are made"))
     assert sorted(map(tuple, impact.via_data(g).collect())) == [("D::a", 2, "D::b, D::d"), ("D::c", 1, "D::b, D::d")]
+
+
+def test_effects_are_shuffled_as_lists(spark):
+    g = small(spark, [("D::a", "D::b", "CALLS"), ("D::a", "D::c", "CALLS"), ("D::b", "D::d", "CALLS"), ("D::c", "D:table:t", "WRITES_TO"), ("D::b", "D:table:t", "WRITES_TO"), ("D::d", "D:table:t", "WRITES_TO"), ("D::d", "D:table:u", "WRITES_TO"), ("D::d", None, "WRITES_TO")])
+    assert "hashpartitioning(object#" in _plan(impact.affects(g)) and not re.search(r"hashpartitioning\([^)]*table#", _plan(impact.affects(g)))
+    rows = [("D::a", "D:table:t", 1, "D::b"), ("D::a", "D:table:u", 2, "D::d"), ("D::b", "D:table:t", 1, "D::d"), ("D::b", "D:table:u", 1, "D::d")]
+    assert sorted(map(tuple, impact.affects(g).collect())) == rows
+    assert sorted(map(tuple, impact.affects(g, table="D:table:u").collect())) == [r for r in rows if r[1] == "D:table:u"]
