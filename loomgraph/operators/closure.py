@@ -62,26 +62,53 @@ def closure(edges: DataFrame, seeds: DataFrame, depth: int | None, keep_seed: bo
     return visited if keep_seed else visited.where("hops > 0")
 
 
+def _levels(steps: DataFrame) -> DataFrame:
+    """(node, depth): the number of edges on the longest path from each node from which no cycle is reached. `steps` is stored,
+    with distinct (src, dst).
+
+    From the ends upwards: a node has its depth in the hop in which the last of its edges is met. Each edge is met once; nodes of
+    which not all edges are met wait with their number."""
+    spark = steps.sparkSession
+    ways = stored(steps.join(steps.groupBy("src").agg(F.count("*").alias("out")), "src"))
+    level = stored(steps.select(F.col("dst").alias("node")).distinct().join(steps.select(F.col("src").alias("node")), "node", "left_anti"))
+    found, waiting = level.select("node", F.lit(0).alias("depth")), spark.createDataFrame([], "src string, out bigint, met bigint")
+    for hop in count(1):
+        met = ways.join(level, ways.dst == level.node).select("src", "out", F.lit(1).cast("bigint").alias("met"))
+        state = stored(met.union(waiting).groupBy("src", "out").agg(F.sum("met").alias("met")))
+        level, waiting = stored(state.where("met = out").select(F.col("src").alias("node"))), state.where("met < out")
+        if level.isEmpty():
+            return found
+        found = found.union(level.select("node", F.lit(hop).alias("depth")))
+        if hop % PARTS == 0:
+            found = stored(found)
+
+
+def _core(steps: DataFrame) -> DataFrame:
+    """The edges between nodes that reach a cycle and are reached from one: all edges of cycles and of ways between them."""
+    for _ in range(2):
+        known = _levels(steps).select("node")
+        for end in ("src", "dst"):
+            steps = steps.join(known.withColumnRenamed("node", end), end, "left_anti")
+        steps = stored(backwards(steps))
+        if steps.isEmpty():
+            break
+    return steps
+
+
 def longest(edges: DataFrame) -> DataFrame:
     """(node, depth): the number of edges on the longest path from each node that has an edge out. Edges that lie on a cycle
     are left out, so every path ends.
 
-    Frontiers of (seed, node) as in closure, but a node stays in them if it was met before; the last hop at which a
-    seed has one is its depth."""
+    Nodes get their depth level by level, so the work is that of the edges and not that of all pairs that reach each other;
+    pairs are looked for among the edges of the core alone, for its cycles."""
     steps = stored(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").distinct())
-    seeds = steps.select(F.col("src").alias("seed"), F.col("src").alias("node")).distinct()
-    reached = closure(steps, seeds, None).select(F.col("seed").alias("dst"), F.col("node").alias("src"))
-    acyclic = stored(steps.join(reached, ["src", "dst"], "left_anti").select("src", "dst"))
-    frontier = stored(seeds)
-    depths = frontier.select("seed", F.lit(0).alias("depth")).distinct()
-    for hop in count(1):
-        frontier = stored(frontier.join(acyclic, frontier.node == acyclic.src).select("seed", F.col("dst").alias("node")).distinct())
-        if frontier.isEmpty():
-            break
-        depths = depths.union(frontier.select("seed", F.lit(hop).alias("depth")).distinct())
-        if hop % PARTS == 0:
-            depths = stored(depths.groupBy("seed").agg(F.max("depth").alias("depth")))
-    return depths.groupBy(F.col("seed").alias("node")).agg(F.max("depth").cast("bigint").alias("depth"))
+    nodes = steps.select(F.col("src").alias("node")).distinct()
+    depths = _levels(steps)
+    if not nodes.join(depths, "node", "left_anti").isEmpty():
+        core = _core(steps)
+        reached = closure(core, core.select(F.col("src").alias("seed"), F.col("src").alias("node")).distinct(), None).select(F.col("seed").alias("dst"), F.col("node").alias("src"))
+        depths = _levels(stored(steps.join(core.join(reached, ["src", "dst"], "left_semi"), ["src", "dst"], "left_anti").select("src", "dst")))
+    return nodes.join(depths, "node", "left").select("node", F.coalesce("depth", F.lit(0)).cast("bigint").alias("depth"))
 
 
 def start(spark, ids: list[str]) -> DataFrame:

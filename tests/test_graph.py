@@ -302,3 +302,19 @@ def test_effects_are_shuffled_as_lists(spark):
     rows = [("D::a", "D:table:t", 1, "D::b"), ("D::a", "D:table:u", 2, "D::d"), ("D::b", "D:table:t", 1, "D::d"), ("D::b", "D:table:u", 1, "D::d")]
     assert sorted(map(tuple, impact.affects(g).collect())) == rows
     assert sorted(map(tuple, impact.affects(g, table="D:table:u").collect())) == [r for r in rows if r[1] == "D:table:u"]
+
+
+def test_longest_ways_take_each_edge_once(spark, monkeypatch):
+    ways = [(i, i // 2) for i in range(1, 300)] + [(i, i // 3) for i in range(1, 300, 5)]
+    ways = [(a, b) for a, b in ways if a != b]
+    depth = {0: 0}
+    for a in range(1, 300):
+        depth[a] = 1 + max(depth[b] for x, b in ways if x == a)
+    g = small(spark, [(f"c{a}", f"c{b}", "DERIVES_FROM") for a, b in ways])
+    with monkeypatch.context() as m:
+        m.setattr("loomgraph.operators.closure.closure", lambda *_: pytest.fail("all pairs are made"))
+        assert {tuple(r) for r in impact.lineage_depths(g).collect()} == {(f"c{a}", depth[a]) for a in range(1, 300)}
+    # two cycles, a way between them and ways in and out
+    odd = [("x", "y"), ("y", "x"), ("y", "w"), ("w", "p"), ("p", "q"), ("q", "p"), ("q", "o"), ("i", "x"), ("i", "o"), ("z", "z")]
+    g = small(spark, [(a, b, "DERIVES_FROM") for a, b in odd])
+    assert {tuple(r) for r in impact.lineage_depths(g).collect()} == {("x", 0), ("y", 2), ("w", 1), ("p", 0), ("q", 1), ("i", 1)}
