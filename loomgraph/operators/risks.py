@@ -5,30 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.model import Graph
+from ..plans.model import TABLE_EDGES, Graph
 from .audit import _objects
+from .closure import stored
 
 SEVERITIES = ("critical", "high", "medium", "low", "info")
 
 
-def object_features(graph: Graph) -> DataFrame:
+def _accesses(graph: Graph) -> DataFrame:
+    """(id, dst, type, action_type, n): reads and writes of objects, counted. The rules of objects and of tables both count on
+    from here, so edges are grouped once."""
+    return stored(graph.type(*TABLE_EDGES).groupBy(F.col("owner").alias("id"), "dst", "type", "action_type").agg(F.count("*").alias("n")))
+
+
+def object_features(graph: Graph, accesses: DataFrame | None = None) -> DataFrame:
     """One row an object with all that the rules look at."""
+    accesses = _accesses(graph) if accesses is None else accesses
     steps = graph.label("Step").select(F.substring_index("id", "#", 1).alias("id"), F.col("id").alias("step"), "action", F.coalesce("select_star", F.lit(False)).alias("star"))
-    filtered = graph.type("FILTERS_ON").select(F.col("src").alias("step")).distinct().withColumn("filtered", F.lit(True))
-    by_step = steps.join(filtered, "step", "left").groupBy("id").agg(
-        F.bool_or("star").alias("star"),
-        F.bool_or(F.col("action").isin("UPDATE", "DELETE") & F.col("filtered").isNull()).alias("unfiltered"),
-        F.bool_or(F.col("action") == "TRUNCATE").alias("truncates"),
-    )
-    per_table = graph.type("WRITES_TO").groupBy(F.col("owner").alias("id"), "dst").agg(F.count("*").alias("n"))
+    by_step = steps.groupBy("id").agg(F.bool_or("star").alias("star"), F.bool_or(F.col("action") == "TRUNCATE").alias("truncates"))
+    # only steps that change rows are held against the filters
+    filtered = graph.type("FILTERS_ON").select(F.col("src").alias("step"))
+    unfiltered = steps.where(F.col("action").isin("UPDATE", "DELETE")).join(filtered, "step", "left_anti").select("id").distinct().withColumn("unfiltered", F.lit(True))
+    per_table = accesses.where("type = 'WRITES_TO'").groupBy("id", "dst").agg(F.sum("n").alias("n"))
     writes = per_table.groupBy("id").agg(F.count("*").alias("tables_written"), F.max("n").alias("most_writes"))
     called = graph.type("CALLS").select(F.col("dst").alias("id")).distinct().withColumn("called", F.lit(True))
-    built = graph.type("BUILDS_SQL_FROM").select(F.col("dst").alias("variable"), F.col("owner").alias("id"))
+    built = graph.type("BUILDS_SQL_FROM").select(F.col("dst").alias("variable"), F.col("owner").alias("id")).distinct()
     injected = built.join(graph.type("ASSIGNED_FROM").select(F.col("src").alias("variable")), "variable", "left_semi").select("id").distinct().withColumn("injection", F.lit(True))
-    used = graph.type("USES_VARIABLE", "BUILDS_SQL_FROM").select(F.col("dst").alias("variable")).union(graph.type("ASSIGNED_FROM").select("src"))
+    used = graph.type("USES_VARIABLE", "BUILDS_SQL_FROM").select(F.col("dst").alias("variable")).union(graph.type("ASSIGNED_FROM").select("src")).distinct()
     idle = graph.type("DECLARES").select(F.col("src").alias("id"), F.col("dst").alias("variable")).join(used, "variable", "left_anti").groupBy("id").agg(F.count("*").alias("idle"))
     out = _objects(graph)
-    for part in (by_step, writes, called, injected, idle):
+    for part in (by_step, unfiltered, writes, called, injected, idle):
         out = out.join(part, "id", "left")
     flags = ["star", "unfiltered", "truncates", "called", "injection", "has_transaction", "has_error_handling", "has_cursor"]
     numbers = ["tables_written", "most_writes", "idle", "dynamic_sql_calls", "complexity"]
@@ -40,7 +46,7 @@ def _found(rows: DataFrame, rules: list[tuple[Column, str, str, str, Column]]) -
     return rows.select(F.col("id").alias("component"), F.explode(hits).alias("f")).select("f.severity", "f.category", "f.rule", "component", "f.detail")
 
 
-def object_risks(graph: Graph) -> DataFrame:
+def object_risks(graph: Graph, accesses: DataFrame | None = None) -> DataFrame:
     c, none = F.col, F.lit("")
     leaf = F.substring_index("name", ".", -1)
     unsafe = c("has_transaction") & ~c("has_error_handling")
@@ -66,19 +72,21 @@ def object_risks(graph: Graph) -> DataFrame:
         (c("tables_written") >= 5, "medium", "design", "does_too_much", c("tables_written")),
         (c("parse_error") != "", "info", "quality", "parse_error", c("parse_error")),
     ]
-    return _found(object_features(graph), rules)
+    return _found(object_features(graph, accesses), rules)
 
 
-def table_features(graph: Graph) -> DataFrame:
+def table_features(graph: Graph, accesses: DataFrame | None = None) -> DataFrame:
+    accesses = _accesses(graph) if accesses is None else accesses
     columns = graph.label("Column").select(F.substring_index("id", ":column:", 1).alias("id"), F.coalesce("is_nullable", F.lit(True)).alias("nullable"), F.coalesce("is_primary_key", F.lit(False)).alias("pk"))
     by = columns.groupBy("id").agg(F.count("*").alias("columns"), F.bool_or("pk").alias("has_pk"), F.bool_and("nullable").alias("all_nullable"))
-    writers = graph.type("WRITES_TO").groupBy(F.col("dst").alias("id")).agg(F.count_distinct("action_type", "owner").alias("writers"))
-    readers = graph.type("READS_FROM").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("readers"))
-    out = graph.label("Table").select("id").join(by, "id", "left").join(writers, "id", "left").join(readers, "id", "left")
+    # a row of accesses is one action of one object on a table; those without an action don't count as writers
+    writes, reads = F.col("type") == "WRITES_TO", F.col("type") == "READS_FROM"
+    used = accesses.groupBy(F.col("dst").alias("id")).agg(F.count_if(writes & F.col("action_type").isNotNull() & F.col("id").isNotNull()).alias("writers"), F.sum(F.when(reads, F.col("n"))).alias("readers"))
+    out = graph.label("Table").select("id").join(by, "id", "left").join(used, "id", "left")
     return out.select("id", *(F.coalesce(n, F.lit(0)).alias(n) for n in ("columns", "writers", "readers")), *(F.coalesce(f, F.lit(False)).alias(f) for f in ("has_pk", "all_nullable")))
 
 
-def table_risks(graph: Graph) -> DataFrame:
+def table_risks(graph: Graph, accesses: DataFrame | None = None) -> DataFrame:
     c, none = F.col, F.lit("")
     rules = [
         ((c("columns") > 0) & ~c("has_pk"), "medium", "integrity", "no_primary_key", none),
@@ -87,12 +95,13 @@ def table_risks(graph: Graph) -> DataFrame:
         ((c("columns") > 0) & c("all_nullable"), "low", "integrity", "fully_nullable", none),
         (c("columns") >= 12, "low", "design", "wide_table", c("columns")),
     ]
-    return _found(table_features(graph), rules)
+    return _found(table_features(graph, accesses), rules)
 
 
 def risks(graph: Graph, severity: str | None = None, executed: DataFrame | None = None) -> DataFrame:
     """All findings, of one severity if given; with `executed` (id), whether there is evidence that the component runs."""
-    found = object_risks(graph).union(table_risks(graph))
+    accesses = _accesses(graph)
+    found = object_risks(graph, accesses).union(table_risks(graph, accesses))
     if severity:
         found = found.where(F.col("severity") == severity)
     if executed is not None:

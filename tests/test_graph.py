@@ -318,3 +318,19 @@ def test_longest_ways_take_each_edge_once(spark, monkeypatch):
     odd = [("x", "y"), ("y", "x"), ("y", "w"), ("w", "p"), ("p", "q"), ("q", "p"), ("q", "o"), ("i", "x"), ("i", "o"), ("z", "z")]
     g = small(spark, [(a, b, "DERIVES_FROM") for a, b in odd])
     assert {tuple(r) for r in impact.lineage_depths(g).collect()} == {("x", 0), ("y", 2), ("w", 1), ("p", 0), ("q", 1), ("i", 1)}
+
+
+def test_risks_group_reads_and_writes_once(spark):
+    class Asked(Graph):
+        def type(self, *types):
+            asked.extend(types)
+            return super().type(*types)
+
+    asked = []
+    nodes = spark.createDataFrame([("D::a", "SqlObject", "a", None, 9), ("D::b", "SqlObject", "b", None, 1), ("D::a#step0", "Step", "s", "UPDATE", 0), ("D::a#step1", "Step", "s", "DELETE", 0), ("D::b#step0", "Step", "s", "UPDATE", 0), ("D:table:t", "Table", "t", None, 0), ("D:table:t:column:c", "Column", "c", None, 0)], "id string, label string, name string, action string, complexity bigint")
+    writes = [("D::a#step0", "D:table:t", "WRITES_TO", x) for x in ("UPDATE", "UPDATE", "DELETE", None)] + [("D::b#step0", "D:table:t", "WRITES_TO", x) for x in ("UPDATE", "INSERT")]
+    filters = [(s, "D:table:t:column:c", "FILTERS_ON", "UPDATE") for s in ("D::a#step0", "D::b#step0", "D::b#step0")]
+    g = Graph.of(nodes, spark.createDataFrame([*writes, *filters], "src string, dst string, type string, action_type string"))
+    found = {(r.rule, r.component, r.detail) for r in risks.risks(Asked(g.nodes, g.edges)).collect()}
+    assert asked.count("WRITES_TO") == 1 and asked.count("READS_FROM") == 1
+    assert {x for x in found if x[0] in ("change_without_where", "repeated_writes", "table_coupling", "written_never_read")} == {("change_without_where", "D::a", ""), ("repeated_writes", "D::a", "4"), ("table_coupling", "D:table:t", "4"), ("written_never_read", "D:table:t", "")}
