@@ -118,8 +118,8 @@ def macro_edges(graph: Graph, foreign_keys: bool = False) -> DataFrame:
 
 
 def degrees(graph: Graph, foreign_keys: bool = False) -> DataFrame:
-    edges = macro_edges(graph, foreign_keys)
-    return edges.select(F.col("src").alias("id")).union(edges.select("dst")).groupBy("id").agg(F.count("*").alias("degree"))
+    # both ends of an edge at once, so distinct edges are made once
+    return macro_edges(graph, foreign_keys).select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
 
 
 def hotspots(graph: Graph, top: int = 10) -> DataFrame:

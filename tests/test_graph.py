@@ -334,3 +334,10 @@ def test_risks_group_reads_and_writes_once(spark):
     found = {(r.rule, r.component, r.detail) for r in risks.risks(Asked(g.nodes, g.edges)).collect()}
     assert asked.count("WRITES_TO") == 1 and asked.count("READS_FROM") == 1
     assert {x for x in found if x[0] in ("change_without_where", "repeated_writes", "table_coupling", "written_never_read")} == {("change_without_where", "D::a", ""), ("repeated_writes", "D::a", "4"), ("table_coupling", "D:table:t", "4"), ("written_never_read", "D:table:t", "")}
+
+
+def test_degrees_make_distinct_edges_once(spark):
+    g = small(spark, [("D::a", "D::b", "CALLS"), ("D::a#step0", "D:table:t", "READS_FROM"), ("D::a#step1", "D:table:t", "READS_FROM"), ("D::a#step1", "D:table:t", "WRITES_TO"), ("D::b", "D::b", "CALLS")])
+    found = audit.degrees(g)
+    assert _plan(found).count("Scan ExistingRDD") == 1
+    assert {tuple(r) for r in found.collect()} == {("D::a", 3), ("D::b", 3), ("D:table:t", 2)}
