@@ -24,6 +24,15 @@ outputs:array<struct<name:string,sources:array<struct<table:string,column:string
 FACTS = FACTS.replace("\n", "")
 
 
+#: Modules that a task reads at most. They are few bytes and much work, so partitions by bytes leave it to a few tasks.
+ROWS_A_TASK = 1000
+
+
+def _spread(rows: DataFrame, n: int) -> DataFrame:
+    """`n` rows over all cores, in turn: a repartition by a key goes where the join before it has the same."""
+    return rows.repartition(max(1, min(n, max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // ROWS_A_TASK)))))
+
+
 def _analysed(modules: DataFrame, strict: bool) -> DataFrame:
     """Facts of rows (name, sql, catalog), the last as a JSON object."""
     @F.pandas_udf("string")
@@ -67,9 +76,10 @@ def extract(modules: DataFrame, strict: bool = False, passes: int = 2) -> DataFr
     that they name, as far as these are known then, which "*" and bare names need. Views of views ask for one more pass a
     level."""
     rows = stored(modules.select("name", "sql").withColumn("db", F.substring_index("name", "::", 1)).withColumn("row", F.monotonically_increasing_id()))
-    facts = _analysed(rows.withColumn("catalog", F.lit(None).cast("string")), strict)
+    n = rows.count()
+    facts = _analysed(_spread(rows, n).withColumn("catalog", F.lit(None).cast("string")), strict)
     for _ in range(passes - 1):
-        facts = _analysed(_with_catalog(rows, known_columns(facts)), strict)
+        facts = _analysed(_spread(_with_catalog(rows, known_columns(facts)), n), strict)
     return facts
 
 

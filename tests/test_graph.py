@@ -341,3 +341,12 @@ def test_degrees_make_distinct_edges_once(spark):
     found = audit.degrees(g)
     assert _plan(found).count("Scan ExistingRDD") == 1
     assert {tuple(r) for r in found.collect()} == {("D::a", 3), ("D::b", 3), ("D:table:t", 2)}
+
+
+def test_parsing_is_spread_over_the_cores(spark):
+    sql = spark.createDataFrame([(f"D::dbo.p{i}", f"CREATE PROCEDURE dbo.p{i} AS DELETE FROM dbo.t{i}") for i in range(40)], "name string, sql string").coalesce(1)
+    facts = extract.extract(sql)
+    assert len(facts.inputFiles()) == spark.sparkContext.defaultParallelism
+    assert {r.full_name for r in facts.select("full_name").collect()} == {f"dbo.p{i}" for i in range(40)}
+    rows = spark.range(5).withColumnRenamed("id", "row")
+    assert extract._spread(rows, 5000).rdd.getNumPartitions() == 5 and extract._spread(rows, 0).rdd.getNumPartitions() == 1
